@@ -1,0 +1,31 @@
+"""Driver loop helper for the iterative operators.
+
+Each round's state is checkpointed reliably (``txgraph.session.cut``), which both
+bounds the lineage and makes a lost executor cost at most one round. Only a scalar
+(the convergence count) reaches the driver per round.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+
+from txgraph.session import cut
+
+
+def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame],
+             pending: Callable[[DataFrame], int], max_rounds: int | None = None) -> tuple[DataFrame, int]:
+    """Apply ``step`` until ``pending(new_state) == 0`` or ``max_rounds`` rounds ran.
+
+    ``step`` builds the next state lazily; it is checkpointed before ``pending``
+    (a cheap count over the checkpointed rows) decides whether to go on.
+    Returns the final state and the number of rounds run.
+    """
+    rounds = 0
+    while max_rounds is None or rounds < max_rounds:
+        state = cut(step(state))
+        rounds += 1
+        if pending(state) == 0:
+            break
+    return state, rounds
