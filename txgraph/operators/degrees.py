@@ -40,10 +40,12 @@ def degrees(edges: DataFrame, view: str = "multi",
         F.sum("o").cast("bigint").alias("out_degree"),
         F.count(F.lit(1)).alias("degree"),
     )
+    if view == "simple":
+        deg = deg.select("id", "degree")
     if vertices is not None:
         deg = vertices.select("id").distinct().join(deg, "id", "left").select(
             "id", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
-                    for c in ("in_degree", "out_degree", "degree")])
+                    for c in deg.columns if c != "id"])
     return deg
 
 

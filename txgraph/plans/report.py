@@ -19,3 +19,45 @@ def one_row(*frames: DataFrame) -> DataFrame:
     for f in frames[1:]:
         stacked = stacked.unionByName(f, allowMissingColumns=True)
     return stacked.agg(*[F.max(c).alias(c) for c in cols])
+
+
+def graph_report(edges: DataFrame, vertices: DataFrame | None = None, k: int = 1,
+                 max_steps: int = 5, view: str = "directed",
+                 formula: str = "half_intra") -> DataFrame:
+    """The analysis job's figures in one row.
+
+    Whole graph: ``vertices, edges, global_clustering, transitivity, average_clustering,
+    zero_local_vertices, nonzero_local_vertices, components``. Greatest component
+    (``k`` greatest): ``greatest_vertices, greatest_edges, clusters`` (label
+    propagation with ``max_steps``) and ``modularity`` of that clustering.
+    """
+    from txgraph.operators import clustering as C
+    from txgraph.operators import community as CM
+    from txgraph.operators import components as CC
+    from txgraph.operators.triangles import triangles
+    from txgraph.operators.views import vertex_ids
+
+    verts = vertex_ids(edges, vertices)
+    tri = triangles(edges)
+    local = C.local_clustering(edges, tri)
+    comps = CC.connected_components(edges, verts)
+    gv, ge = CC.top_components(edges, comps, k)
+    labels = CM.label_propagation(ge, max_steps, gv.select("id"))
+    split = C.local_split(edges, local).select(
+        F.col("zero_vertices").alias("zero_local_vertices"),
+        F.col("nonzero_vertices").alias("nonzero_local_vertices"))
+    return one_row(
+        verts.agg(F.count(F.lit(1)).alias("vertices")),
+        edges.agg(F.count(F.lit(1)).alias("edges")),
+        C.global_clustering(edges, view, tri),
+        C.transitivity(edges, view, tri),
+        C.average_clustering(edges, local),
+        split,
+        comps.agg(F.count_distinct("component").alias("components")),
+        gv.agg(F.count(F.lit(1)).alias("greatest_vertices")),
+        ge.agg(F.count(F.lit(1)).alias("greatest_edges")),
+        CM.cluster_count(labels),
+        CM.modularity(ge, labels, formula),
+    ).select("vertices", "edges", "global_clustering", "transitivity", "average_clustering",
+             "zero_local_vertices", "nonzero_local_vertices", "components",
+             "greatest_vertices", "greatest_edges", "clusters", "modularity")
