@@ -32,8 +32,10 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
 
 def parse_json(text: DataFrame, schema: T.StructType, col: str = "json") -> DataFrame:
     """Parse a column of JSON text into the record columns (null record when malformed)."""
-    parsed = text.select(F.from_json(F.col(col), schema).alias("r"), F.col(col).alias("_text"))
-    return parsed.select("r.*", F.when(F.col("r").isNull(), F.col("_text")).alias(S.CORRUPT))
+    parsed = text.select(F.from_json(F.col(col), S.with_corrupt(schema),
+                                     {"mode": "PERMISSIVE",
+                                      "columnNameOfCorruptRecord": S.CORRUPT}).alias("r"))
+    return parsed.select("r.*")
 
 
 def corrupt_count(records: DataFrame) -> DataFrame:
