@@ -15,26 +15,19 @@ from pyspark.sql import functions as F
 
 from txgraph.functions.scalars import pairs, ratio
 from txgraph.operators.degrees import degrees
-from txgraph.operators.triangles import triangles
+from txgraph.operators.triangles import vertex_triangles
+from txgraph.session import cut
 
 
-def _per_vertex_triangles(tri: DataFrame) -> DataFrame:
-    return (
-        tri.select(F.explode(F.array("a", "b", "c")).alias("id"))
-        .groupBy("id").agg(F.count(F.lit(1)).alias("t"))
-    )
-
-
-def local_clustering(edges: DataFrame, tri: DataFrame | None = None) -> DataFrame:
+def local_clustering(edges: DataFrame, tpv: DataFrame | None = None) -> DataFrame:
     """``(id, neighbours, edges_between, coefficient)`` for vertices with >= 2 neighbours.
 
     ``edges_between`` = links among the neighbours = triangles at the vertex;
     ``coefficient = 2 t / (k (k - 1))``; zero coefficients are kept.
     """
-    tri = triangles(edges) if tri is None else tri
+    t = vertex_triangles(edges) if tpv is None else tpv
     k = degrees(edges, "simple").filter(F.col("degree") >= 2).select(
         "id", F.col("degree").alias("neighbours"))
-    t = _per_vertex_triangles(tri)
     return k.join(t, "id", "left").select(
         "id", "neighbours",
         F.coalesce("t", F.lit(0).cast("bigint")).alias("edges_between"),
@@ -60,38 +53,39 @@ def local_split(edges: DataFrame, local: DataFrame | None = None) -> DataFrame:
 
 
 def global_clustering(edges: DataFrame, view: str = "directed",
-                      tri: DataFrame | None = None) -> DataFrame:
+                      tpv: DataFrame | None = None) -> DataFrame:
     """One row ``(global_clustering)``.
 
     Mean over vertices with degree >= 2 (in ``view``) of ``triangles / C(degree, 2)``.
     A vertex whose only neighbour is reciprocal has directed degree 2 and adds a 0.
     """
-    tri = triangles(edges) if tri is None else tri
+    t = vertex_triangles(edges) if tpv is None else tpv
     d = degrees(edges, view).filter(F.col("degree") >= 2).select("id", "degree")
-    t = _per_vertex_triangles(tri)
     return d.join(t, "id", "left").agg(
         F.avg(ratio(F.coalesce("t", F.lit(0)), pairs("degree"))).alias("global_clustering"))
 
 
 def transitivity(edges: DataFrame, view: str = "directed",
-                 tri: DataFrame | None = None) -> DataFrame:
-    """One row ``(transitivity)`` = 3 * triangles / sum of C(degree, 2)."""
-    tri = triangles(edges) if tri is None else tri
+                 tpv: DataFrame | None = None) -> DataFrame:
+    """One row ``(transitivity)`` = 3 * triangles / sum of C(degree, 2).
+
+    3 * triangles = the sum of per-vertex triangle counts.
+    """
+    t = vertex_triangles(edges) if tpv is None else tpv
     d = degrees(edges, view).filter(F.col("degree") >= 2)
-    stacked = tri.select(F.lit(1).cast("bigint").alias("tri"),
-                         F.lit(0).cast("bigint").alias("pairs")).unionByName(
+    stacked = t.select(F.col("t").alias("tri"), F.lit(0).cast("bigint").alias("pairs")).unionByName(
         d.select(F.lit(0).cast("bigint").alias("tri"), pairs("degree").alias("pairs")))
     return stacked.agg(
-        ratio(3 * F.sum("tri"), F.sum("pairs")).alias("transitivity"))
+        ratio(F.sum("tri"), F.sum("pairs")).alias("transitivity"))
 
 
 def clustering_summary(edges: DataFrame, view: str = "directed") -> DataFrame:
-    """D7-D10 + D17 in one row, sharing one triangle listing."""
-    tri = triangles(edges)
-    local = local_clustering(edges, tri)
+    """D7-D10 + D17 in one row, sharing one per-vertex triangle table."""
+    tpv = cut(vertex_triangles(edges))
+    local = local_clustering(edges, tpv)
     return _one_row(
-        global_clustering(edges, view, tri),
-        transitivity(edges, view, tri),
+        global_clustering(edges, view, tpv),
+        transitivity(edges, view, tpv),
         average_clustering(edges, local),
         local_split(edges, local),
     )

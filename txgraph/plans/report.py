@@ -34,12 +34,15 @@ def graph_report(edges: DataFrame, vertices: DataFrame | None = None, k: int = 1
     from txgraph.operators import clustering as C
     from txgraph.operators import community as CM
     from txgraph.operators import components as CC
-    from txgraph.operators.triangles import triangles
+    from txgraph.operators.triangles import vertex_triangles
     from txgraph.operators.views import vertex_ids
+    from txgraph.session import cut
 
+    # The edge table feeds a dozen branches: materialise it once.
+    edges = cut(edges.select("src", "dst", "value"))
     verts = vertex_ids(edges, vertices)
-    tri = triangles(edges)
-    local = C.local_clustering(edges, tri)
+    tpv = cut(vertex_triangles(edges))
+    local = C.local_clustering(edges, tpv)
     comps = CC.connected_components(edges, verts)
     gv, ge = CC.top_components(edges, comps, k)
     labels = CM.label_propagation(ge, max_steps, gv.select("id"))
@@ -49,8 +52,8 @@ def graph_report(edges: DataFrame, vertices: DataFrame | None = None, k: int = 1
     return one_row(
         verts.agg(F.count(F.lit(1)).alias("vertices")),
         edges.agg(F.count(F.lit(1)).alias("edges")),
-        C.global_clustering(edges, view, tri),
-        C.transitivity(edges, view, tri),
+        C.global_clustering(edges, view, tpv),
+        C.transitivity(edges, view, tpv),
         C.average_clustering(edges, local),
         split,
         comps.agg(F.count_distinct("component").alias("components")),
