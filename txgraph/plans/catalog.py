@@ -25,7 +25,7 @@ from txgraph.operators import views as V
 from txgraph.plans import fixtures as fx
 from txgraph.plans import payloads as P
 from txgraph.plans.report import graph_report
-from txgraph.session import scratch_path
+from txgraph.session import cut, scratch_path
 from txgraph.sources import blocks as BK
 from txgraph.sources import csv as CSV
 from txgraph.sources import gexf as GX
@@ -54,7 +54,8 @@ def _sparse(spark, d):
 
 
 def _giant(spark, d):
-    e = _sparse(spark, d)
+    # read three times (components, their vertex set, the edge selection): materialise once
+    e = cut(_sparse(spark, d))
     comps = CC.connected_components(e)
     return CC.top_components(e, comps, 1)
 

@@ -30,6 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _yyyymmdd(c: str):
+    # Arithmetic instead of date_format: no per-row formatter (4-digit years).
+    d = F.to_date(c)
+    return (F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)).cast("string")
+
+
 def _tx(spark: SparkSession, sf_dir: str, sparse: bool) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     if sparse:
@@ -42,7 +48,7 @@ def _tx(spark: SparkSession, sf_dir: str, sparse: bool) -> DataFrame:
     j = li.join(orders, li.l_orderkey == orders.o_orderkey)
     return j.select(
         F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                    cents.cast("string"), F.date_format("l_shipdate", "yyyyMMdd")).alias("hash"),
+                    cents.cast("string"), _yyyymmdd("l_shipdate")).alias("hash"),
         F.col("o_custkey").alias("src"),
         F.col("l_partkey").alias("dst"),
         cents.alias("value"),

@@ -15,7 +15,7 @@ from txgraph.functions.hexval import long_to_hex
 
 
 def _with_block(tx: DataFrame) -> DataFrame:
-    return tx.withColumn("block", F.split("hash", "-").getItem(0))
+    return tx.withColumn("block", F.substring_index("hash", "-", 1))
 
 
 def v2_blocks(tx: DataFrame) -> DataFrame:
