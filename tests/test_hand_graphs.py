@@ -139,3 +139,23 @@ def test_triangle_invariants(edges):
             adj.setdefault(b, set()).add(a)
     brute = sum(1 for a in adj for b in adj[a] for c in adj[b] if a < b < c and c in adj[a])
     assert scalar(T.triangle_total(e)) == brute
+
+
+def test_hub_holding_a_third_of_edges(spark, edges):
+    """A hub with a third of all edge rows: triangles, components and labels stay exact."""
+    from txgraph.operators import skew
+
+    ring = [(i, i + 1) for i in range(1, 400)] + [(400, 1)]
+    hub = [(0, i) for i in range(1, 201)]  # 200 of 600 rows
+    e = edges(ring + hub)
+    # hub closes a triangle with every ring edge among its neighbours 1..200 (199 of them)
+    assert scalar(T.triangle_total(e)) == 199
+    per = {r.id: r.triangles for r in T.triangle_count(e).collect()}
+    assert per[0] == 199 and per[1] == 1 and per[300] == 0
+    deg = D.degrees(e, "simple")
+    hot = {r.id for r in skew.heavy_keys(deg, "id", "degree", max_keys=10).collect()}
+    assert hot == {0}
+    comps = CC.connected_components(e)
+    assert comps.select("component").distinct().count() == 1
+    labels = CM.label_propagation(e, 5)
+    assert labels.count() == 401

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txgraph.operators.iterate import fixpoint
+from txgraph.operators.skew import heavy_keys, split_join
 from txgraph.operators.views import vertex_ids
 from txgraph.session import cut
 
@@ -24,14 +25,14 @@ def message_weights(edges: DataFrame) -> DataFrame:
     return sent.groupBy("f", "t").agg(F.count(F.lit(1)).alias("w"))
 
 
-def _lpa_round(w: DataFrame):
+def _lpa_round(w: DataFrame, hot: DataFrame):
     def step(labels: DataFrame) -> DataFrame:
+        # Senders' labels: hub senders (bounded set) join map-side against a broadcast
+        # of their labels, the rest through a shuffle join without hot keys.
+        sent = split_join(w, labels.select(F.col("id").alias("f"), "label"), "f", hot)
         # Label histogram per receiver. The (t, label) grouping is combined
         # map-side and spreads a hub's histogram over many reducers.
-        hist = (
-            w.join(labels.select(F.col("id").alias("f"), "label"), "f")
-            .groupBy("t", "label").agg(F.sum("w").alias("n"))
-        )
+        hist = sent.groupBy("t", "label").agg(F.sum("w").alias("n"))
         # E5: arg-max, ties to the smallest label; one partial row per task per vertex.
         best = hist.groupBy("t").agg(
             F.min(F.struct((-F.col("n")).alias("neg_n"), F.col("label"))).alias("b")
@@ -57,9 +58,10 @@ def label_propagation(edges: DataFrame, max_steps: int = 5,
     of being dropped. Message weights are computed and checkpointed once.
     """
     w = cut(message_weights(edges))
+    hot = heavy_keys(w.groupBy("f").agg(F.sum("w").alias("sent")), "f", "sent")
     labels = vertex_ids(edges, vertices).select("id", F.col("id").alias("label"),
                                                 F.lit(False).alias("changed"))
-    out, _ = fixpoint(labels, _lpa_round(w),
+    out, _ = fixpoint(labels, _lpa_round(w, hot),
                       lambda s: s.filter("changed").count(), max_rounds=max_steps + 1)
     return out.select("id", "label")
 

@@ -19,22 +19,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from txgraph.operators.skew import heavy_keys, split_join
 from txgraph.operators.views import simple_edges, vertex_ids
 from txgraph.session import cut
 
 
 def oriented_edges(edges: DataFrame) -> DataFrame:
-    """Simple edges oriented low->high by (simple degree, id): ``(lo, hi, dhi)``."""
+    """Simple edges oriented low->high by (simple degree, id): ``(lo, hi, dhi)``.
+
+    The degree table is checkpointed (it is read four times) - an eager step.
+    """
     u = simple_edges(edges)
-    deg = (
+    deg = cut(
         u.select(F.col("a").alias("id"))
         .unionByName(u.select(F.col("b").alias("id")))
         .groupBy("id").count()
     )
-    x = (
-        u.join(deg.select(F.col("id").alias("a"), F.col("count").alias("da")), "a")
-        .join(deg.select(F.col("id").alias("b"), F.col("count").alias("db")), "b")
-    )
+    # Attaching both end degrees is a join on a vertex: hubs go through a broadcast.
+    hot = heavy_keys(deg, "id", "count")
+    x = split_join(u, deg.select(F.col("id").alias("a"), F.col("count").alias("da")), "a",
+                   hot.select(F.col("id").alias("a")))
+    x = split_join(x, deg.select(F.col("id").alias("b"), F.col("count").alias("db")), "b",
+                   hot.select(F.col("id").alias("b")))
     # a < b always holds in U, so equal degrees resolve to a -> b.
     a_low = F.col("da") <= F.col("db")
     return x.select(
