@@ -43,7 +43,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     the session conf; else, for a local master only, a fresh private folder.
     A cluster without ``spark.checkpoint.dir`` is a configuration error.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a Spark Connect session has no context
+        conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+        if not conf_dir:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder") from None
+        return conf_dir
     current = sc.getCheckpointDir()
     if current:
         return current
