@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from txgraph.llm.bpe_trie import bpe_encode
 from txgraph.llm.common import table
+from txgraph.llm import line_dedup
 from txgraph.llm.token_counts import token_counts
 
 
@@ -15,9 +16,16 @@ def op5_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark, sf_dir):
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), digests=True)
+
+
 QUERIES = {
     "op2_bpe_encode": op2_bpe_encode,
     "op5_token_counts": op5_token_counts,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_line_dedup": line_dedup.ORACLE,
+}
