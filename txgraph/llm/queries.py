@@ -5,9 +5,14 @@ from __future__ import annotations
 from txgraph.llm.bpe_trie import bpe_encode
 from txgraph.llm.common import table
 from txgraph.llm import line_dedup
+from txgraph.llm.quality import quality
 from txgraph.llm.token_counts import token_counts
 
 
+def op1_quality(spark, sf_dir):
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_bpe_encode(spark, sf_dir):
     return bpe_encode(table(spark, sf_dir, "documents"), digests=True)
 
@@ -21,6 +26,7 @@ def op10_line_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_bpe_encode": op2_bpe_encode,
     "op5_token_counts": op5_token_counts,
     "op10_line_dedup": op10_line_dedup,
