@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from txgraph.llm.bpe_trie import bpe_encode
 from txgraph.llm.common import table
-from txgraph.llm import line_dedup
+from txgraph.llm import line_dedup, url_filter
 from txgraph.llm.quality import quality
 from txgraph.llm.token_counts import token_counts
 
@@ -17,6 +17,10 @@ def op2_bpe_encode(spark, sf_dir):
     return bpe_encode(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op3_url_filter(spark, sf_dir):
+    return url_filter.url_filter(table(spark, sf_dir, "pages"))
+
+
 def op5_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -28,10 +32,12 @@ def op10_line_dedup(spark, sf_dir):
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_bpe_encode": op2_bpe_encode,
+    "op3_url_filter": op3_url_filter,
     "op5_token_counts": op5_token_counts,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": url_filter.oracle(),
     "op10_line_dedup": line_dedup.ORACLE,
 }
