@@ -8,11 +8,16 @@ pair table ``(v, p)`` with ``p < v``:
 * small-star: every node links itself and its smaller neighbours to the smallest of
   them.
 
-Each round is two ``groupBy(min)`` (map-side combined) and two joins, and the state
-is checkpointed. It stops when the pairs form stars: every child has exactly one
-parent and no parent is a child. Each star is then one component and its root, the
-smallest id, is the label (what GraphX's ``connectedComponents`` gives). The number
-of rounds grows with ``log n``, not with the graph diameter.
+Star roots become hubs as stars form (a root's key holds its whole component), so each
+round recomputes from its own state which keys hold more than ``1/max_keys`` of the rows;
+those meet their minimum through a bounded broadcast, all others through a shuffle
+(``txgraph.operators.skew``). The minima are ``groupBy(min)``, combined map-side.
+
+Every step is checkpointed. The loop stops when a round leaves the pairs as they were
+(count and two xor checksums of the pairs, taken while counting them for the hub test), a
+fixed point of both steps: then each child has one parent, no parent is a child, and each
+star is a component whose root, the smallest id, is the label. The number of rounds grows
+with ``log n``, not with the graph diameter; there is no bound that could cut it short.
 """
 
 from __future__ import annotations
@@ -21,46 +26,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txgraph.operators.build import induced_edges
-from txgraph.operators.iterate import fixpoint
+from txgraph.operators.skew import MAX_HOT_KEYS, keys_above, split_join
 from txgraph.operators.views import simple_edges, vertex_ids
+from txgraph.session import cut
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _minima(pairs: DataFrame, key: str, other: str) -> DataFrame:
+    """``(key, mn, n)``: smallest partner and number of rows of each key."""
+    return cut(pairs.groupBy(key).agg(F.min(other).alias("mn"), F.count(F.lit(1)).alias("n")))
+
+
+def _large_star(e: DataFrame, rows: int, max_keys: int) -> DataFrame:
     both = e.select(F.col("p").alias("u"), F.col("v").alias("w")).unionByName(
         e.select(F.col("v").alias("u"), F.col("p").alias("w")))
-    m = both.groupBy("u").agg(F.min("w").alias("mn"))
+    m = _minima(both, "u", "w")
+    hot = keys_above(m, "u", "n", 2 * rows, max_keys)
     # Duplicates are left in: small-star's min is insensitive to them and its
     # final distinct removes them, saving one shuffle per round.
-    return (
-        both.filter(F.col("w") > F.col("u"))
-        .join(m, "u")
-        .select(F.col("w").alias("v"), F.least("mn", "u").alias("p"))
-    )
+    return split_join(both.filter(F.col("w") > F.col("u")), m.select("u", "mn"), "u", hot).select(
+        F.col("w").alias("v"), F.least("mn", "u").alias("p"))
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    m = e.groupBy("v").agg(F.min("p").alias("m"))
-    linked = e.join(m, "v").filter(F.col("p") != F.col("m")).select(
-        F.col("p").alias("v"), F.col("m").alias("p"))
-    return linked.unionByName(m.select("v", F.col("m").alias("p"))).distinct()
+def _small_star(e: DataFrame, rows: int, max_keys: int) -> DataFrame:
+    m = _minima(e, "v", "p")
+    hot = keys_above(m, "v", "n", rows, max_keys)
+    linked = split_join(e, m.select("v", "mn"), "v", hot).filter(F.col("p") != F.col("mn")).select(
+        F.col("p").alias("v"), F.col("mn").alias("p"))
+    return linked.unionByName(m.select("v", F.col("mn").alias("p"))).distinct()
 
 
-def _not_star(e: DataFrame) -> int:
-    """Nodes breaking the star form: >1 parent, or both a child and a parent."""
-    ends = e.select(F.col("v").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("parent")) \
-        .unionByName(e.select(F.col("p").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
-    per = ends.groupBy("x").agg(F.sum("child").alias("c"), F.max("parent").alias("isp"))
-    return per.filter((F.col("c") > 1) | ((F.col("c") >= 1) & (F.col("isp") == 1))).count()
+def _fingerprint(e: DataFrame) -> tuple:
+    """(rows, checksums) of the pairs: one scalar row."""
+    return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("v", "p")),
+                       F.bit_xor(F.xxhash64("p", F.lit(7), "v"))).first())
 
 
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None,
-                         max_rounds: int | None = None) -> DataFrame:
+                         max_keys: int = MAX_HOT_KEYS) -> DataFrame:
     """``(id, component)``; direction ignored; label = smallest id; isolates label themselves."""
-    start = simple_edges(edges).select(F.col("b").alias("v"), F.col("a").alias("p"))
-    stars, _ = fixpoint(start, lambda e: _small_star(_large_star(e)), _not_star, max_rounds)
-    return vertex_ids(edges, vertices).join(
-        stars.withColumnRenamed("v", "id"), "id", "left"
-    ).select("id", F.coalesce("p", "id").alias("component"))
+    e = cut(simple_edges(edges).select(F.col("b").alias("v"), F.col("a").alias("p")))
+    now = _fingerprint(e)
+    while now[0]:
+        large = cut(_large_star(e, now[0], max_keys))
+        e = cut(_small_star(large, now[0], max_keys))
+        before, now = now, _fingerprint(e)
+        if now == before:
+            break
+    stars = e.withColumnRenamed("v", "id")
+    return vertex_ids(edges, vertices).join(stars, "id", "left").select(
+        "id", F.coalesce("p", "id").alias("component"))
 
 
 def component_sizes(components: DataFrame) -> DataFrame:

@@ -31,6 +31,15 @@ def heavy_keys(per_key: DataFrame, key: str, weight: str,
     return cut(per_key.filter(F.col(weight) > F.lit(threshold)).select(key))
 
 
+def keys_above(per_key: DataFrame, key: str, weight: str, total: int,
+               max_keys: int = MAX_HOT_KEYS) -> DataFrame:
+    """As :func:`heavy_keys` for a materialised ``per_key`` whose total weight is known.
+
+    At most ``max_keys`` rows as long as ``total`` is the sum of the weights.
+    """
+    return per_key.filter(F.col(weight) > F.lit(total / max_keys)).select(key)
+
+
 def split_join(big: DataFrame, per_key: DataFrame, key: str, hot: DataFrame,
                how: str = "inner") -> DataFrame:
     """``big ⋈ per_key`` on ``key``: hot keys through a broadcast, the rest shuffled.
