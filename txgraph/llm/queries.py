@@ -6,6 +6,7 @@ from txgraph.llm.bpe_trie import bpe_encode
 from txgraph.llm.common import table
 from txgraph.llm import line_dedup, url_filter
 from txgraph.llm.quality import quality
+from txgraph.llm.setsketch import near_duplicates
 from txgraph.llm.token_counts import token_counts
 
 
@@ -25,6 +26,10 @@ def op5_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_near_duplicates(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark, sf_dir):
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), digests=True)
 
@@ -34,6 +39,7 @@ QUERIES = {
     "op2_bpe_encode": op2_bpe_encode,
     "op3_url_filter": op3_url_filter,
     "op5_token_counts": op5_token_counts,
+    "op6_near_duplicates": op6_near_duplicates,
     "op10_line_dedup": op10_line_dedup,
 }
 
