@@ -5,6 +5,7 @@ from __future__ import annotations
 from txgraph.llm.bpe_trie import bpe_encode
 from txgraph.llm.common import table
 from txgraph.llm import line_dedup, url_filter
+from txgraph.llm.nn_descent import vector_near_duplicates
 from txgraph.llm.packing import pack
 from txgraph.llm.quality import quality
 from txgraph.llm.setsketch import near_duplicates
@@ -35,6 +36,10 @@ def op7_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_vector_near_duplicates(spark, sf_dir):
+    return vector_near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_line_dedup(spark, sf_dir):
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), digests=True)
 
@@ -46,6 +51,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_packing": op7_packing,
+    "op8_vector_near_duplicates": op8_vector_near_duplicates,
     "op10_line_dedup": op10_line_dedup,
 }
 
