@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from txgraph.llm.bpe_trie import bpe_encode
 from txgraph.llm.common import table
-from txgraph.llm import line_dedup, url_filter
+from txgraph.llm import line_dedup, topk, url_filter
 from txgraph.llm.nn_descent import vector_near_duplicates
 from txgraph.llm.packing import pack
 from txgraph.llm.quality import quality
@@ -24,6 +24,10 @@ def op3_url_filter(spark, sf_dir):
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
+def op4_topk(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op5_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_bpe_encode": op2_bpe_encode,
     "op3_url_filter": op3_url_filter,
+    "op4_topk": op4_topk,
     "op5_token_counts": op5_token_counts,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_packing": op7_packing,
@@ -56,6 +61,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_topk": topk.ORACLE,
     "op3_url_filter": url_filter.oracle(),
     "op10_line_dedup": line_dedup.ORACLE,
 }
