@@ -5,6 +5,7 @@ from __future__ import annotations
 from txgraph.llm.bpe_trie import bpe_encode
 from txgraph.llm.common import table
 from txgraph.llm import line_dedup, topk, url_filter
+from txgraph.llm.licenses import license_scan
 from txgraph.llm.nn_descent import vector_near_duplicates
 from txgraph.llm.packing import pack
 from txgraph.llm.quality import quality
@@ -44,6 +45,10 @@ def op8_vector_near_duplicates(spark, sf_dir):
     return vector_near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op9_license_scan(spark, sf_dir):
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark, sf_dir):
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), digests=True)
 
@@ -57,6 +62,7 @@ QUERIES = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_packing": op7_packing,
     "op8_vector_near_duplicates": op8_vector_near_duplicates,
+    "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
 }
 
