@@ -144,9 +144,9 @@ class LineRuns:
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 min_chars: int = 20, min_docs: int = 3, batches: int = 4,
-                fanout: int = 2, digests: bool = False) -> DataFrame:
+                fanout: int = 2, digests: bool = False, whole_rows: bool = False) -> DataFrame:
     """(id, n_lines, n_dropped, text) of every row; ``digests``: SHA-256 of the kept text
-    in place of the text."""
+    in place of the text; ``whole_rows``: instead all columns of ``df``, the text replaced."""
     spark = df.sparkSession
     hashes = cut(line_hashes(df, id_col, text_col, min_chars)
                  .withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches))), "line-hashes")
@@ -165,10 +165,15 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drops = (of_heavy.unionByName(of_light).filter(F.col("doc") < F.col("max_doc"))
              .groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("drops")))
 
+    own = df if whole_rows else df.select(F.col(id_col), F.col(text_col))
+    own = own.withColumn(text_col, F.col(text_col).cast("string"))
+    at = own.columns.index(text_col)
+    names = own.columns
+
     def apply(batches_):
         for b in batches_:
             n_lines, n_drop, kept = [], [], []
-            for t, ds in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for t, ds in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist()):
                 lines = (t or "").split("\n")
                 keep = lines
                 if ds:
@@ -177,18 +182,27 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                             or key_hash(k) not in out]
                 n_lines.append(len(lines))
                 n_drop.append(len(lines) - len(keep))
-                text = "\n".join(keep)
+                text = t if len(keep) == len(lines) and whole_rows else "\n".join(keep)
                 kept.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
                             if digests else text)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n_lines, pa.int64()), pa.array(n_drop, pa.int64()),
-                 pa.array(kept, pa.string())], names=[id_col, "n_lines", "n_dropped", out_col])
-
+            if whole_rows:
+                cols = list(b.columns[:len(names)])
+                cols[at] = pa.array(kept, pa.string())
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+            else:
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(1 - at), pa.array(n_lines, pa.int64()),
+                     pa.array(n_drop, pa.int64()), pa.array(kept, pa.string())],
+                    names=[id_col, "n_lines", "n_dropped", out_col])
+
+    # the join's own columns get names that no column of the table has
+    key, drop = "_" * 8 + "doc", "_" * 8 + "drops"
+    drops = drops.select(F.col("doc").alias(key), F.col("drops").alias(drop))
+    joined = own.join(drops, F.col(id_col).cast("bigint") == F.col(key), "left").drop(key)
+    if whole_rows:
+        return joined.mapInArrow(apply, own.schema)
     out_col = "kept_sha256" if digests else text_col
-    src = df.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))
-    kind = src.schema[0].dataType.simpleString()
-    joined = src.join(drops, src[id_col] == drops["doc"], "left").select(
-        src[id_col], src[text_col], "drops")
+    kind = own.schema[id_col].dataType.simpleString()
     return joined.mapInArrow(
         apply, f"`{id_col}` {kind}, n_lines bigint, n_dropped bigint, `{out_col}` string")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from txgraph.llm.bpe_trie import bpe_encode
 from txgraph.llm.common import table
+import corpus_pipeline
 from txgraph.llm import line_dedup, topk, url_filter
 from txgraph.llm.licenses import license_scan
 from txgraph.llm.nn_descent import vector_near_duplicates
@@ -64,6 +65,7 @@ QUERIES = {
     "op8_vector_near_duplicates": op8_vector_near_duplicates,
     "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
