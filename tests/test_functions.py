@@ -34,3 +34,24 @@ def test_long_to_hex_and_pairs(spark):
     rows = df.select(long_to_hex(F.col("id") * 255).alias("h"), pairs("id").alias("p")).collect()
     assert [r.h for r in rows] == ["0x0", "0xff", "0x1fe", "0x2fd", "0x3fc"]
     assert [r.p for r in rows] == [0, 0, 1, 3, 6]
+
+
+def test_pairs_are_exact_for_large_counts(spark):
+    big = [200000003, 1000000007, 4000000000, 2, 1, 0]
+    rows = spark.createDataFrame([(n,) for n in big], "n bigint").select("n", pairs("n").alias("p")).collect()
+    assert {r.n: r.p for r in rows} == {n: n * (n - 1) // 2 for n in big}
+
+
+def test_square_is_exact(spark):
+    from txgraph.functions.scalars import square
+
+    row = spark.createDataFrame([(3037000507,)], "n bigint").select(square("n").alias("s")).first()
+    assert int(row.s) == 3037000507 ** 2
+
+
+def test_total_of_odd_large_sum_is_exact(spark):
+    from txgraph.operators.triangles import triangle_total
+
+    t = 3 * (2 ** 60 + 1)
+    tpv = spark.createDataFrame([(1, t - 5), (2, 5)], "id bigint, t bigint")
+    assert triangle_total(None, tpv).first()[0] == 2 ** 60 + 1

@@ -28,9 +28,9 @@ def _digest(cols, rows):
 
 
 def _names():
-    from __spark_entry__ import oracle_sql
+    from txgraph.plans.catalog import ORACLE_SQL
 
-    return sorted(oracle_sql())
+    return sorted(ORACLE_SQL)
 
 
 @pytest.fixture(scope="module")
@@ -56,5 +56,5 @@ def test_entry_report(spark):
     from __spark_entry__ import entry
 
     row = entry(spark).first()
-    assert row.vertices == 160 and row.components == 12
-    assert row.greatest_vertices == 131 and row.greatest_edges == 139
+    assert row.edges == 6000 and row.components == 338
+    assert row.greatest_vertices == 117

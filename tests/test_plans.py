@@ -29,14 +29,102 @@ def test_no_cross_join_or_python(spark, name):
         assert bad not in plan, f"{name}: {bad} in plan"
 
 
-def test_sparse_filter_reaches_scan(spark):
+def test_scan_reads_only_what_edges_need(spark):
     from txgraph.plans import fixtures as fx
 
-    plan = _plan(fx.sparse_edges(spark, SF))
-    assert ("PushedFilters: [IsNotNull(l_linenumber), IsNotNull(l_returnflag), "
-            "IsNotNull(l_discount), EqualTo(l_linenumber,1)") in plan
-    # column pruning: the scan reads only what the edges need
-    assert "l_tax" not in plan and "l_comment" not in plan
+    plan = _plan(fx.monthly_edges(spark, SF))
+    for col in ("l_tax", "l_comment", "l_returnflag", "o_totalprice"):
+        assert col not in plan
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Plans as a cluster runs them: no join is small enough to broadcast by itself."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_label_round_does_not_shuffle_messages(shuffled):
+    """One round: the messages lie by sender already, only labels and histograms move."""
+    from pyspark.sql import functions as F
+
+    from txgraph.operators import community as CM
+    from txgraph.operators.views import vertex_ids
+    from txgraph.plans import fixtures as fx
+    from txgraph.session import cut, cut_by
+
+    spark = shuffled
+    e = cut(fx.monthly_edges(spark, SF))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    w = cut(CM.message_weights(e))
+    hot = cut(w.select("f").limit(1))
+    cold = cut_by(w.join(F.broadcast(hot), "f", "left_anti"), "f", parts)
+    labels = cut(vertex_ids(e).select("id", F.col("id").alias("label"), F.lit(False).alias("changed")))
+    step = CM._lpa_round((cold, cut(w.join(F.broadcast(hot), "f", "left_semi"))), hot)(labels)
+    plan = _plan(step)
+    # labels by f, (t, label), t, labels by id
+    assert plan.count("Exchange hashpartitioning") == 4
+    assert not [x for x in FORBIDDEN if x in plan]
+
+
+def test_hub_root_is_split_in_star_rounds(shuffled):
+    """A root with a third of all pairs: no shuffle partition of the join holds its rows."""
+    from pyspark.sql import functions as F
+
+    from txgraph.operators import components as CC
+    from txgraph.session import cut
+
+    spark = shuffled
+    n = 6000
+    pairs = cut(spark.range(1, n // 3).select(F.col("id").alias("v"), F.lit(0).cast("bigint").alias("p"))
+                .unionByName(spark.range(n, n + n, 3).select((F.col("id") + 1).alias("v"), F.col("id").alias("p"))))
+    rows = pairs.count()
+    large = CC._large_star(pairs, rows, 100)
+    assert "BroadcastHashJoin" in _plan(large)
+    both = pairs.select(F.col("p").alias("u"), F.col("v").alias("w")).unionByName(
+        pairs.select(F.col("v").alias("u"), F.col("p").alias("w")))
+    m = CC._minima(both, "u", "w")
+    hot = {r.u for r in CC.keys_above(m, "u", "n", 2 * rows, 100).collect()}
+    assert hot == {0}
+    comps = CC.connected_components(
+        pairs.select(F.col("v").alias("src"), F.col("p").alias("dst")), max_keys=100)
+    sizes = {r.component: r.size for r in CC.component_sizes(comps).collect()}
+    assert sizes[0] == n // 3 and set(sizes.values()) == {n // 3, 2}
+    keep = spark.range(0, n // 3)
+    from txgraph.operators.build import induced_edges
+
+    e = pairs.select(F.col("p").alias("src"), F.col("v").alias("dst"))
+    assert induced_edges(e, keep, max_keys=100).count() == n // 3 - 1
+
+
+def test_hot_and_cold_branches_agree_with_the_plain_result(shuffled):
+    """Few hot keys, so both branches of every split join have rows."""
+    from txgraph.operators import community as CM
+    from txgraph.operators import skew
+    from txgraph.operators import triangles as T
+    from txgraph.operators.degrees import degrees
+    from txgraph.plans import fixtures as fx
+    from txgraph.session import cut
+
+    spark = shuffled
+    e = cut(fx.dense_edges(spark, SF))
+    deg = degrees(e, "simple")
+    some = skew.heavy_keys(deg, "id", "degree", 190).count()
+    assert 0 < some < deg.count()
+    brute = T.triangle_total(e).first()[0]
+    for plan in ({"max_keys": 190}, {"hot_in": 150}, {"out_block": 3, "hot_in": 150}):
+        assert T.triangle_total(e, **plan).first()[0] == brute
+    per = {r.id: r.t for r in T.vertex_triangles(e).collect()}
+    assert per == {r.id: r.t for r in T.vertex_triangles(e, out_block=4, hot_in=150).collect()}
+    assert per == {r.id: r.t for r in T.vertex_triangles(e, T.triangles(e, out_block=5)).collect()}
+    plain = {r.id: r.label for r in CM.label_propagation(e, 3).collect()}
+    assert plain == {r.id: r.label for r in CM.label_propagation(e, 3, max_keys=150).collect()}
+    groups = cut(fx.dense_edges(spark, SF).selectExpr("src AS id").union(e.selectExpr("dst AS id"))
+                 .distinct().selectExpr("id", "id % 7 AS label"))
+    links = lambda k: sorted(map(tuple, CM.label_pairs(e, groups, k).collect()))
+    assert links(10_000) == links(150) == links(1)
 
 
 def test_top_k_per_address_limits_before_shuffle(spark):

@@ -64,9 +64,10 @@ def test_v1_extractors(spark):
     assert got == {"t1": ("a", "b", 7), "t2": (None, None, 1)}
     refs = [{"tx_hash": f"h{i}", "tx_input_n": 0, "tx_output_n": -1, "value": i} for i in range(8)]
     ads = [json.dumps({"address": "a", "txrefs": refs}), json.dumps({"address": "b"})]
-    out = BK.ingest_address_refs(BK.parse_json(spark.createDataFrame([(a,) for a in ads], "json string"),
-                                               S.ADDRESS))
-    assert [r.tx_hash for r in out.orderBy("pos").collect()] == ["h0", "h1", "h2", "h3", "h4"]
+    recs = BK.parse_json(spark.createDataFrame([(a,) for a in ads], "json string"), S.ADDRESS)
+    page = BK.ingest_address_refs(recs, 5)
+    assert [r.tx_hash for r in page.orderBy("pos").collect()] == ["h0", "h1", "h2", "h3", "h4"]
+    assert BK.ingest_address_refs(recs).count() == 8
     blk = {"hash": "b1", "height": 3, "txids": ["x", "y"]}
     ids = BK.ingest_block_txids(BK.parse_json(spark.createDataFrame([(json.dumps(blk),)], "json string"),
                                               S.BLOCK))
@@ -88,7 +89,7 @@ def test_gexf_document(spark):
 
 
 def test_block_stream_dedups(spark):
-    from txgraph.streaming.blocks import stream_blocks
+    from txgraph.streaming.blocks import read_stream_blocks, stream_blocks, stream_rejects
 
     base = _tmp(spark, "streamtest")
     blk = {"result": {"number": "0x1", "transactions": [
@@ -101,7 +102,74 @@ def test_block_stream_dedups(spark):
     for i, b in enumerate([blk, dup]):
         with open(f"{local}/landing/{i}.json", "w") as fh:
             fh.write(json.dumps(b) + "\n")
+    with open(f"{local}/landing/2.json", "w") as fh:
+        fh.write('{"result": {"num\n')
     q = stream_blocks(spark, f"{base}/landing", f"{base}/out", f"{base}/state")
     q.awaitTermination()
-    out = spark.read.parquet(f"{base}/out")
-    assert sorted(r.hash for r in out.collect()) == ["aa", "bb"]
+    out = read_stream_blocks(spark, f"{base}/out")
+    assert sorted((r.hash, r.height) for r in out.collect()) == [("aa", 1), ("bb", 2)]
+    assert [r[0] for r in stream_rejects(spark, f"{base}/out").collect()] == ['{"result": {"num']
+    # a lower block that lands later wins, as in the batch rule
+    with open(f"{local}/landing/3.json", "w") as fh:
+        fh.write(json.dumps({"result": {"number": "0x0", "transactions": [
+            {"hash": "0xaa", "from": "0x01", "to": "0x02", "value": "0x7"}]}}) + "\n")
+    stream_blocks(spark, f"{base}/landing", f"{base}/out", f"{base}/state").awaitTermination()
+    rows = {r.hash: (r.height, r.value) for r in read_stream_blocks(spark, f"{base}/out").collect()}
+    assert rows["aa"] == (0, 7)
+
+
+def test_corrupt_count_and_rejects_of_files(spark):
+    base = _tmp(spark, "corrupt")
+    good = json.dumps({"result": {"number": "0x1", "transactions": []}})
+    spark.createDataFrame([(good,), ("{oops",), ('{"id": 3}',)], "value string").coalesce(1).write.text(base)
+    recs = BK.read_json(spark, base, S.BLOCK_CONTAINER)
+    assert BK.corrupt_count(recs).first()[0] == 1
+    assert BK.rejects(recs).count() == 2
+
+
+def test_null_to_rules(spark):
+    blk = {"result": {"number": "0x1", "transactions": [
+        {"hash": "0xaa", "from": "0x01", "to": None, "value": "0x1"},
+        {"hash": "0xbb", "from": "0x01", "to": "0x02", "value": "0x1"}]}}
+    other = {"result": {"number": "0x2", "transactions": [
+        {"hash": "0xcc", "from": "0x01", "to": "0x02", "value": "0x1"}]}}
+    recs = BK.parse_json(spark.createDataFrame([(json.dumps(b),) for b in (blk, other)], "json string"),
+                         S.BLOCK_CONTAINER)
+    got = {k: sorted(r.hash for r in BK.ingest_blocks(recs, k).collect()) for k in BK.NULL_TO}
+    assert got == {"keep": ["aa", "bb", "cc"], "drop_row": ["bb", "cc"], "drop_block": ["cc"]}
+
+
+def test_missing_ends_and_heights(spark):
+    from txgraph.operators.sample import dedup_last_wins, node_table
+    from txgraph.operators.views import endpoint_ids
+
+    e = spark.createDataFrame([("a", "b"), ("a", None)], "src string, dst string")
+    assert sorted(r[0] for r in node_table(e).collect()) == ["a", "b"]
+    assert endpoint_ids(e).count() == 2
+    rows = spark.createDataFrame(
+        [("x", None, 9, 1), ("x", 3, None, 2), ("x", 3, 0, 3), ("x", 3, 4, 4), ("y", None, None, 5)],
+        "hash string, height bigint, pos bigint, value bigint")
+    assert {r.hash: r.value for r in dedup_last_wins(rows).collect()} == {"x": 4, "y": 5}
+
+
+def test_encode_missing_endpoints(spark):
+    import pytest
+
+    from txgraph.operators.build import encode_edges
+
+    ids = spark.createDataFrame([("a", 0), ("c", 1)], "address string, vid bigint")
+    e = spark.createDataFrame([("a", "c", 1), ("a", "b", 2), ("d", "a", 3)],
+                              "src string, dst string, value bigint")
+    got = {k: sorted(map(tuple, encode_edges(e, ids, k).collect())) for k in ("drop", "add")}
+    assert got == {"drop": [(0, 1, 1)], "add": [(0, 1, 1), (0, 2, 2), (3, 0, 3)]}
+    with pytest.raises(Exception, match="without a vertex id"):
+        encode_edges(e, ids).collect()
+
+
+def test_write_rows_quotes_separators(spark):
+    path = _tmp(spark, "rows")
+    rows = spark.createDataFrame([("a|b", 1), ("c", 2)], "x string, y bigint")
+    CSV.write_rows(rows, path, sep="|")
+    CSV.write_rows(rows, path, sep="|")
+    back = spark.read.schema("x string, y bigint").option("sep", "|").option("header", True).csv(path)
+    assert sorted(map(tuple, back.collect())) == [("a|b", 1), ("a|b", 1), ("c", 2), ("c", 2)]

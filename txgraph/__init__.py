@@ -7,7 +7,7 @@ The public surface: free functions over ``edges(src, dst, value)`` /
 from txgraph.functions import hex_quantity, hex_to_long, long_to_hex, strip_0x
 from txgraph.operators.build import (TxGraph, assign_ids, build_graph, encode_edges,
                                      graph_counts, induced_edges, induced_subgraph)
-from txgraph.operators.clustering import (average_clustering, clustering_summary,
+from txgraph.operators.clustering import (average_clustering,
                                           global_clustering, local_clustering, local_split,
                                           transitivity)
 from txgraph.operators.community import (cluster_count, cluster_links, cluster_sizes,
@@ -30,7 +30,7 @@ from txgraph.streaming.blocks import block_stream, stream_blocks
 
 __all__ = [
     "TxGraph", "assign_ids", "average_clustering", "block_range_sample", "block_stream",
-    "build_graph", "cluster_count", "cluster_links", "cluster_sizes", "clustering_summary",
+    "build_graph", "cluster_count", "cluster_links", "cluster_sizes",
     "component_sizes", "connected_components", "dedup_last_wins", "degree_filter",
     "degree_filter_graph", "degrees", "directed_edges", "drop_self_loops", "encode_edges",
     "gexf_lines", "global_clustering", "graph_counts", "graph_report", "greatest_components",

@@ -11,9 +11,11 @@ def col_of(c: Column | str) -> Column:
 
 
 def pairs(n: Column | str) -> Column:
-    """Unordered pairs C(n, 2) on bigint (0 for n < 2; no Int overflow)."""
+    """Unordered pairs C(n, 2), exact on bigint (0 for n < 2): the even factor is
+    halved by a shift, so nothing passes through a double."""
     n = col_of(n).cast("bigint")
-    return F.when(n < 2, F.lit(0).cast("bigint")).otherwise(n * (n - 1) / 2).cast("bigint")
+    half = F.when(n % 2 == 0, F.shiftright(n, 1) * (n - 1)).otherwise(n * F.shiftright(n - 1, 1))
+    return F.when(n < 2, F.lit(0).cast("bigint")).otherwise(half)
 
 
 def first_of_first(arr: Column | str, field: str) -> Column:
@@ -26,9 +28,10 @@ def ratio(num: Column, den: Column) -> Column:
     return num.cast("double") / F.nullif(den.cast("double"), F.lit(0.0))
 
 
-def square(c: Column) -> Column:
-    """``pow(x, 2)``."""
-    return F.pow(c, F.lit(2))
+def square(c: Column | str) -> Column:
+    """The square of an integer as an exact decimal."""
+    d = col_of(c).cast("decimal(19,0)")
+    return d * d
 
 
 # XML escapes of the five predefined entities, in the order applied.

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from txgraph.operators.skew import MAX_HOT_KEYS, heavy_keys, split_join
 from txgraph.session import cut
 
 
@@ -58,27 +59,47 @@ def encode_edges(edges: DataFrame, ids: DataFrame, on_missing: str = "error") ->
     """B2: replace address endpoints by ids: ``(src, dst, value)`` as bigints.
 
     ``on_missing``: ``'error'`` fails the job on an endpoint without id (as the source
-    does), ``'drop'`` drops such edges. Two shuffle joins keyed by the address.
+    does), ``'drop'`` drops such edges, ``'add'`` gives such endpoints the next free ids
+    (see :func:`extend_ids`; a missing receiver stays NULL). Hub addresses go through a
+    bounded broadcast.
     """
+    if on_missing == "add":
+        ids = extend_ids(edges, ids)
     s = ids.select(F.col("address").alias("src"), F.col("vid").alias("src_id"))
     d = ids.select(F.col("address").alias("dst"), F.col("vid").alias("dst_id"))
     how = "inner" if on_missing == "drop" else "left"
-    j = edges.join(s, "src", how).join(d, "dst", how)
+    hot_s = heavy_keys(edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")), "src", "n")
+    hot_d = heavy_keys(edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n")), "dst", "n")
+    j = split_join(split_join(edges, s, "src", hot_s, how), d, "dst", hot_d, how)
     if on_missing == "error":
         missing = F.col("src_id").isNull() | F.col("dst_id").isNull()
         guard = F.when(missing, F.raise_error(F.lit("edge endpoint without a vertex id")))
         j = j.withColumn("src_id", F.coalesce(guard.cast("bigint"), F.col("src_id")))
-    elif on_missing != "drop":
-        raise ValueError("on_missing must be 'error' or 'drop'")
+    elif on_missing not in ("drop", "add"):
+        raise ValueError("on_missing must be 'error', 'drop' or 'add'")
     return j.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "value")
 
 
+def extend_ids(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """``ids(address, vid)`` and, after the largest id, the endpoints it lacks, in address
+    order."""
+    ends = (edges.select(F.col("src").alias("address"))
+            .unionByName(edges.select(F.col("dst").alias("address")))
+            .filter(F.col("address").isNotNull()).distinct())
+    last = ids.agg(F.coalesce(F.max("vid"), F.lit(-1).cast("bigint")).alias("m")).first()["m"]
+    more = assign_ids(ends.join(ids.select("address"), "address", "left_anti"))
+    return ids.select("address", "vid").unionByName(
+        more.select("address", (F.col("vid") + (last + 1)).alias("vid")))
+
+
 def build_graph(vertices: DataFrame, edges: DataFrame, on_missing: str = "error") -> TxGraph:
     """B1 + B2 + B3: address tables -> ``TxGraph`` on dense ids.
 
     ``vertices(address)``, ``edges(src, dst, value)`` with address strings.
     """
-    ids = assign_ids(vertices)
+    ids = cut(assign_ids(vertices))
+    if on_missing == "add":
+        ids, on_missing = cut(extend_ids(edges, ids)), "error"
     return TxGraph(ids.select(F.col("vid").alias("id"), "address"),
                    encode_edges(edges, ids, on_missing))
 
@@ -91,14 +112,18 @@ def graph_counts(vertices: DataFrame, edges: DataFrame) -> DataFrame:
                    edges.agg(F.count(F.lit(1)).alias("edges")))
 
 
-def induced_edges(edges: DataFrame, keep: DataFrame, both_ends: bool = True) -> DataFrame:
+def induced_edges(edges: DataFrame, keep: DataFrame, both_ends: bool = True,
+                  max_keys: int = MAX_HOT_KEYS) -> DataFrame:
     """Edges whose ends are in ``keep(id)``; ``both_ends=False`` checks the source only
     (enough when both ends are known to share membership, e.g. a component).
-    Semi-joins: the kept set is never collected.
+    The kept set is never collected. Edges of hub ends (more than ``1/max_keys`` of the
+    rows) meet it through a bounded broadcast, all others through a shuffle.
     """
-    out = edges.join(keep.select(F.col("id").alias("src")), "src", "left_semi")
-    if both_ends:
-        out = out.join(keep.select(F.col("id").alias("dst")), "dst", "left_semi")
+    keep = cut(keep.select("id").distinct())
+    out = edges
+    for end in ("src", "dst") if both_ends else ("src",):
+        hot = heavy_keys(edges.groupBy(end).agg(F.count(F.lit(1)).alias("n")), end, "n", max_keys)
+        out = split_join(out, keep.select(F.col("id").alias(end)), end, hot)
     return out.select(*edges.columns)
 
 

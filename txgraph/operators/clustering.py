@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 
 from txgraph.functions.scalars import pairs, ratio
 from txgraph.operators.degrees import degrees
-from txgraph.operators.triangles import vertex_triangles
-from txgraph.session import cut
+from txgraph.operators.triangles import triangle_total, vertex_triangles
 
 
 def local_clustering(edges: DataFrame, tpv: DataFrame | None = None) -> DataFrame:
@@ -67,32 +66,14 @@ def global_clustering(edges: DataFrame, view: str = "directed",
 
 def transitivity(edges: DataFrame, view: str = "directed",
                  tpv: DataFrame | None = None) -> DataFrame:
-    """One row ``(transitivity)`` = 3 * triangles / sum of C(degree, 2).
-
-    3 * triangles = the sum of per-vertex triangle counts.
-    """
-    t = vertex_triangles(edges) if tpv is None else tpv
+    """One row ``(transitivity)`` = 3 * triangles / sum of C(degree, 2), both exact
+    decimals until the final ratio."""
+    dec = "decimal(38,0)"
+    tri = triangle_total(edges, tpv).select(
+        (F.col("triangles").cast("decimal(20,0)") * 3).cast(dec).alias("tri"),
+        F.lit(0).cast("bigint").alias("pairs"))
     d = degrees(edges, view).filter(F.col("degree") >= 2)
-    stacked = t.select(F.col("t").alias("tri"), F.lit(0).cast("bigint").alias("pairs")).unionByName(
-        d.select(F.lit(0).cast("bigint").alias("tri"), pairs("degree").alias("pairs")))
+    stacked = tri.unionByName(
+        d.select(F.lit(0).cast(dec).alias("tri"), pairs("degree").alias("pairs")))
     return stacked.agg(
-        ratio(F.sum("tri"), F.sum("pairs")).alias("transitivity"))
-
-
-def clustering_summary(edges: DataFrame, view: str = "directed") -> DataFrame:
-    """D7-D10 + D17 in one row, sharing one per-vertex triangle table."""
-    tpv = cut(vertex_triangles(edges))
-    local = local_clustering(edges, tpv)
-    return _one_row(
-        global_clustering(edges, view, tpv),
-        transitivity(edges, view, tpv),
-        average_clustering(edges, local),
-        local_split(edges, local),
-    )
-
-
-def _one_row(*frames: DataFrame) -> DataFrame:
-    """Combine single-row frames with distinct columns into one row (no join)."""
-    from txgraph.plans.report import one_row
-
-    return one_row(*frames)
+        ratio(F.sum("tri"), F.sum(F.col("pairs").cast("decimal(28,0)"))).alias("transitivity"))

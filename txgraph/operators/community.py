@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from txgraph.functions.scalars import square
 from txgraph.operators.iterate import fixpoint
-from txgraph.operators.skew import heavy_keys, split_join
+from txgraph.operators.skew import MAX_HOT_KEYS, heavy_keys, split_join
 from txgraph.operators.views import vertex_ids
-from txgraph.session import cut
+from txgraph.session import cut, cut_by
 
 
 def message_weights(edges: DataFrame) -> DataFrame:
@@ -25,11 +26,15 @@ def message_weights(edges: DataFrame) -> DataFrame:
     return sent.groupBy("f", "t").agg(F.count(F.lit(1)).alias("w"))
 
 
-def _lpa_round(w: DataFrame, hot: DataFrame):
+def _lpa_round(w: tuple[DataFrame, DataFrame], hot: DataFrame):
+    cold_w, hot_w = w
+
     def step(labels: DataFrame) -> DataFrame:
         # Senders' labels: hub senders (bounded set) join map-side against a broadcast
-        # of their labels, the rest through a shuffle join without hot keys.
-        sent = split_join(w, labels.select(F.col("id").alias("f"), "label"), "f", hot)
+        # of their labels; the other messages already lie partitioned by sender.
+        own = labels.select(F.col("id").alias("f"), "label")
+        sent = cold_w.join(own, "f").unionByName(
+            hot_w.join(F.broadcast(own.join(F.broadcast(hot), "f", "left_semi")), "f"))
         # Label histogram per receiver. The (t, label) grouping is combined
         # map-side and spreads a hub's histogram over many reducers.
         hist = sent.groupBy("t", "label").agg(F.sum("w").alias("n"))
@@ -46,7 +51,8 @@ def _lpa_round(w: DataFrame, hot: DataFrame):
 
 
 def label_propagation(edges: DataFrame, max_steps: int = 5,
-                      vertices: DataFrame | None = None) -> DataFrame:
+                      vertices: DataFrame | None = None,
+                      max_keys: int = MAX_HOT_KEYS) -> DataFrame:
     """Synchronous label propagation: ``(id, label)``.
 
     Start label = own id. Each round every vertex takes the label with the largest
@@ -55,10 +61,16 @@ def label_propagation(edges: DataFrame, max_steps: int = 5,
     0 inclusive, so ``max_steps=5`` means up to six rounds).
 
     Divergence kept on purpose: a vertex without edges keeps its own label instead
-    of being dropped. Message weights are computed and checkpointed once.
+    of being dropped. Message weights are computed once and checkpointed partitioned by
+    sender, hub senders apart, so a round shuffles labels and histograms but never the
+    messages again (``cut_by``).
     """
     w = cut(message_weights(edges))
-    hot = heavy_keys(w.groupBy("f").agg(F.sum("w").alias("sent")), "f", "sent")
+    hot = cut(heavy_keys(w.groupBy("f").agg(F.sum("w").alias("sent")), "f", "sent", max_keys))
+    hot_b = F.broadcast(hot)
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    w = (cut_by(w.join(hot_b, "f", "left_anti"), "f", parts),
+         cut(w.join(hot_b, "f", "left_semi")))
     labels = vertex_ids(edges, vertices).select("id", F.col("id").alias("label"),
                                                 F.lit(False).alias("changed"))
     out, _ = fixpoint(labels, _lpa_round(w, hot),
@@ -76,39 +88,37 @@ def cluster_count(labels: DataFrame) -> DataFrame:
     return labels.agg(F.count_distinct("label").alias("clusters"))
 
 
-def labelled_edges(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Edge rows with both end labels ``(ls, ld)`` (the source's ``triplets``)."""
-    return (
-        edges.select("src", "dst")
-        .join(labels.select(F.col("id").alias("src"), F.col("label").alias("ls")), "src")
-        .join(labels.select(F.col("id").alias("dst"), F.col("label").alias("ld")), "dst")
-        .select("ls", "ld")
-    )
+def label_pairs(edges: DataFrame, labels: DataFrame, max_keys: int = MAX_HOT_KEYS) -> DataFrame:
+    """``(ls, ld, n)``: edge rows per pair of end labels (the source's ``triplets``, counted).
+
+    The one pass over the multigraph that links, weights and modularity share; hub ends
+    go through a bounded broadcast."""
+    e = edges.select("src", "dst")
+    for end, name in (("src", "ls"), ("dst", "ld")):
+        hot = heavy_keys(edges.groupBy(end).agg(F.count(F.lit(1)).alias("n")), end, "n", max_keys)
+        e = split_join(e, labels.select(F.col("id").alias(end), F.col("label").alias(name)), end, hot)
+    return cut(e.groupBy("ls", "ld").agg(F.count(F.lit(1)).alias("n")))
 
 
-def cluster_links(edges: DataFrame, labels: DataFrame) -> DataFrame:
+def cluster_links(edges: DataFrame, labels: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """``(label, other, weight)``: intra-cluster edges on the diagonal (0.5 + 0.5
     each), every inter-cluster edge once in each direction with weight 1."""
-    le = labelled_edges(edges, labels)
-    inter = le.filter(F.col("ls") != F.col("ld"))
-    rows = (
-        le.filter(F.col("ls") == F.col("ld")).select(F.col("ls").alias("label"), F.col("ld").alias("other"))
-        .unionByName(inter.select(F.col("ls").alias("label"), F.col("ld").alias("other")))
-        .unionByName(inter.select(F.col("ld").alias("label"), F.col("ls").alias("other")))
-    )
-    return rows.groupBy("label", "other").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    p = label_pairs(edges, labels) if pairs is None else pairs
+    rows = p.select(F.col("ls").alias("label"), F.col("ld").alias("other"), "n").unionByName(
+        p.filter(F.col("ls") != F.col("ld"))
+        .select(F.col("ld").alias("label"), F.col("ls").alias("other"), "n"))
+    return rows.groupBy("label", "other").agg(F.sum("n").cast("double").alias("weight"))
 
 
-def cluster_weights(edges: DataFrame, labels: DataFrame) -> DataFrame:
+def cluster_weights(edges: DataFrame, labels: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Per cluster ``(label, intra, total)``: L_c = intra edges, total = L_c + X_c where
     X_c = inter-cluster edges touching c."""
-    le = labelled_edges(edges, labels)
-    ends = le.select(F.col("ls").alias("label"),
-                     (F.col("ls") == F.col("ld")).cast("bigint").alias("intra")).unionByName(
-        le.filter(F.col("ls") != F.col("ld")).select(F.col("ld").alias("label"),
-                                                    F.lit(0).cast("bigint").alias("intra")))
-    return ends.groupBy("label").agg(F.sum("intra").alias("intra"),
-                                     F.count(F.lit(1)).alias("total"))
+    p = label_pairs(edges, labels) if pairs is None else pairs
+    zero = F.lit(0).cast("bigint")
+    ends = p.select(F.col("ls").alias("label"), F.when(F.col("ls") == F.col("ld"), F.col("n"))
+                    .otherwise(zero).alias("intra"), "n").unionByName(
+        p.filter(F.col("ls") != F.col("ld")).select(F.col("ld").alias("label"), zero.alias("intra"), "n"))
+    return ends.groupBy("label").agg(F.sum("intra").alias("intra"), F.sum("n").alias("total"))
 
 
 def modularity(edges: DataFrame, labels: DataFrame, formula: str = "standard") -> DataFrame:
@@ -122,14 +132,10 @@ def modularity(edges: DataFrame, labels: DataFrame, formula: str = "standard") -
     if formula not in ("standard", "half_intra"):
         raise ValueError("formula must be 'standard' or 'half_intra'")
     cw = cluster_weights(edges, labels)
-    dec = "decimal(38,0)"
     if formula == "half_intra":
-        sq = F.col("total").cast(dec) * F.col("total").cast(dec)
-        lin_div = 2.0
+        sq, lin_div = square("total"), 2.0
     else:
-        s = (F.col("intra") + F.col("total")).cast(dec)
-        sq = s * s
-        lin_div = 1.0
+        sq, lin_div = square(F.col("intra") + F.col("total")), 1.0
     per = cw.agg(F.sum("intra").alias("l"), F.sum(sq).alias("sq"))
     m = edges.agg(F.count(F.lit(1)).alias("m"))
     from txgraph.plans.report import one_row

@@ -17,29 +17,30 @@ TX_COLS = ("hash", "src", "dst", "value", "height")
 
 def dedup_last_wins(rows: DataFrame, key: str = "hash", height: str = "height",
                     pos: str = "pos") -> DataFrame:
-    """One row per ``key``; the winner has the lowest height, then the highest position.
+    """One row per ``key``; the winner has the lowest height, then the highest position
+    (a missing height or position loses to any other).
 
     (The block collector visits heights downwards and overwrites by key, so the
     last write is the lowest block, last position.) A ``groupBy`` with ``min(struct)``
     combines map-side: a key repeated in a third of all rows costs one partial row
     per task, never one task holding every copy.
     """
-    others = [c for c in rows.columns if c not in (key, height, pos)]
     has_pos = pos in rows.columns
-    order = [F.col(height).alias("_h"),
-             (-F.col(pos) if has_pos else F.lit(0)).alias("_p")]
-    best = rows.groupBy(key).agg(F.min(F.struct(*order, *[F.col(c) for c in others],
-                                                 *([F.col(pos)] if has_pos else []))).alias("w"))
-    return best.select(key, F.col("w._h").alias(height),
-                       *[F.col(f"w.{c}").alias(c) for c in others],
-                       *([F.col(f"w.{pos}").alias(pos)] if has_pos else []))
+    order = [F.col(height).isNull().alias("_hn"), F.col(height).alias("_h")]
+    if has_pos:
+        order += [F.col(pos).isNull().alias("_pn"), (-F.col(pos)).alias("_p")]
+    rest = [c for c in rows.columns if c != key]
+    best = rows.groupBy(key).agg(
+        F.min(F.struct(*order, F.struct(*rest).alias("row"))).alias("w"))
+    return best.select(key, *[F.col(f"w.row.{c}").alias(c) for c in rest])
 
 
 def node_table(edges: DataFrame) -> DataFrame:
-    """``(address)`` = distinct senders union distinct receivers."""
+    """``(address)`` = distinct senders union distinct receivers, missing ends left out."""
     return (
         edges.select(F.col("src").alias("address"))
         .unionByName(edges.select(F.col("dst").alias("address")))
+        .filter(F.col("address").isNotNull())
         .distinct()
     )
 
@@ -56,15 +57,19 @@ def block_range_sample(tx: DataFrame, block_number: int, max_blocks: int) -> Dat
     return dedup_last_wins(rows)
 
 
-def incidence_top(tx: DataFrame, fanout: int) -> DataFrame:
+def incidence_top(tx: DataFrame, fanout: int, addresses: DataFrame | None = None) -> DataFrame:
     """Per address its ``fanout`` latest transactions by (height desc, hash asc).
 
-    ``row_number() <= k`` is planned with a partial window-group limit before the
-    shuffle, so a hot address sends at most ``k`` rows per map task.
+    With ``addresses`` only rows incident to them are ranked. ``row_number() <= k`` is
+    planned with a partial window-group limit before the shuffle, so a hot address sends at
+    most ``k`` rows per map task. A self-transfer is incident once.
     """
     cols = [F.col(c) for c in TX_COLS]
-    inc = tx.select(F.col("src").alias("address"), *cols).unionByName(
-        tx.select(F.col("dst").alias("address"), *cols)).distinct()
+    sent = tx.select(F.col("src").alias("address"), *cols)
+    got = tx.filter(~F.col("dst").eqNullSafe(F.col("src"))).select(F.col("dst").alias("address"), *cols)
+    inc = sent.unionByName(got).filter(F.col("address").isNotNull())
+    if addresses is not None:
+        inc = inc.join(addresses.select("address"), "address", "left_semi")
     w = Window.partitionBy("address").orderBy(F.desc("height"), F.asc("hash"))
     return inc.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= fanout).drop("rk")
 
@@ -83,14 +88,14 @@ def snowball_sample(tx: DataFrame, seed_height: int, seed_count: int = 5,
     height >= ``seed_height``. Each hop takes the addresses of the transactions reached
     in the previous hop that were not expanded yet, and adds each address's
     ``fanout`` latest transactions not reached yet. ``hop`` is the hop that first
-    reached the transaction. The per-address ranking is computed once; every hop's
-    state is checkpointed; the visited sets stay distributed (anti-joins).
+    reached the transaction. A hop first cuts the table down to the rows incident to its
+    frontier, then ranks those; every hop's state is checkpointed; the visited sets stay
+    distributed (anti-joins). ``hash`` identifies a transaction: rows must not repeat.
     """
     h0 = seed_block(tx, seed_height)
     base = tx.select(*TX_COLS)
     if h0 is None:
         return base.limit(0).withColumn("hop", F.lit(0).cast("int"))
-    top = cut(incidence_top(base, fanout))
     frontier = cut(base.filter(F.col("height") == h0).orderBy("hash").limit(seed_count))
     reached = frontier.withColumn("hop", F.lit(0))
     seen = None
@@ -102,7 +107,7 @@ def snowball_sample(tx: DataFrame, seed_height: int, seed_count: int = 5,
         addrs = cut(addrs)
         seen = addrs if seen is None else cut(seen.unionByName(addrs))
         new = (
-            top.join(addrs, "address", "left_semi").select(*TX_COLS).distinct()
+            incidence_top(base, fanout, addrs).select(*TX_COLS).distinct()
             .join(reached.select("hash"), "hash", "left_anti")
         )
         frontier = cut(new)

@@ -4,14 +4,16 @@ Plan (Cohen 2009; Suri & Vassilvitskii 2011):
 
 1. simple edges ``U(a, b)`` and their simple degree;
 2. orient every edge from the lower to the higher ``(degree, id)`` rank;
-3. wedges = pairs of out-edges of the same low end, ordered by rank;
-4. a wedge is a triangle when its two ends are joined by an oriented edge
-   (``left_semi`` join on the pair).
-
-Under that orientation a vertex's out-degree is at most ``sqrt(2|U|)``: a hub's
-edges point *into* it, so no hub ever expands its own neighbour pairs and the wedge
-count is bounded by ``O(|U|^1.5)`` instead of the ``O(V^2)`` of a neighbour-set
-cartesian product. Every triangle is found exactly once, at its lowest-rank corner.
+3. out-neighbours of a vertex travel as arrays of at most ``OUT_BLOCK`` ids; an oriented
+   edge ``u -> v`` meets the arrays of ``u`` and of ``v``, and every common element ``w``
+   closes the triangle ``u < v < w`` (by rank). Wedges are never shuffled as rows.
+
+Under that orientation a vertex's out-degree is at most ``sqrt(2|U|)``: a hub's edges point
+*into* it, so no hub expands its own neighbour pairs. Out-degrees above ``OUT_BLOCK`` are
+dealt: the edges of such a vertex over as many keys as it has arrays, each of which gets a
+copy of the arrays. Many edges may point into one ``v``; such hubs go through a broadcast,
+bounded because at most ``HOT_IN`` vertices have ``1/HOT_IN`` of the edges and a vertex of
+that degree has at most ``2 * HOT_IN`` out-neighbours. Every triangle is found exactly once.
 """
 
 from __future__ import annotations
@@ -19,12 +21,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txgraph.operators.skew import heavy_keys, split_join
+from txgraph.operators.skew import MAX_HOT_KEYS, heavy_keys, split_join
 from txgraph.operators.views import simple_edges, vertex_ids
 from txgraph.session import cut
 
 
-def oriented_edges(edges: DataFrame) -> DataFrame:
+OUT_BLOCK = 1024
+HOT_IN = 1000
+
+
+def oriented_edges(edges: DataFrame, max_keys: int = MAX_HOT_KEYS) -> DataFrame:
     """Simple edges oriented low->high by (simple degree, id): ``(lo, hi, dhi)``.
 
     The degree table is checkpointed (it is read four times) - an eager step.
@@ -36,7 +42,7 @@ def oriented_edges(edges: DataFrame) -> DataFrame:
         .groupBy("id").count()
     )
     # Attaching both end degrees is a join on a vertex: hubs go through a broadcast.
-    hot = heavy_keys(deg, "id", "count")
+    hot = heavy_keys(deg, "id", "count", max_keys)
     x = split_join(u, deg.select(F.col("id").alias("a"), F.col("count").alias("da")), "a",
                    hot.select(F.col("id").alias("a")))
     x = split_join(x, deg.select(F.col("id").alias("b"), F.col("count").alias("db")), "b",
@@ -50,37 +56,56 @@ def oriented_edges(edges: DataFrame) -> DataFrame:
     )
 
 
-def triangles(edges: DataFrame) -> DataFrame:
-    """D4 listing: one row ``(a, b, c)`` with ``a < b < c`` per triangle of the simple graph.
+def closed_wedges(edges: DataFrame, max_keys: int = MAX_HOT_KEYS,
+                  hot_in: int = HOT_IN, out_block: int = OUT_BLOCK) -> DataFrame:
+    """``(u, v, ws)``: per oriented edge the vertices that close a triangle over it.
 
-    The oriented edge table is read three times (two wedge sides and the closing
-    check), so it is materialised once with a reliable checkpoint (an eager job).
+    An edge whose ends have several out-neighbour arrays gives a row per pair of arrays.
+    The oriented edge table is read four times, so it is materialised once (an eager job).
     """
-    o = cut(oriented_edges(edges))
-    x = o.select("lo", F.col("hi").alias("p"), F.col("dhi").alias("dp"))
-    y = o.select("lo", F.col("hi").alias("q"), F.col("dhi").alias("dq"))
-    wedges = x.join(y, "lo").filter(
-        (F.col("dp") < F.col("dq")) | ((F.col("dp") == F.col("dq")) & (F.col("p") < F.col("q")))
-    ).select("lo", "p", "q")
-    # Wedges outnumber edges: probe a per-partition hash of the edges instead of
-    # sorting every wedge for a sort-merge join.
-    closing = o.select(F.col("lo").alias("p"), F.col("hi").alias("q")).hint("shuffle_hash")
-    tri = wedges.join(closing, ["p", "q"], "left_semi")
-    corners = F.array_sort(F.array("lo", "p", "q"))
-    return tri.select(corners[0].alias("a"), corners[1].alias("b"), corners[2].alias("c"))
-
-
-def vertex_triangles(edges: DataFrame, tri: DataFrame | None = None) -> DataFrame:
+    o = cut(oriented_edges(edges, max_keys).select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+    size = (o.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+            .select("u", F.ceil(F.col("n") / out_block).cast("int").alias("parts")))
+    dealt = o.join(size, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
+    arrays = cut(dealt.groupBy("u", "parts", "part").agg(F.collect_list("v").alias("outs")))
+    copies = arrays.select("u", F.col("outs").alias("ou"),
+                           F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    first = dealt.select("u", "v", "part").join(copies, ["u", "part"]).select("u", "v", "ou")
+    into = cut(o.groupBy("v").agg(F.count(F.lit(1)).alias("n")))
+    hot = F.broadcast(heavy_keys(into, "v", "n", hot_in))
+    second = arrays.select(F.col("u").alias("v"), F.col("outs").alias("ov"))
+    cold = first.join(hot, "v", "left_anti").join(second, "v")
+    both = cold.unionByName(first.join(hot, "v", "left_semi").join(
+        F.broadcast(second.join(hot, "v", "left_semi")), "v"))
+    return both.select("u", "v", F.array_intersect("ou", "ov").alias("ws")).filter(F.size("ws") > 0)
+
+
+def triangles(edges: DataFrame, **plan) -> DataFrame:
+    """D4 listing: one row ``(a, b, c)`` with ``a < b < c`` per triangle of the simple graph."""
+    t = closed_wedges(edges, **plan).select("u", "v", F.explode("ws").alias("w"))
+    low, high = F.least("u", "v", "w"), F.greatest("u", "v", "w")
+    middle = F.greatest(F.least("u", "v"), F.least(F.greatest("u", "v"), "w"))
+    return t.select(low.alias("a"), middle.alias("b"), high.alias("c"))
+
+
+def vertex_triangles(edges: DataFrame, tri: DataFrame | None = None, **plan) -> DataFrame:
     """``(id, t)``: triangles per vertex, only for vertices that close at least one.
 
-    Three rows per triangle, combined map-side by the ``groupBy``. This is the
-    table the clustering coefficients share (one row per vertex, not per triangle).
+    Two rows per closed edge carry counts, one per triangle names the third corner; the
+    ``groupBy`` combines them map-side. This is the table the clustering coefficients share
+    (one row per vertex, not per triangle).
     """
-    tri = triangles(edges) if tri is None else tri
-    return (
-        tri.select(F.explode(F.array("a", "b", "c")).alias("id"))
-        .groupBy("id").agg(F.count(F.lit(1)).alias("t"))
-    )
+    if tri is not None:
+        rows = tri.select(F.explode(F.array("a", "b", "c")).alias("id"), F.lit(1).cast("bigint").alias("n"))
+    else:
+        size = F.size("ws").cast("bigint")
+        # one explode emits all three kinds of rows, so the closing runs once
+        rows = closed_wedges(edges, **plan).select(F.explode(F.concat(
+            F.array(F.struct(F.col("u").alias("id"), size.alias("n")),
+                    F.struct(F.col("v").alias("id"), size.alias("n"))),
+            F.transform("ws", lambda w: F.struct(w.alias("id"), F.lit(1).cast("bigint").alias("n")))
+        )).alias("x")).select("x.id", "x.n")
+    return rows.groupBy("id").agg(F.sum("n").alias("t"))
 
 
 def triangle_count(edges: DataFrame, vertices: DataFrame | None = None,
@@ -91,7 +116,10 @@ def triangle_count(edges: DataFrame, vertices: DataFrame | None = None,
         "id", F.coalesce("t", F.lit(0).cast("bigint")).alias("triangles"))
 
 
-def triangle_total(edges: DataFrame, tpv: DataFrame | None = None) -> DataFrame:
-    """One row ``(triangles)`` = (sum of per-vertex triangles) / 3."""
-    tpv = vertex_triangles(edges) if tpv is None else tpv
-    return tpv.agg((F.coalesce(F.sum("t"), F.lit(0)) / 3).cast("bigint").alias("triangles"))
+def triangle_total(edges: DataFrame, tpv: DataFrame | None = None, **plan) -> DataFrame:
+    """One row ``(triangles)``: closed wedges are counted without listing them; a given
+    per-vertex table is summed and divided by 3 in integers."""
+    if tpv is not None:
+        return tpv.agg(F.coalesce(F.expr("sum(t) div 3"), F.lit(0).cast("bigint")).alias("triangles"))
+    return closed_wedges(edges, **plan).agg(
+        F.coalesce(F.sum(F.size("ws")), F.lit(0).cast("bigint")).alias("triangles"))

@@ -56,10 +56,13 @@ def neighbours(edges: DataFrame) -> DataFrame:
 
 
 def endpoint_ids(edges: DataFrame) -> DataFrame:
-    """vertices = distinct senders union distinct receivers, as ``(id)``."""
+    """vertices = distinct senders union distinct receivers, as ``(id)``.
+
+    A missing end (contract creation) is no vertex."""
     return (
         edges.select(F.col("src").alias("id"))
         .unionByName(edges.select(F.col("dst").alias("id")))
+        .filter(F.col("id").isNotNull())
         .distinct()
     )
 

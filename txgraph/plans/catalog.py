@@ -39,6 +39,7 @@ LPA_STEPS = 5
 RANGE_BLOCK, RANGE_BLOCKS = 1000, 30
 SNOW_HEIGHT, SNOW_SEEDS, SNOW_FANOUT, SNOW_HOPS = 1000, 5, 5, 3
 REPORT_DATE = "2020-05-01"
+REF_PAGE = 5
 
 
 def _r9(c) -> F.Column:
@@ -49,13 +50,13 @@ def _dense(spark, d):
     return fx.dense_edges(spark, d)
 
 
-def _sparse(spark, d):
-    return fx.sparse_edges(spark, d)
+def _monthly(spark, d):
+    return fx.monthly_edges(spark, d)
 
 
 def _giant(spark, d):
     # read three times (components, their vertex set, the edge selection): materialise once
-    e = cut(_sparse(spark, d))
+    e = cut(_monthly(spark, d))
     comps = CC.connected_components(e)
     return CC.top_components(e, comps, 1)
 
@@ -91,13 +92,67 @@ def _blocks(spark, d, shift: int = 0):
 
 
 def _stream(spark, d):
-    from txgraph.streaming.blocks import stream_blocks
+    from txgraph.streaming.blocks import read_stream_blocks, stream_blocks
 
     base = scratch_path(spark, "stream")
     P.v2_blocks(fx.transactions(spark, d)).write.text(f"{base}/landing")
     q = stream_blocks(spark, f"{base}/landing", f"{base}/out", f"{base}/state")
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return read_stream_blocks(spark, f"{base}/out")
+
+
+def _hard_lines(spark, d):
+    path = scratch_path(spark, "hard")
+    P.hard_v2_lines(fx.transactions(spark, d)).write.text(path)
+    return path
+
+
+def _hard_batch(spark, d, null_to="keep"):
+    recs = BK.read_json(spark, _hard_lines(spark, d), S.BLOCK_CONTAINER)
+    return SM.dedup_last_wins(BK.ingest_blocks(recs, null_to))
+
+
+def _hard_stream(spark, d):
+    from txgraph.streaming.blocks import read_stream_blocks, stream_blocks
+
+    base = scratch_path(spark, "stream")
+    stream_blocks(spark, _hard_lines(spark, d), f"{base}/out", f"{base}/state",
+                  max_files_per_trigger=4).awaitTermination()
+    return read_stream_blocks(spark, f"{base}/out")
+
+
+def _hard_corrupt(spark, d):
+    return BK.corrupt_count(BK.read_json(spark, _hard_lines(spark, d), S.BLOCK_CONTAINER))
+
+
+def _built(spark, d):
+    tx = _address_edges(spark, d)
+    senders = tx.select(F.col("src").alias("address")).distinct()
+    return B.build_graph(senders, tx, on_missing="add")
+
+
+def _rows_roundtrip(spark, d):
+    path = scratch_path(spark, "rows")
+    CSV.write_rows(_address_edges(spark, d), path, sep="|")
+    return spark.read.schema("hash string, src string, dst string, value bigint").option(
+        "sep", "|").option("header", True).option("mode", "FAILFAST").csv(path)
+
+
+def _gexf_document(spark, d):
+    """The written document, line by line, with every line's number in it."""
+    path = scratch_path(spark, "gexf")
+    e = _monthly(spark, d)
+    GX.write_gexf(V.endpoint_ids(e).withColumn("label", F.col("id").cast("string")), e, path,
+                  date=REPORT_DATE)
+    lines = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_name").alias("part"),
+        F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("at", "line"))
+    from pyspark.sql import Window
+    # one row per part file: their numbers of lines, summed in name order
+    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = lines.groupBy("part").agg(F.count("*").alias("n")).select(
+        "part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("first"))
+    return lines.join(first, "part").select((F.col("first") + F.col("at")).alias("n"), "line")
 
 
 def _hex_forms(spark, d):
@@ -114,7 +169,7 @@ def _hex_forms(spark, d):
 
 
 def _report(spark, d):
-    return graph_report(_sparse(spark, d)).select(
+    return graph_report(_monthly(spark, d)).select(
         "vertices", "edges", _r9("global_clustering").alias("global_clustering"),
         _r9("transitivity").alias("transitivity"),
         _r9("average_clustering").alias("average_clustering"),
@@ -152,7 +207,7 @@ QUERIES: dict[str, Query] = {
     "degrees_directed": lambda s, d: D.degrees(_dense(s, d), "directed"),
     "degrees_simple": lambda s, d: D.degrees(_dense(s, d), "simple"),
     "degree_filter": lambda s, d: D.degree_filter(_dense(s, d)),
-    "degree_filter_edges": lambda s, d: D.degree_filter_graph(_sparse(s, d)),
+    "degree_filter_edges": lambda s, d: D.degree_filter_graph(_monthly(s, d)),
     "possible_triplets": lambda s, d: D.possible_triplets(_dense(s, d)),
     # triangles and clustering
     "triangles": lambda s, d: T.triangles(_dense(s, d)),
@@ -167,10 +222,10 @@ QUERIES: dict[str, Query] = {
     "transitivity": lambda s, d: _one("transitivity", C.transitivity(_dense(s, d))),
     "transitivity_simple": lambda s, d: _one("transitivity", C.transitivity(_dense(s, d), "simple")),
     # components
-    "connected_components": lambda s, d: CC.connected_components(_sparse(s, d)),
-    "component_sizes": lambda s, d: CC.component_sizes(CC.connected_components(_sparse(s, d))),
+    "connected_components": lambda s, d: CC.connected_components(_monthly(s, d)),
+    "component_sizes": lambda s, d: CC.component_sizes(CC.connected_components(_monthly(s, d))),
     "top_components_vertices": lambda s, d: CC.top_components(
-        _sparse(s, d), CC.connected_components(_sparse(s, d)), TOP_K)[0],
+        _monthly(s, d), CC.connected_components(_monthly(s, d)), TOP_K)[0],
     "top_components_edges": lambda s, d: _giant(s, d)[1],
     # communities
     "label_propagation": lambda s, d: _giant_labels(s, d)[1],
@@ -199,13 +254,25 @@ QUERIES: dict[str, Query] = {
     "v1_tx_edges": lambda s, d: BK.ingest_tx_edges(
         BK.parse_json(P.v1_transactions(fx.transactions(s, d)), S.TRANSACTION)),
     "v1_address_refs": lambda s, d: BK.ingest_address_refs(
+        BK.parse_json(P.v1_addresses(fx.transactions(s, d)), S.ADDRESS), REF_PAGE).select(
+        "address", "pos", "tx_hash", "tx_input_n", "tx_output_n", "value"),
+    "v1_address_refs_all": lambda s, d: BK.ingest_address_refs(
         BK.parse_json(P.v1_addresses(fx.transactions(s, d)), S.ADDRESS)).select(
         "address", "pos", "tx_hash", "tx_input_n", "tx_output_n", "value"),
+    "hard_ingest": _hard_batch,
+    "hard_ingest_drop_row": lambda s, d: _hard_batch(s, d, "drop_row"),
+    "hard_ingest_drop_block": lambda s, d: _hard_batch(s, d, "drop_block"),
+    "hard_ingest_corrupt": _hard_corrupt,
+    "hard_stream": _hard_stream,
+    "build_graph_vertices": lambda s, d: _built(s, d).vertices,
+    "build_graph_edges": lambda s, d: _built(s, d).edges,
+    "write_rows": _rows_roundtrip,
+    "gexf_document": _gexf_document,
     "snowball_sample": lambda s, d: SM.snowball_sample(
         fx.transactions(s, d), SNOW_HEIGHT, SNOW_SEEDS, SNOW_FANOUT, SNOW_HOPS),
     "gexf_lines": lambda s, d: GX.gexf_lines(
-        V.endpoint_ids(_sparse(s, d)).withColumn("label", F.col("id").cast("string")),
-        _sparse(s, d), date=REPORT_DATE).select(F.col("section").cast("bigint").alias("section"), "line"),
+        V.endpoint_ids(_monthly(s, d)).withColumn("label", F.col("id").cast("string")),
+        _monthly(s, d), date=REPORT_DATE).select(F.col("section").cast("bigint").alias("section"), "line"),
     "stream_blocks": _stream,
 }
 
@@ -214,7 +281,7 @@ QUERIES: dict[str, Query] = {
 
 _CTE = {
     "tx": fx.TX_SQL,
-    "stx": fx.SPARSE_TX_SQL,
+    "stx": fx.MONTHLY_TX_SQL,
     "e": "SELECT src, dst, value FROM tx",
     "se": "SELECT src, dst, value FROM stx",
 }
@@ -259,6 +326,12 @@ _CTE.update({
     "block_tx": ("SELECT height, CAST(row_number() OVER (PARTITION BY split_part(hash, '-', 1) "
                  "ORDER BY hash) - 1 AS BIGINT) AS pos, hash, CAST(src AS VARCHAR) AS src, "
                  "CAST(dst AS VARCHAR) AS dst, value FROM tx"),
+    # E2 over the hard lines: the lower block wins, in it the later of the repeated positions
+    "hard": ("SELECT height, CAST(pos + count(*) OVER (PARTITION BY split_part(hash, '-', 1)) AS BIGINT) "
+             "AS pos, hash, src, CASE WHEN value % 2 <> 0 THEN dst END AS dst, value + 2 AS value FROM block_tx"),
+    "bids": ("SELECT address, row_number() OVER (ORDER BY late, address) - 1 AS vid FROM ("
+             "SELECT CAST(src AS VARCHAR) AS address, 0 AS late FROM tx GROUP BY src UNION ALL "
+             "SELECT CAST(dst AS VARCHAR), 1 FROM tx WHERE dst NOT IN (SELECT src FROM tx) GROUP BY dst)"),
     "rng": (f"SELECT hash, src, dst, value, height FROM tx WHERE height BETWEEN "
             f"{RANGE_BLOCK - RANGE_BLOCKS + 1} AND {RANGE_BLOCK}"),
 })
@@ -359,6 +432,19 @@ def _gexf_sql() -> str:
             f"CAST(dst AS VARCHAR) || '\" label=\"' || CAST(value AS VARCHAR) || '\" />' FROM se")
 
 
+def _gexf_document_sql() -> str:
+    fixed = " UNION ALL ".join(
+        "SELECT {} AS s, CAST({} AS BIGINT) AS k1, CAST(NULL AS BIGINT) AS k2, "
+        "CAST(NULL AS VARCHAR) AS k3, '{}' AS line".format(s, i, line.replace("'", "''"))
+        for i, (s, line) in enumerate(_GEXF_FIXED))
+    return ("SELECT row_number() OVER (ORDER BY s, k1, k2, k3) - 1 AS n, line FROM ("
+            f"{fixed} UNION ALL SELECT 1, id, NULL, NULL, '<node id=\"' || CAST(id AS VARCHAR) || "
+            "'\" label=\"' || CAST(id AS VARCHAR) || '\" />' FROM s_v UNION ALL "
+            "SELECT 3, src, dst, CAST(value AS VARCHAR), '<edge source=\"' || CAST(src AS VARCHAR) || "
+            "'\" target=\"' || CAST(dst AS VARCHAR) || '\" label=\"' || CAST(value AS VARCHAR) || "
+            "'\" />' FROM se)")
+
+
 _REPORT_SQL = (
     "SELECT (SELECT count(*) FROM s_v) AS vertices, (SELECT count(*) FROM se) AS edges, "
     f"({_glob_sql('s_', ('ddeg', 'd'))}) AS global_clustering, "
@@ -450,6 +536,25 @@ _ORACLE_BODIES: dict[str, str] = {
         "CAST(0 AS INTEGER) AS tx_input_n, CAST(-1 AS INTEGER) AS tx_output_n, value FROM tx UNION ALL "
         "SELECT CAST(dst AS VARCHAR), split_part(hash, '-', 1), hash, CAST(-1 AS INTEGER), "
         "CAST(0 AS INTEGER), value FROM tx)) WHERE rk <= 5"),
+    "v1_address_refs_all": (
+        "SELECT address, CAST(rk - 1 AS BIGINT) AS pos, tx_hash, tx_input_n, tx_output_n, value FROM ("
+        "SELECT *, row_number() OVER (PARTITION BY address, block ORDER BY tx_hash, tx_input_n) AS rk FROM ("
+        "SELECT CAST(src AS VARCHAR) AS address, split_part(hash, '-', 1) AS block, hash AS tx_hash, "
+        "CAST(0 AS INTEGER) AS tx_input_n, CAST(-1 AS INTEGER) AS tx_output_n, value FROM tx UNION ALL "
+        "SELECT CAST(dst AS VARCHAR), split_part(hash, '-', 1), hash, CAST(-1 AS INTEGER), "
+        "CAST(0 AS INTEGER), value FROM tx))"),
+    "hard_ingest": "SELECT * FROM hard",
+    "hard_ingest_drop_row": "SELECT * FROM hard WHERE dst IS NOT NULL",
+    "hard_ingest_drop_block": ("SELECT * FROM hard WHERE split_part(hash, '-', 1) NOT IN "
+                               "(SELECT split_part(hash, '-', 1) FROM hard WHERE dst IS NULL)"),
+    "hard_ingest_corrupt": "SELECT count(DISTINCT split_part(hash, '-', 1)) AS corrupt FROM tx",
+    "hard_stream": "SELECT * FROM hard",
+    "build_graph_vertices": "SELECT vid AS id, address FROM bids",
+    "build_graph_edges": ("SELECT s.vid AS src, d.vid AS dst, tx.value FROM tx "
+                          "JOIN bids s ON CAST(tx.src AS VARCHAR) = s.address "
+                          "JOIN bids d ON CAST(tx.dst AS VARCHAR) = d.address"),
+    "write_rows": "SELECT hash, CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, value FROM tx",
+    "gexf_document": _gexf_document_sql(),
     "snowball_sample": (
         "SELECT tx.hash, tx.src, tx.dst, tx.value, tx.height, h.hop FROM tx JOIN ("
         "SELECT hash, CAST(min(hop) AS INTEGER) AS hop FROM ("

@@ -9,9 +9,10 @@
 * ``value``  ``round(l_extendedprice * 100)`` as bigint (cents);
 * ``height`` days from 1995-01-01 to ``o_orderdate`` (the "block").
 
-``dense`` is all of ``tx``; ``sparse`` keeps first lines returned with a discount of
-at least 5 %. Every ``*_SQL`` string is the DuckDB text of the same table, used by
-the oracle queries.
+``monthly`` has the same rows with addresses scoped to the month of the order on both
+ends (``id = month_no * 10,000,000 + key``, ``month_no = year * 12 + month``), so a month
+never links to another: a whole-table graph with many components. Every ``*_SQL``
+string is the DuckDB text of the same table, used by the oracle queries.
 """
 
 from __future__ import annotations
@@ -19,11 +20,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The epoch of the height column and the sparse selection.
+# The epoch of the height column and the id space of a month.
 HEIGHT_EPOCH = "1995-01-01"
-SPARSE_LINENUMBER = 1
-SPARSE_RETURNFLAG = "R"
-SPARSE_MIN_DISCOUNT = 0.05
+MONTH_SPACE = 10_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,43 +35,40 @@ def _yyyymmdd(c: str):
     return (F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)).cast("string")
 
 
-def _tx(spark: SparkSession, sf_dir: str, sparse: bool) -> DataFrame:
+def _tx(spark: SparkSession, sf_dir: str, monthly: bool) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    if sparse:
-        li = li.filter(
-            (F.col("l_linenumber") == SPARSE_LINENUMBER)
-            & (F.col("l_returnflag") == SPARSE_RETURNFLAG)
-            & (F.col("l_discount") >= SPARSE_MIN_DISCOUNT))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    day = F.to_date("o_orderdate")
+    base = ((F.year(day) * 12 + F.month(day)).cast("bigint") * MONTH_SPACE
+            if monthly else F.lit(0).cast("bigint"))
     j = li.join(orders, li.l_orderkey == orders.o_orderkey)
     return j.select(
         F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                     cents.cast("string"), _yyyymmdd("l_shipdate")).alias("hash"),
-        F.col("o_custkey").alias("src"),
-        F.col("l_partkey").alias("dst"),
+        (base + F.col("o_custkey")).alias("src"),
+        (base + F.col("l_partkey")).alias("dst"),
         cents.alias("value"),
-        F.datediff(F.to_date("o_orderdate"), F.lit(HEIGHT_EPOCH).cast("date"))
-        .cast("bigint").alias("height"),
+        F.datediff(day, F.lit(HEIGHT_EPOCH).cast("date")).cast("bigint").alias("height"),
     )
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``tx(hash, src, dst, value, height)``: the dense transaction table."""
-    return _tx(spark, sf_dir, sparse=False)
+    return _tx(spark, sf_dir, monthly=False)
 
 
-def sparse_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sparse transaction table (many small components)."""
-    return _tx(spark, sf_dir, sparse=True)
+def monthly_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All transactions with month-scoped addresses (many components)."""
+    return _tx(spark, sf_dir, monthly=True)
 
 
 def dense_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transactions(spark, sf_dir).select("src", "dst", "value")
 
 
-def sparse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sparse_transactions(spark, sf_dir).select("src", "dst", "value")
+def monthly_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monthly_transactions(spark, sf_dir).select("src", "dst", "value")
 
 
 # --- DuckDB text of the same tables (oracle side) ---------------------------------
@@ -90,6 +86,8 @@ FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 """
 
 TX_SQL = _TX_SELECT
-SPARSE_TX_SQL = _TX_SELECT + """
-WHERE l.l_linenumber = 1 AND l.l_returnflag = 'R' AND l.l_discount >= 0.05
+MONTHLY_TX_SQL = f"""
+SELECT hash, m + src AS src, m + dst AS dst, value, height FROM (
+  SELECT *, (year(d) * 12 + month(d)) * {MONTH_SPACE}::BIGINT AS m FROM (
+    SELECT *, DATE '1995-01-01' + CAST(height AS INTEGER) AS d FROM ({_TX_SELECT})))
 """

@@ -27,7 +27,7 @@ def v2_blocks(tx: DataFrame) -> DataFrame:
         long_to_hex("value").alias("value"),
     )
     blocks = _with_block(tx).groupBy("block", "height").agg(
-        F.array_sort(F.collect_list(items)).alias("transactions"))
+        F.sort_array(F.collect_list(items)).alias("transactions"))
     doc = F.struct(F.struct(long_to_hex("height").alias("number"), "transactions").alias("result"))
     return blocks.select(F.to_json(doc).alias("json"))
 
@@ -35,7 +35,7 @@ def v2_blocks(tx: DataFrame) -> DataFrame:
 def v1_blocks(tx: DataFrame) -> DataFrame:
     """``(json)``: one v1 block document per order with its sorted transaction ids."""
     blocks = _with_block(tx).groupBy("block", "height").agg(
-        F.array_sort(F.collect_list("hash")).alias("txids"))
+        F.sort_array(F.collect_list("hash")).alias("txids"))
     doc = F.struct(
         F.size("txids").alias("n_tx"), "txids",
         F.concat(F.lit("blk-"), "block").alias("hash"), "height")
@@ -74,6 +74,31 @@ def v1_addresses(tx: DataFrame) -> DataFrame:
     transaction references sorted by (hash, input index)."""
     ref = F.struct("tx_hash", "tx_input_n", "tx_output_n", "value")
     pages = address_refs(tx).groupBy("address", "block").agg(
-        F.array_sort(F.collect_list(ref)).alias("txrefs"))
+        F.sort_array(F.collect_list(ref)).alias("txrefs"))
     doc = F.struct("address", F.size("txrefs").cast("bigint").alias("n_tx"), "txrefs")
     return pages.select(F.to_json(doc).alias("json"))
+
+
+def hard_v2_lines(tx: DataFrame) -> DataFrame:
+    """``(value)``: block lines with all that ingest must cope with, derived from every row.
+
+    Per order: its block, whose transactions with an even value have no receiver; a later
+    block (height + 1) with the same hashes and value + 1; the same height again with the
+    transactions repeated at later positions and value + 2; and a line cut off in the middle.
+    """
+    def block(add_height: int, add_value: int, twice: bool):
+        item = F.struct(
+            F.concat(F.lit("0x"), "hash").alias("hash"),
+            F.concat(F.lit("0x"), F.col("src").cast("string")).alias("from"),
+            F.when(F.col("value") % 2 != 0, F.concat(F.lit("0x"), F.col("dst").cast("string"))).alias("to"),
+            long_to_hex(F.col("value") + add_value).alias("value"))
+        rows = _with_block(tx).groupBy("block", "height").agg(
+            F.sort_array(F.collect_list(item)).alias("transactions"))
+        txs = F.concat("transactions", "transactions") if twice else F.col("transactions")
+        return rows.select(F.to_json(F.struct(F.struct(
+            long_to_hex(F.col("height") + add_height).alias("number"),
+            txs.alias("transactions")).alias("result"))).alias("value"))
+
+    cut_off = _with_block(tx).select("block").distinct().select(
+        F.concat(F.lit('{"result": {"number": "0x'), "block").alias("value"))
+    return (block(0, 2, True).unionByName(block(1, 1, False)).unionByName(cut_off))

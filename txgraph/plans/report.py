@@ -40,11 +40,11 @@ def graph_report(edges: DataFrame, vertices: DataFrame | None = None, k: int = 1
 
     # The edge table feeds a dozen branches: materialise it once.
     edges = cut(edges.select("src", "dst", "value"))
-    verts = vertex_ids(edges, vertices)
+    verts = cut(vertex_ids(edges, vertices))
     tpv = cut(vertex_triangles(edges))
-    local = C.local_clustering(edges, tpv)
-    comps = CC.connected_components(edges, verts)
-    gv, ge = CC.top_components(edges, comps, k)
+    local = cut(C.local_clustering(edges, tpv))
+    comps = cut(CC.connected_components(edges, verts))
+    gv, ge = map(cut, CC.top_components(edges, comps, k))
     labels = CM.label_propagation(ge, max_steps, gv.select("id"))
     split = C.local_split(edges, local).select(
         F.col("zero_vertices").alias("zero_local_vertices"),

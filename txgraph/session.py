@@ -8,7 +8,6 @@ only a local session (tests, bench) gets a private default when it is unset.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -30,6 +29,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="txgraph-ckpt-"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -41,8 +41,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, wiring it into the context if needed.
 
     Order: a folder already set on the context; else ``spark.checkpoint.dir`` from
-    the session conf; else, for a local master only, a fresh private folder.
-    A cluster without ``spark.checkpoint.dir`` is a configuration error.
+    the session conf; else a folder in the session's warehouse, which all executors share.
+    A machine-local temporary folder is never chosen here (``local_session`` sets one, for
+    tests and the bench on one machine). Set
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` on the cluster, so that the states of
+    past rounds are deleted once nothing refers to them.
     """
     try:
         sc = spark.sparkContext
@@ -57,11 +60,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
-        if not sc.master.startswith("local"):
-            raise RuntimeError(
-                "set spark.checkpoint.dir to a shared folder: iterative operators "
-                "checkpoint their state there every round")
-        conf_dir = tempfile.mkdtemp(prefix="txgraph-ckpt-")
+        conf_dir = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_txgraph_checkpoints"
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
@@ -79,4 +78,15 @@ def cut(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_by(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """As :func:`cut`, but lying partitioned by ``key``: a table bucketed by it, under the
+    shared checkpoint folder. Joins on ``key`` with ``parts`` partitions do not shuffle it
+    again (a plain checkpoint forgets how its rows lie)."""
+    spark = df.sparkSession
+    name = f"txgraph_{uuid.uuid4().hex}"
+    (df.repartition(parts, key).write.bucketBy(parts, key).sortBy(key)
+     .option("path", scratch_path(spark, "bucketed")).saveAsTable(name))
+    return spark.table(name)

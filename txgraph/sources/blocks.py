@@ -1,9 +1,10 @@
 """JSON payload sources (A3-A6): block, transaction and address records.
 
 Each extractor is a ``DataFrame -> DataFrame`` function over parsed records, usable
-with ``df.transform``. Records come from files (``read_json``) or from a column of
-JSON text (``parse_json``); malformed lines are kept in ``_corrupt_record`` and can be
-counted instead of being lost silently.
+with ``df.transform``. Records come from files (``read_json``, lines read as text, so a
+stream parses the same way) or from a column of JSON text (``parse_json``); malformed
+lines are kept in ``_corrupt_record``. What an extractor cannot use is not lost:
+``rejects`` returns those records and ``corrupt_count`` counts them.
 """
 
 from __future__ import annotations
@@ -16,18 +17,12 @@ from txgraph import schema as S
 from txgraph.functions.hexval import hex_quantity, strip_0x
 from txgraph.functions.scalars import first_of_first
 
-# Fixed value: the number of transaction references kept per address (TxRefLimit).
-TX_REF_LIMIT = 5
+NULL_TO = ("keep", "drop_row", "drop_block")
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON-lines files with an explicit schema; bad lines land in ``_corrupt_record``."""
-    return (
-        spark.read.schema(S.with_corrupt(schema))
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", S.CORRUPT)
-        .json(path)
-    )
+    return parse_json(spark.read.text(path), schema, "value")
 
 
 def parse_json(text: DataFrame, schema: T.StructType, col: str = "json") -> DataFrame:
@@ -43,20 +38,36 @@ def corrupt_count(records: DataFrame) -> DataFrame:
     return records.agg(F.count_if(F.col(S.CORRUPT).isNotNull()).alias("corrupt"))
 
 
-def ingest_blocks(blocks: DataFrame) -> DataFrame:
+def rejects(records: DataFrame, required: str = "result") -> DataFrame:
+    """The records an extractor passes over: malformed ones and those without the field it
+    needs (``result`` for v2 blocks, ``hash`` for v1 blocks and transactions, ``address``)."""
+    bad = F.col(S.CORRUPT).isNotNull() if S.CORRUPT in records.columns else F.lit(False)
+    return records.filter(bad | F.col(required).isNull())
+
+
+def ingest_blocks(blocks: DataFrame, null_to: str = "keep") -> DataFrame:
     """A3: v2 block records -> ``(height, pos, hash, src, dst, value)``.
 
     ``0x`` is stripped from hash, sender and receiver (C1); the value is decoded from
     hex, saturating at 9223372036854775807 (C2). ``height`` comes from the block's
     ``number`` tag when present, else NULL. ``pos`` is the position in the block.
-    A transaction without receiver (contract creation) keeps ``dst`` NULL.
+    A transaction without receiver (contract creation): ``null_to='keep'`` keeps it with
+    ``dst`` NULL, ``'drop_row'`` drops the transaction, ``'drop_block'`` its whole block (what
+    the source does, whose record type demands a receiver).
     """
+    if null_to not in NULL_TO:
+        raise ValueError(f"null_to must be one of {NULL_TO}")
     ok = blocks.filter(F.col("result").isNotNull())
+    if null_to == "drop_block":
+        ok = ok.filter(~F.coalesce(
+            F.exists("result.transactions", lambda t: t["to"].isNull()), F.lit(False)))
     tx = ok.select(
         F.when(F.col("result.number").isNotNull(), hex_quantity(F.col("result.number")))
         .alias("height"),
         F.posexplode("result.transactions").alias("pos", "t"),
     )
+    if null_to == "drop_row":
+        tx = tx.filter(F.col("t.to").isNotNull())
     return tx.select(
         "height",
         F.col("pos").cast("bigint").alias("pos"),
@@ -89,14 +100,16 @@ def ingest_tx_edges(txs: DataFrame) -> DataFrame:
     )
 
 
-def ingest_address_refs(addresses: DataFrame, limit: int = TX_REF_LIMIT) -> DataFrame:
-    """v1 address records -> their first ``limit`` transaction references.
+def ingest_address_refs(addresses: DataFrame, limit: int | None = None) -> DataFrame:
+    """v1 address records -> their transaction references, all or the first ``limit``
+    (the source's service returned pages of 5).
 
     A missing ``txrefs`` list means none. Output ``(address, pos, tx_hash, tx_input_n,
     tx_output_n, value, double_spend, confirmations, ref_balance, confirmed, double_of)``.
     """
-    refs: Column = F.slice(F.coalesce("txrefs", F.array().cast(T.ArrayType(S.TRANSACTION_REF))),
-                           1, limit)
+    refs: Column = F.coalesce("txrefs", F.array().cast(T.ArrayType(S.TRANSACTION_REF)))
+    if limit is not None:
+        refs = F.slice(refs, 1, limit)
     return addresses.filter(F.col("address").isNotNull()).select(
         "address", F.posexplode(refs).alias("pos", "r")
     ).select("address", F.col("pos").cast("bigint").alias("pos"), "r.*")

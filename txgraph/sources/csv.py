@@ -46,7 +46,8 @@ def write_graph_csv(vertices: DataFrame, edges: DataFrame, vertex_dir: str, edge
     ``vertices(address)``; ``edges(hash, src, dst, value)`` written as
     ``hash,in,out,value``. Returns whether anything was written.
     """
-    if vertices.isEmpty() or edges.isEmpty():
+    # vertices are often derived from the edges: the cheaper test comes first
+    if edges.isEmpty() or vertices.isEmpty():
         return False
     vertices.select("address").write.mode(mode).option("header", True).csv(vertex_dir)
     edges.select("hash", F.col("src").alias("in"), F.col("dst").alias("out"), "value") \

@@ -12,15 +12,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txgraph.functions.scalars import xml_escape
+from txgraph.functions.scalars import XML_ESCAPES, xml_escape
 
-# GEXF 1.2 namespace and the document frame.
+# The namespace and version of the document frame.
 GEXF_NS = "http://www.gexf.net/1.2draft"
-GEXF_VERSION = "1.2"
+GEXF_VERSION = "1.3"
 
 
 def _header(title: str, date: str, creator: str) -> list[str]:
-    esc = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&apos;"}
+    esc = dict(XML_ESCAPES)
 
     def x(s: str) -> str:
         return "".join(esc.get(ch, ch) for ch in s)

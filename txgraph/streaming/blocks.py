@@ -1,43 +1,68 @@
 """Incremental block ingest (A10) with Structured Streaming.
 
 The collector's loop "fetch the next block, merge its transactions into a map keyed by
-hash" becomes: a landing folder of v2 block JSON files -> A3 extraction ->
-``dropDuplicates(["hash"])`` -> an append-only parquet sink. Progress and the dedup
-state live in the query's checkpoint folder, so a restart resumes exactly.
-
-The extracted record has no event time, so the dedup state has no watermark and grows
-with the number of hashes (use the RocksDB state store provider on a cluster).
+hash" becomes two parts. The stream turns a landing folder of v2 block files into an
+append-only table of transaction rows (A3); malformed lines become rows with the raw line
+in ``_corrupt_record``, so nothing is lost. Reading the table applies the keyed dedup (E2):
+which copy of a transaction wins depends on later blocks too, so it is decided when all
+rows that have landed are known. The stream itself keeps no state that grows with the
+data; progress lives in the query's checkpoint folder, so a restart resumes exactly.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from txgraph import schema as S
-from txgraph.sources.blocks import ingest_blocks
+from txgraph.operators.sample import dedup_last_wins
+from txgraph.sources.blocks import ingest_blocks, parse_json
 
 
-def block_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming frame of deduplicated transactions from a landing folder of block files."""
-    reader = spark.readStream.schema(S.BLOCK_CONTAINER).option("mode", "DROPMALFORMED")
+def block_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger: int | None = None,
+                 null_to: str = "keep") -> DataFrame:
+    """Streaming frame ``(height, pos, hash, src, dst, value, _corrupt_record)`` of a landing
+    folder: a row per transaction and one per line that is not a block."""
+    reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return ingest_blocks(reader.json(landing_dir)).dropDuplicates(["hash"])
+    lines = reader.text(landing_dir)
+    blocks = parse_json(lines, S.BLOCK_CONTAINER, "value")
+    bad = parse_json(lines.withColumn("raw", F.col("value")), S.BLOCK_CONTAINER, "raw")
+    tx = ingest_blocks(blocks, null_to)
+    kinds = {f.name: f.dataType for f in tx.schema.fields}
+    lost = bad.filter(F.col(S.CORRUPT).isNotNull() | F.col("result").isNull()).select(
+        *[F.lit(None).cast(kinds[c]).alias(c) for c in tx.columns],
+        F.coalesce(S.CORRUPT, F.lit("")).alias(S.CORRUPT))
+    return tx.withColumn(S.CORRUPT, F.lit(None).cast("string")).unionByName(lost)
 
 
 def stream_blocks(spark: SparkSession, landing_dir: str, out_dir: str, checkpoint: str,
-                  available_now: bool = True) -> StreamingQuery:
-    """Start the ingest: append new transactions to parquet at ``out_dir``.
+                  available_now: bool = True, max_files_per_trigger: int | None = None,
+                  null_to: str = "keep") -> StreamingQuery:
+    """Start the ingest: append rows to parquet at ``out_dir`` (read it with
+    :func:`read_stream_blocks`).
 
     ``available_now=True`` processes what has landed and stops (batch-like runs);
     ``False`` keeps polling the folder.
     """
     writer = (
-        block_stream(spark, landing_dir).writeStream.format("parquet")
+        block_stream(spark, landing_dir, max_files_per_trigger, null_to).writeStream.format("parquet")
         .option("path", out_dir).option("checkpointLocation", checkpoint)
         .outputMode("append")
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
         processingTime="10 seconds")
     return writer.start()
+
+
+def read_stream_blocks(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The ingested transactions, one row per hash by E2."""
+    rows = spark.read.parquet(out_dir)
+    return dedup_last_wins(rows.filter(F.col(S.CORRUPT).isNull()).drop(S.CORRUPT))
+
+
+def stream_rejects(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The landed lines that were not blocks, as ``(_corrupt_record)``."""
+    return spark.read.parquet(out_dir).filter(F.col(S.CORRUPT).isNotNull()).select(S.CORRUPT)
