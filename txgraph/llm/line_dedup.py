@@ -129,12 +129,18 @@ class LineRuns:
                     self.spark.sql(f"DROP TABLE {n}")
 
     def _merged(self, names: list[str]) -> DataFrame:
-        rows = self.spark.table(names[0])
-        for n in names[1:]:
-            rows = rows.unionByName(self.spark.table(n))
-        return rows.groupBy("h1", "h2").agg(
-            F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"),
-            F.min("seen").alias("seen"))
+        """One row a key: the runs are merge-joined in order of their hashes, no shuffle."""
+        out = self.spark.table(names[0]).select(*_RUN)
+        for name in names[1:]:
+            x, y = out.alias("x"), self.spark.table(name).alias("y")
+            n = (lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")))
+            out = x.join(y, (F.col("x.h1") == F.col("y.h1")) & (F.col("x.h2") == F.col("y.h2")),
+                         "full_outer").select(
+                F.coalesce("x.h1", "y.h1").alias("h1"), F.coalesce("x.h2", "y.h2").alias("h2"),
+                (n("x.n_docs") + n("y.n_docs")).alias("n_docs"),
+                F.greatest("x.max_doc", "y.max_doc").alias("max_doc"),
+                (F.coalesce("x.seen", F.lit(True)) & F.coalesce("y.seen", F.lit(True))).alias("seen"))
+        return out
 
     def repeated(self, min_docs: int) -> DataFrame:
         """(h1, h2, n_docs, max_doc) of the keys found in ``min_docs`` documents or more."""
