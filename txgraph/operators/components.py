@@ -13,7 +13,7 @@ round recomputes from its own state which keys hold more than ``1/max_keys`` of
 those meet their minimum through a bounded broadcast, all others through a shuffle
 (``txgraph.operators.skew``). The minima are ``groupBy(min)``, combined map-side.
 
-Every step is checkpointed. The loop stops when a round leaves the pairs as they were
+Both steps of a round are checkpointed. The loop stops when a round leaves the pairs as they were
 (count and two xor checksums of the pairs, taken while counting them for the hub test), a
 fixed point of both steps: then each child has one parent, no parent is a child, and each
 star is a component whose root, the smallest id, is the label. The number of rounds grows
@@ -32,8 +32,15 @@ from txgraph.session import cut
 
 
 def _minima(pairs: DataFrame, key: str, other: str) -> DataFrame:
-    """``(key, mn, n)``: smallest partner and number of rows of each key."""
-    return cut(pairs.groupBy(key).agg(F.min(other).alias("mn"), F.count(F.lit(1)).alias("n")))
+    """``(key, mn, n)``: smallest partner and number of rows of each key. Its exchange is
+    reused within a step, for the hub test and for the join."""
+    return pairs.groupBy(key).agg(F.min(other).alias("mn"), F.count(F.lit(1)).alias("n"))
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Checkpoint in as many parts as a shuffle has: unions would add theirs up each round."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.coalesce(parts))
 
 
 def _large_star(e: DataFrame, rows: int, max_keys: int) -> DataFrame:
@@ -64,11 +71,11 @@ def _fingerprint(e: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None,
                          max_keys: int = MAX_HOT_KEYS) -> DataFrame:
     """``(id, component)``; direction ignored; label = smallest id; isolates label themselves."""
-    e = cut(simple_edges(edges).select(F.col("b").alias("v"), F.col("a").alias("p")))
+    e = _cut(simple_edges(edges).select(F.col("b").alias("v"), F.col("a").alias("p")))
     now = _fingerprint(e)
     while now[0]:
-        large = cut(_large_star(e, now[0], max_keys))
-        e = cut(_small_star(large, now[0], max_keys))
+        large = _cut(_large_star(e, now[0], max_keys))
+        e = _cut(_small_star(large, now[0], max_keys))
         before, now = now, _fingerprint(e)
         if now == before:
             break
