@@ -37,14 +37,6 @@ END = 256           # added to the last byte's value
 _PLAIN = re.compile(r"[!-~¡-ɏ]+")
 
 
-def byte_chars() -> dict[str, int]:
-    """The character that byte-level vocabularies write for each byte: printable Latin-1
-    stands for itself, the others are numbered from U+0100 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
 class TrieBpe:
     """Encoder for a word-end-marked byte-level BPE file (``word_bpe_49k.json``)."""
 
@@ -58,7 +50,7 @@ class TrieBpe:
         suffix = model["end_of_word_suffix"]
         if not suffix or vocab.segmenter(path) is not vocab.words:
             raise ValueError(f"not a word-end-marked BPE file: {path}")
-        to_byte = byte_chars()
+        to_byte = vocab.byte_chars()
         self.strings = {i: s for s, i in model["vocab"].items()}
         self.tokens: dict[tuple, int] = {}
         for s, i in model["vocab"].items():

@@ -37,27 +37,34 @@ from txgraph.llm.common import cut, ship, slices
 QUERY_TERMS = 12
 K1, B = 1.2, 0.75
 
-_loaded: dict[str, tuple] = {}
+_loaded: dict[tuple, tuple] = {}
+_widths: dict[str, str] = {}
 
 
-def _encoder(path: str):
-    if path not in _loaded:
-        enc = vocab.Encoder(path)
+def _encoder(path: str, wide: str):
+    """Segmenter of the file and its table of packed ids."""
+    if (path, wide) not in _loaded:
+        one = vocab.rank_encoder(path)
+        if one is None:
+            enc = vocab.Encoder(path)
+            one = (lambda s: enc.encode([s])[0])
+        _loaded[path, wide] = (vocab.segmenter(path), vocab.SegmentTable(
+            lambda s: np.array(one(s), wide).tobytes(), 600_000))
+    return _loaded[path, wide]
 
-        def pack(segments):
-            return [np.array(i, "<u4").tobytes() for i in enc.encode(segments)]
 
-        _loaded[path] = (vocab.segmenter(path), vocab.Memo(pack, 600_000))
-    return _loaded[path]
+def encode_packed(texts: list[str], path: str, end_id: int, wide: str = "<u4") -> list[bytes]:
+    """ids of each text and the end id, as little-endian unsigned integers."""
+    cut_, table = _encoder(path, wide)
+    tail = np.array([end_id], wide).tobytes()
+    get = table.__getitem__
+    return [b"".join(map(get, cut_(t))) + tail for t in texts]
 
 
-def encode_packed(texts: list[str], path: str, end_id: int) -> list[bytes]:
-    """ids of each text and the end id, as little-endian unsigned 32-bit integers."""
-    cut_, memo = _encoder(path)
-    segmented = [cut_(t) for t in texts]
-    get = memo.table(segmented).__getitem__
-    tail = np.array([end_id], "<u4").tobytes()
-    return [b"".join(map(get, s)) + tail for s in segmented]
+def _width(path: str, end_id: int) -> str:
+    """16 bits where all ids of the file fit, else 32."""
+    size = vocab.Encoder(path).size()
+    return "<u2" if max(size - 1, end_id) < 65536 else "<u4"
 
 
 def encode_documents(df: DataFrame, id_col: str, text_col: str, vocabulary: str,
@@ -67,14 +74,18 @@ def encode_documents(df: DataFrame, id_col: str, text_col: str, vocabulary: str,
 
     def rows(batches):
         path = vocab.resolve(vocabulary)
+        if path not in _widths:
+            _widths[path] = _width(path, end_id)
+        wide = _widths[path]
+        size, mark = int(wide[-1]), wide[-1].encode()
         for b in batches:
             texts = [t or "" for t in b.column(2).to_pylist()]
             for i, j in slices(batch_bytes, list(map(len, texts))):
-                ids = encode_packed(texts[i:j], path, end_id)
-                n = [len(x) // 4 for x in ids]
+                ids = encode_packed(texts[i:j], path, end_id, wide)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[i:j], b.column(1)[i:j], pa.array(n, pa.int64()),
-                     pa.array([_narrow(x) for x in ids], pa.binary())],
+                    [b.column(0)[i:j], b.column(1)[i:j],
+                     pa.array([len(x) // size for x in ids], pa.int64()),
+                     pa.array([mark + x for x in ids], pa.binary())],
                     names=["doc", "h", "n", "ids"])
 
     src = df.select(F.col(id_col).cast("bigint").alias("doc"),
@@ -83,14 +94,9 @@ def encode_documents(df: DataFrame, id_col: str, text_col: str, vocabulary: str,
     return src.mapInArrow(rows, "doc bigint, h bigint, n bigint, ids binary")
 
 
-def _narrow(ids: bytes) -> bytes:
-    """16-bit ids with a leading 2 where they fit, else the 32-bit ids with a leading 4."""
-    x = np.frombuffer(ids, "<u4")
-    return b"\x02" + x.astype("<u2").tobytes() if x.max() < 65536 else b"\x04" + ids
-
-
 def _wide(ids: bytes) -> np.ndarray:
-    return np.frombuffer(ids, "<u2" if ids[0] == 2 else "<u4", offset=1).astype("<u4")
+    """Packed ids, led by the digit of their width in bytes, as 32-bit integers."""
+    return np.frombuffer(ids, "<u" + chr(ids[0]), offset=1).astype("<u4")
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int, int]:

@@ -95,12 +95,65 @@ class Encoder:
             return self.sp.encode(segments, num_threads=1)
         return [e.ids for e in self.tok.encode_batch_fast(segments, add_special_tokens=False)]
 
+    def size(self) -> int:
+        """Number of ids, added tokens included."""
+        return self.sp.vocab_size() if self.sentencepiece else self.tok.get_vocab_size()
+
     def lengths(self, segments: list[str]) -> list[int]:
         if self.sentencepiece:
             return [len(x) for x in self.sp.encode(segments, num_threads=1)]
         return [len(e) for e in self.tok.encode_batch_fast(segments, add_special_tokens=False)]
 
 
+def byte_chars() -> dict[str, int]:
+    """The character that byte-level vocabularies write for each byte: printable Latin-1
+    stands for itself, the others are numbered from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def rank_encoder(path: str):
+    """A function from a text to its ids for byte-level files whose ids are their merge
+    ranks (then a rank-based library gives the same ids, faster on short texts), else None."""
+    import public_tokenizers
+    import tiktoken
+
+    if segmenter(path) is not led:
+        return None
+    with open(path, encoding="utf-8") as f:
+        j = json.load(f)
+    ids, to_byte = j["model"]["vocab"], byte_chars()
+    special = {t["content"]: t["id"] for t in j.get("added_tokens", [])}
+    plain = {s: i for s, i in ids.items() if s not in special}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in j["model"]["merges"]]
+    if any(ids.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)) or len(plain) != 256 + len(merges):
+        return None
+    ranks = {bytes(to_byte[c] for c in s): i for s, i in plain.items()}
+    enc = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                            special_tokens=special)
+    return lambda text: enc.encode(text, allowed_special="all")
+
+
+class SegmentTable(dict):
+    """Packed ids of segments, made when first asked for; bounded, in two generations."""
+
+    def __init__(self, make, limit: int = MEMO_SEGMENTS):
+        super().__init__()
+        self.make, self.half, self.older = make, limit // 2, {}
+
+    def __missing__(self, segment: str):
+        got = self.older.get(segment)
+        if got is None:
+            got = self.make(segment)
+        if len(segment) <= LONG_SEGMENT:
+            if len(self) >= self.half:
+                self.older = dict(self)
+                self.clear()
+            self[segment] = got
+        return got
+
+
 class Memo:
     """Bounded memory of what segments map to; lives as long as the worker."""
 
