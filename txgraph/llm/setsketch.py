@@ -14,12 +14,15 @@ sets share. The work runs in these steps:
    sizes, maximal over all similarities against maximal over those at or above the
    threshold, must not differ by more than ``MAX_LOG_RATIO``;
 4. the rest is confirmed on the full shingle sets;
-5. links make components; bucket mates still in different components are compared in
-   blocks of bounded size, first each class with its best partner outside, then all. So a
-   link between different texts is only left out if its ends are connected already.
+5. links make components; bucket mates still in different components are compared: those of
+   small buckets as pairs, those of larger ones in blocks of bounded size, where the common
+   shingles of all pairs of a block are counted at once on the full sets and only links
+   that join components leave the task. So a link between different texts is only left out
+   if its ends are connected already.
 
-No group is held by a task (blocks of ``BLOCK`` classes), no pairs of a whole bucket are
-written out, and hub keys go through bounded broadcasts.
+No group is held by a task (blocks of at most ``BLOCK`` classes and ``BLOCK_BYTES`` of
+sets), no pairs of a whole bucket are written out, and hub keys go through bounded
+broadcasts of numbers, never of sets.
 
 Defined results: null or empty texts and texts without words have an empty set, link with
 nothing and are kept; a text with fewer words than a shingle is one shingle; rows that
@@ -45,6 +48,7 @@ BASE = 1.2
 RATE = 20.0
 MAX_LOG_RATIO = 7.0
 BLOCK = 512
+BLOCK_BYTES = 8 << 20
 SMALL = 8           # buckets up to this size are compared as plain pairs
 PER_COPY = 2000
 FILTER_BITS = 22
@@ -143,11 +147,56 @@ def _ratio_ok(above, below, na, nb, top, threshold):
     return ll.max(1) - high <= MAX_LOG_RATIO
 
 
-def agreement(ra: np.ndarray, rb: np.ndarray) -> np.ndarray:
-    """Matrix of equal registers between two blocks of sketches."""
-    out = np.zeros((len(ra), len(rb)), np.int16)
-    for k in range(ra.shape[1]):
-        out += ra[:, k][:, None] == rb[None, :, k]
+def common_counts(xs: list[np.ndarray], ys: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all pairs of two lists of sets, by matrix products over
+    ``width`` elements at a time; only elements that both lists have count."""
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    both = np.intersect1d(x, y)
+    out = np.zeros((len(xs), len(ys)))
+
+    def cells(flat, sets):
+        row = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+        col = np.searchsorted(both, flat)
+        col[col == len(both)] = 0
+        hit = both[col] == flat if len(both) else np.zeros(len(flat), bool)
+        order = np.argsort(col[hit], kind="stable")
+        return row[hit][order], col[hit][order]
+
+    (xr, xc), (yr, yc) = cells(x, xs), cells(y, ys)
+    for at in range(0, len(both), width):
+        n = min(width, len(both) - at)
+        parts = []
+        for r, c, k in ((xr, xc, len(xs)), (yr, yc, len(ys))):
+            i, j = np.searchsorted(c, [at, at + n])
+            m = np.zeros((k, n), np.float32)
+            m[r[i:j], c[i:j] - at] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def joining_links(xi, xc, xs, yi, yc, ys, percent: int) -> list[tuple[int, int]]:
+    """Links (x, y) between two blocks that join components: at most as many as there are
+    components less one. ``i``: nodes, ``c``: their components, ``s``: their sets."""
+    common = common_counts(xs, ys)
+    union = np.array(list(map(len, xs)))[:, None] + np.array(list(map(len, ys)))[None, :] - common
+    hit = (100 * common >= percent * union) & (xc[:, None] != yc[None, :])
+    root: dict[int, int] = {}
+
+    def find(c):
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    out = []
+    for k in np.flatnonzero(hit.any(1)).tolist():
+        at = np.flatnonzero(hit[k])
+        comps, first = np.unique(yc[at], return_index=True)
+        for c, f in zip(comps.tolist(), first.tolist()):
+            a, b = find(int(xc[k])), find(c)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((int(xi[k]), int(yi[at[f]])))
     return out
 
 
@@ -297,73 +346,63 @@ def _with_sketches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs
 
 
-def _cross_pairs(members: DataFrame, hot: DataFrame, classes: DataFrame, links: DataFrame,
-                 percent: int, first: bool) -> DataFrame:
-    """(a, b) of bucket mates in different components that may link.
+def _cross_links(members: DataFrame, hot: DataFrame, classes: DataFrame, sets: DataFrame,
+                 links: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between bucket mates that ``links`` leave in different components.
 
     Only buckets with several components take part. In each, the classes outside the
-    bucket's largest component meet all classes of the bucket, block by block; the first
-    time only the best partner in each other component is returned. Buckets of at most
-    ``SMALL`` classes give all their pairs the first time."""
+    bucket's largest component meet all classes of the bucket, block by block, so every
+    pair across components is compared. Buckets of at most ``SMALL`` classes give their
+    pairs as rows."""
     comp = cut(_components(links), "link-components")
     lab = cut(members.join(comp, "node", "left")
-              .select("bk", "node", "size", F.coalesce("component", "node").alias("comp")),
-              "bucket-labels")
-    per = lab.groupBy("bk", "comp").agg(F.count("*").alias("c"), F.max("size").alias("all"))
+              .select("bk", "node", "size", F.coalesce("component", "node").alias("comp"))
+              .join(classes.select("node", "n"), "node"), "bucket-labels")
+    per = lab.groupBy("bk", "comp").agg(F.count("*").alias("c"), F.max("size").alias("all"),
+                                        F.sum("n").alias("n"))
     main = (per.groupBy("bk").agg(F.count("*").alias("comps"), F.max("all").alias("all"),
-                                  F.max(F.struct("c", "comp")).alias("m"))
+                                  F.sum("n").alias("n_all"),
+                                  F.max(F.struct("c", "comp", "n")).alias("m"))
             .filter(F.col("comps") > 1)
             .select("bk", F.col("m.comp").alias("main"), "all",
-                    (F.col("all") - F.col("m.c")).alias("out")))
-    rows = cut(split_join(lab.drop("size"), cut(main, "bucket-main"), "bk", hot)
+                    F.greatest(F.ceil(F.col("all") / BLOCK),
+                               F.ceil(F.col("n_all") * 8 / BLOCK_BYTES)).cast("int").alias("n_in"),
+                    F.greatest(F.ceil((F.col("all") - F.col("m.c")) / BLOCK),
+                               F.ceil((F.col("n_all") - F.col("m.n")) * 8 / BLOCK_BYTES))
+                    .cast("int").alias("n_out")))
+    rows = cut(split_join(lab.select("bk", "node", "comp"), cut(main, "bucket-main"), "bk", hot)
                .withColumn("outside", F.col("comp") != F.col("main")), "bucket-open")
-    out = None
-    if first:
-        few = rows.filter(F.col("all") <= SMALL)
-        x, y = few.select("bk", F.col("node").alias("a"), F.col("comp").alias("ca")), \
-            few.select("bk", F.col("node").alias("b"), F.col("comp").alias("cb"))
-        small = x.join(y, "bk").filter("a < b AND ca <> cb").select("a", "b").distinct()
-        out = _likely(_with_sketches(cut(small, "small-pairs"), classes), percent)
-    rows = (rows.filter(F.col("all") > SMALL)
-            .join(classes.select("node", "n", "sketch"), "node"))
-    best_only = first
+
+    few = rows.filter(F.col("all") <= SMALL)
+    x, y = few.select("bk", F.col("node").alias("a"), F.col("comp").alias("ca")), \
+        few.select("bk", F.col("node").alias("b"), F.col("comp").alias("cb"))
+    small = (x.join(y, "bk").filter("a < b AND ca <> cb").select("a", "b").distinct()
+             .join(tried, ["a", "b"], "left_anti"))
+    small = cut(_likely(_with_sketches(cut(small, "small-pairs"), classes), percent), "small-likely")
+
+    large = rows.filter(F.col("all") > SMALL)
     h = F.xxhash64("node")
-    n_in = F.ceil(F.col("all") / BLOCK).cast("int")
-    n_out = F.ceil(F.col("out") / BLOCK).cast("int")
     # each class once per block of outsiders; each outsider once per block of classes
-    every = rows.select("bk", "node", "comp", "n", "sketch", F.lit(False).alias("out_side"),
-                        F.pmod(h, n_in).alias("i"),
-                        F.explode(F.sequence(F.lit(0), n_out - 1)).alias("j"))
-    outs = rows.filter("outside").select(
-        "bk", "node", "comp", "n", "sketch", F.lit(True).alias("out_side"),
-        F.explode(F.sequence(F.lit(0), n_in - 1)).alias("i"), F.pmod(h, n_out).alias("j"))
+    every = large.select("bk", "node", "comp", F.lit(False).alias("out_side"),
+                         F.pmod(h, F.col("n_in")).cast("int").alias("i"),
+                         F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("j"))
+    outs = large.filter("outside").select(
+        "bk", "node", "comp", F.lit(True).alias("out_side"),
+        F.explode(F.sequence(F.lit(0), F.col("n_in") - 1)).alias("i"),
+        F.pmod(h, F.col("n_out")).cast("int").alias("j"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf[pdf.out_side], pdf[~pdf.out_side]
-        a, b = [], []
+        found = []
         if len(x) and len(y):
-            xs, ys = _matrix(x.sketch), _matrix(y.sketch)
-            xn, yn = x.n.to_numpy(), y.n.to_numpy()
-            xc, yc, xi, yi = x.comp.to_numpy(), y.comp.to_numpy(), x.node.to_numpy(), y.node.to_numpy()
-            eq = agreement(xs, ys)
-            for k in range(len(x)):
-                at = np.flatnonzero(yc != xc[k])
-                if not len(at):
-                    continue
-                at = at[may_link(np.broadcast_to(xs[k], (len(at), REGISTERS)), ys[at],
-                                 np.full(len(at), xn[k]), yn[at], percent / 100)]
-                if len(at) and best_only:
-                    order = at[np.argsort(-eq[k, at], kind="stable")]
-                    _, first = np.unique(yc[order], return_index=True)
-                    at = order[first]
-                a.append(np.minimum(yi[at], xi[k]))
-                b.append(np.maximum(yi[at], xi[k]))
-        cat = (lambda z: np.concatenate(z) if z else np.empty(0, np.int64))
-        return pd.DataFrame({"a": cat(a), "b": cat(b)})
-
-    large = (every.unionByName(outs).groupBy("bk", "i", "j")
-             .applyInPandas(compare, "a bigint, b bigint"))
-    return (large if out is None else large.unionByName(out)).distinct()
+            own = (lambda z: [np.frombuffer(b, np.uint64) for b in z["set"]])
+            found = joining_links(x.node.to_numpy(), x.comp.to_numpy(), own(x),
+                                  y.node.to_numpy(), y.comp.to_numpy(), own(y), percent)
+        return pd.DataFrame({"a": [min(f) for f in found], "b": [max(f) for f in found]}, dtype="int64")
+
+    in_blocks = (every.unionByName(outs).join(sets, "node").groupBy("bk", "i", "j")
+                 .applyInPandas(compare, "a bigint, b bigint"))
+    return _verify(small, sets, percent).unionByName(in_blocks).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -389,11 +428,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     tried = cut(_likely(_with_sketches(cut(stars, "star-pairs"), classes), percent), "tried")
     links = cut(_verify(tried, sets, percent), "links")
-    for first in (True, False):
-        more = cut(_cross_pairs(members, hot, classes, links, percent, first)
-                   .join(tried, ["a", "b"], "left_anti"), "cross-pairs")
-        tried = tried.unionByName(more)
-        links = cut(links.unionByName(_verify(more, sets, percent)), "links")
+    more = _cross_links(members, hot, classes, sets, links, tried, percent)
+    links = cut(links.unionByName(more), "all-links")
     return _label(docs, classes, links, id_col)
 
 
