@@ -34,9 +34,19 @@ from txgraph.llm import vocab
 from txgraph.llm.common import ship, slices
 
 END = 256           # added to the last byte's value
+_BYTES = [bytes([b]) for b in range(256)]
 _PLAIN = re.compile(r"[!-~¡-ɏ]+")
 
 
+def _reach(tokens: dict[bytes, int]) -> dict[bytes, int]:
+    """Length of the longest entry for each last three bytes that entries have."""
+    out: dict[bytes, int] = {}
+    for t in tokens:
+        if len(t) >= 3 and out.get(t[-3:], 0) < len(t):
+            out[t[-3:]] = len(t)
+    return out
+
+
 class TrieBpe:
     """Encoder for a word-end-marked byte-level BPE file (``word_bpe_49k.json``)."""
 
@@ -52,15 +62,14 @@ class TrieBpe:
             raise ValueError(f"not a word-end-marked BPE file: {path}")
         to_byte = vocab.byte_chars()
         self.strings = {i: s for s, i in model["vocab"].items()}
-        self.tokens: dict[tuple, int] = {}
+        # vocabulary entries inside a word and at its end, by their bytes
+        self.inner: dict[bytes, int] = {}
+        self.final: dict[bytes, int] = {}
         for s, i in model["vocab"].items():
             body = s[: -len(suffix)] if s.endswith(suffix) else s
             if body and all(c in to_byte for c in body):
-                sym = [to_byte[c] for c in body]
-                if s.endswith(suffix):
-                    sym[-1] += END
-                self.tokens[tuple(sym)] = i
-        self.longest = max(map(len, self.tokens))
+                (self.final if s.endswith(suffix) else self.inner)[bytes(map(to_byte.get, body))] = i
+        self.reach_inner, self.reach_final = _reach(self.inner), _reach(self.final)
         self.merge: dict[tuple[int, int], int] = {}       # pair -> rank
         self.made: dict[int, tuple[int, int, int]] = {}   # token -> rank, left, right
         for rank, m in enumerate(model["merges"]):
@@ -75,6 +84,7 @@ class TrieBpe:
         lib = Tokenizer.from_file(path)
         self.normal, self.pre, self.to_byte = lib.normalizer, lib.pre_tokenizer, to_byte
         self.fits: dict[tuple[int, int], bool] = {}
+        self.word_ids = vocab.Memo(self._encode_distinct, 400_000)
 
     # -- which tokens may be neighbours -------------------------------------------------
     def _side_by_side(self, a: int, b: int) -> bool:
@@ -102,6 +112,10 @@ class TrieBpe:
             ok = self.fits[key] = self._side_by_side(a, b)
         return ok
 
+    def _encode_distinct(self, words: list[bytes]) -> list[tuple]:
+        got = self.encode_words(words)
+        return [tuple(got[w]) for w in words]
+
     # -- the trie ------------------------------------------------------------------------
     def encode_words(self, distinct: list[bytes]) -> dict[bytes, list[int]]:
         """ids of each distinct word."""
@@ -121,27 +135,40 @@ class TrieBpe:
                 node = nxt
             ends.append(node)
         last_token, begins = [-1] * len(kids), [0] * len(kids)
-        path: list[int] = []        # symbols from the root
         nodes: list[int] = [0]      # nodes from the root
-        todo = [(0, s, n) for s, n in kids[0].items()]
-        tokens, longest, may = self.tokens, self.longest, self.may_follow
+        todo = [(0, b"", s, n) for s, n in kids[0].items()]
+        inner, final, fits, may = self.inner, self.final, self.fits, self.may_follow
+        reach_inner, reach_final = self.reach_inner, self.reach_final
         while todo:
-            depth, sym, node = todo.pop()
-            del path[depth:], nodes[depth + 1:]
-            path.append(sym)
-            nodes.append(node)
+            depth, path, sym, node = todo.pop()
+            del nodes[depth + 1:]
             here = depth + 1
-            for size in range(min(here, longest), 0, -1):
-                t = tokens.get(tuple(path[here - size:]))
+            nodes.append(node)
+            if sym < END:
+                tokens, path = inner, path + _BYTES[sym]
+                longest = reach_inner.get(path[-3:], 2)
+            else:
+                tokens, path = final, path + _BYTES[sym - END]
+                longest = reach_final.get(path[-3:], 2)
+            # the longest vocabulary entry that ends here and may follow what is before it;
+            # one that begins at the root stands alone, as every entry merges to itself
+            for at in range(here - longest if here > longest else 0, here):
+                t = tokens.get(path[at:])
                 if t is None:
                     continue
-                start = nodes[here - size]
-                # a token stands alone only if its own bytes merge to it, which holds for
-                # every entry that a merge makes and for the single symbols
-                if start == 0 or may(last_token[start], t):
+                start = nodes[at]
+                if not start:
+                    last_token[node] = t
+                    break
+                key = (last_token[start], t)
+                ok = fits.get(key)
+                if ok or ok is None and may(*key):
                     last_token[node], begins[node] = t, start
                     break
-            todo.extend((here, s, n) for s, n in kids[node].items())
+            if sym < END:
+                below = kids[node]
+                if below:
+                    todo.extend([(here, path, s, n) for s, n in below.items()])
         out = {}
         for w, node in zip(distinct, ends):
             ids = []
@@ -173,7 +200,7 @@ class TrieBpe:
                     row.extend(got)
                     distinct.update(dict.fromkeys(got))
             plan.append(row)
-        ids = self.encode_words(list(distinct))
+        ids = self.word_ids.table([distinct])
         return [[i for p in row for i in ((p,) if isinstance(p, int) else ids[p])]
                 for row in plan]
 
@@ -192,7 +219,7 @@ _loaded: dict[str, tuple] = {}
 def _load(path: str):
     if path not in _loaded:
         bpe = TrieBpe(path)
-        _loaded[path] = (bpe, vocab.Memo(bpe.pack_segments, 250_000))
+        _loaded[path] = (bpe, vocab.Memo(bpe.pack_segments, 600_000))
     return _loaded[path]
 
 

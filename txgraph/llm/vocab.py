@@ -155,24 +155,33 @@ class SegmentTable(dict):
 
 
 class Memo:
-    """Bounded memory of what segments map to; lives as long as the worker."""
+    """Bounded memory of what segments map to; lives as long as the worker.
+
+    Two generations: when the younger is full it becomes the older, and what is met again
+    moves over, so frequent segments stay."""
 
     def __init__(self, make, limit: int = MEMO_SEGMENTS):
-        self.make, self.limit, self.known = make, limit, {}
+        self.make, self.half, self.known, self.older = make, limit // 2, {}, {}
 
     def table(self, segmented: list[list[str]]) -> dict:
         """A dict that has every segment of these texts."""
         need = set()
         for s in segmented:
             need.update(s)
-        if len(self.known) > self.limit:
-            self.known = {}
-        new = [s for s in need if s not in self.known]
+        if len(self.known) > self.half:
+            self.older, self.known = self.known, {}
+        known, older, new = self.known, self.older, []
+        for s in need.difference(known):
+            if s in older:
+                known[s] = older[s]
+            else:
+                new.append(s)
         if not new:
-            return self.known
+            return known
         made = dict(zip(new, self.make(new)))
-        if all(len(s) <= LONG_SEGMENT for s in new):
-            self.known.update(made)
-            return self.known
-        self.known.update((s, v) for s, v in made.items() if len(s) <= LONG_SEGMENT)
-        return {**{s: self.known[s] for s in need if s in self.known}, **made}
+        long = [s for s in new if len(s) > LONG_SEGMENT]
+        if not long:
+            known.update(made)
+            return known
+        known.update((s, v) for s, v in made.items() if len(s) <= LONG_SEGMENT)
+        return {**{s: known[s] for s in need.intersection(known)}, **made}
