@@ -148,6 +148,50 @@ def test_vector_near_duplicates(spark, recall, monkeypatch):
     assert got == brute_vectors(rows)
 
 
+def rare_links(n=6000, dim=16):
+    """A narrow cone in which only every hundredth vector has a link, to one other."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((n, dim))
+    x[:, 0] += 2
+    for i in range(0, n, 100):
+        z = rng.standard_normal(dim)
+        u = x[i] / np.linalg.norm(x[i])
+        z -= (z @ u) * u
+        x[i + 1] = 0.982 * u + np.sqrt(1 - 0.982 ** 2) * z / np.linalg.norm(z)
+    return [(i, v.tolist(), "a") for i, v in enumerate(x)]
+
+
+def test_rare_links_in_a_cone(spark, monkeypatch):
+    """Blocks far over their size, and an audit that meets few links."""
+    from txgraph.llm import nn_descent as N
+
+    monkeypatch.setattr(N, "BLOCK", 64)
+    rows = rare_links()
+    got = sorted(map(tuple, N.vector_near_duplicates(vectors(spark, rows)).collect()), key=repr)
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = [(int(i), int(j)) for i, j in zip(*np.nonzero(x @ x.T >= 0.98)) if i < j]
+    comp = brute_components(len(rows), near)
+    n = np.bincount(np.array(near).ravel(), minlength=len(rows))
+    assert got == sorted(((i, int(n[i]), comp[i], comp[i] == i) for i in range(len(rows))), key=repr)
+
+
+def test_audit_without_links_is_no_proof(spark, monkeypatch):
+    """Too few tables are noticed where no vector has a link."""
+    from txgraph.llm import nn_descent as N
+
+    rng = np.random.default_rng(8)
+    rows = [(i, v.tolist(), "a") for i, v in enumerate(rng.standard_normal((400, 64)))]
+    df = N.cut(N.prepare(vectors(spark, rows), "vec_id", "embedding", "label")
+               .withColumn("node", N.F.monotonically_increasing_id())
+               .withColumn("g", N.F.lit(1).cast("bigint")))
+    none = spark.createDataFrame([], "u bigint, v bigint, sim double")
+    groups = spark.createDataFrame([(1, 400, 16, 1)], "g bigint, size bigint, bits int, tables int")
+    monkeypatch.setattr(N, "AUDIT_MOST", 64)
+    assert N._recall(df, groups, none, 1, 0.98) < 0.6
+    assert N._recall(df, groups, none, 20, 0.98) > 0.95
+
+
 def test_vectors_empty(spark):
     from txgraph.llm import nn_descent as N
 

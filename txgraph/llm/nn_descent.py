@@ -3,16 +3,21 @@
 Vectors of one label are compared by cosine in double precision:
 
 1. equal vectors form a class with a count, so copies are never expanded;
-2. a first neighbour graph comes from blocks of at most ``BLOCK`` classes that fall on the
-   same side of random hyperplanes (as many as the label's size asks for; fuller blocks
-   are dealt by hash), in ``TABLES`` independent ways;
+2. a first neighbour graph comes from blocks of classes that fall on the same side of
+   random hyperplanes (as many as the label's size asks for). All classes of a block are
+   compared, in parts of at most ``BLOCK``, and there are as many independent tables as it
+   takes that a pair at the threshold shares no block with a chance of at most ``MISS``,
+   whatever else the label holds. Each class keeps its ``LIST`` best neighbours of a
+   comparison; links that this leaves out still connect their ends through others;
 3. NN-descent: each class is compared with the neighbours of its neighbours, the best
    ``LIST`` neighbours are kept, and so on until a round finds nothing better. Lists hold
    neighbours at ``floor`` or above: two threshold neighbours of one vector are themselves
    at ``2 t^2 - 1`` or above, so lower ones lead nowhere;
-4. recall is audited: ``AUDIT`` classes are compared with all classes of their label; below
-   ``recall`` more tables are added and the descent goes on; if ``ATTEMPTS`` do not suffice,
-   each label is compared whole, in blocks;
+4. recall is audited: classes are compared with all classes of their label, ``AUDIT`` first
+   and up to ``AUDIT_MOST`` until ``EVIDENCE`` true links were seen, and vectors planted at
+   the threshold beside audited classes must share a block with them, so a label without
+   links is audited too. Below ``recall`` more tables are added and the descent goes on; if
+   ``ATTEMPTS`` do not suffice, each label is compared whole, in blocks;
 5. links are the edges at the threshold. A list whose neighbours all reach it is saturated:
    it is enlarged to its whole component, whose classes are compared block by block. Only
    counts leave those tasks, never the pairs.
@@ -37,9 +42,12 @@ from txgraph.operators.components import connected_components
 from txgraph.operators.skew import heavy_keys, split_join
 
 BLOCK = 512
-TABLES = 6
+MISS = 1e-3
 LIST = 12
 AUDIT = 64
+AUDIT_MOST = 1024
+EVIDENCE = 64
+PLANTS = 4
 ATTEMPTS = 4
 BITS = 30
 
@@ -100,47 +108,91 @@ def _stack(col, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(col), np.float64).reshape(-1, dim)
 
 
-def _first_edges(classes: DataFrame, groups: DataFrame, hot_g: DataFrame, tables: range,
-                 floor: float) -> DataFrame:
-    """(u, v, sim): the best neighbours within blocks of each table, both ways."""
+def _depths(threshold: float) -> list[tuple[int, int]]:
+    """(bits, tables) by the bits that a label's size asks for: tables enough that a pair at
+    the threshold is missed by all with a chance of at most MISS. Where that takes more
+    tables than there are blocks, the label is one block."""
+    same = 1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi
+    out = []
+    for bits in range(BITS + 1):
+        meet = same ** bits
+        tables = 1 if meet >= 1 else int(np.ceil(np.log(MISS) / np.log1p(-meet))) if meet > 1e-9 else 1 << 31
+        out.append((bits, tables) if tables <= 1 << bits else (0, 1))
+    return out
+
+
+def _with_depth(groups: DataFrame, threshold: float) -> DataFrame:
+    """Adds ``bits`` and ``tables`` to (g, size)."""
+    depths = _depths(threshold)
+    wide = F.greatest(F.lit(0), F.ceil(F.log2(F.col("size") / (BLOCK / 2)))).cast("int")
+    at = F.least(wide, F.lit(BITS)) + 1
+    pick = lambda k: F.element_at(F.array(*[F.lit(d[k]) for d in depths]), at)
+    return groups.withColumn("bits", pick(0)).withColumn("tables", pick(1))
+
+
+def _side(x: np.ndarray, table: int, bits: int) -> np.ndarray:
+    """Block of each row of ``x`` in a table: on which side of its hyperplanes it falls."""
+    return ((x @ _planes(x.shape[1], table)[:, :bits]) >= 0) @ (1 << np.arange(bits, dtype=np.int64))
+
+
+def _forest(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (i, j) that connect what the symmetric matrix ``hit`` connects."""
+    todo, a, b = np.ones(len(hit), bool), [], []
+    for root in range(len(hit)):
+        stack, todo[root] = [root] if todo[root] else [], False
+        while stack:
+            i = stack.pop()
+            new = np.flatnonzero(hit[i] & todo)
+            todo[new] = False
+            a.append(np.full(len(new), i))
+            b.append(new)
+            stack += new.tolist()
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _first_edges(classes: DataFrame, groups: DataFrame, hot_g: DataFrame, attempt: int,
+                 floor: float, threshold: float) -> DataFrame:
+    """(u, v, sim): the best neighbours within blocks of each of an attempt's tables."""
 
     def sides(batches):
         for b in batches:
-            dims = np.array(b.column("dim"))
+            kind = np.stack([b.column(c).to_numpy() for c in ("dim", "bits", "tables")], 1)
             unit = b.column("unit").to_pylist()
-            cols = {t: np.zeros(len(dims), np.int64) for t in tables}
-            for d in np.unique(dims):
-                at = np.flatnonzero(dims == d)
-                x = _stack([unit[i] for i in at], int(d))
-                for t in tables:
-                    bits = (x @ _planes(int(d), t)) >= 0
-                    cols[t][at] = bits @ (1 << np.arange(BITS, dtype=np.int64))
-            n = len(dims)
-            for t in tables:
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("node"), b.column("g"), pa.array(np.full(n, t, np.int32)),
-                     pa.array(cols[t])], names=["node", "g", "t", "side"])
-
-    sided = (classes.select("node", "g", "dim", "unit")
+            for d, bits, tables in np.unique(kind, axis=0).tolist():
+                at = np.flatnonzero((kind == (d, bits, tables)).all(1))
+                x, n = _stack([unit[i] for i in at], d), len(at)
+                own = b.select(["node", "g"]).take(pa.array(at))
+                for t in range(attempt * tables, (attempt + 1) * tables):
+                    yield pa.RecordBatch.from_arrays(
+                        [*own.columns, pa.array(np.full(n, t, np.int32)), pa.array(_side(x, t, bits))],
+                        names=["node", "g", "t", "side"])
+
+    sided = (split_join(classes.select("node", "g", "dim", "unit"),
+                        groups.select("g", "bits", "tables"), "g", hot_g)
+             .select("node", "g", "dim", "unit", "bits", "tables")
              .mapInArrow(sides, "node bigint, g bigint, t int, side bigint"))
-    wide = F.greatest(F.lit(0), F.ceil(F.log2(F.col("size") / (BLOCK / 2)))).cast("int")
-    mask = F.expr(f"shiftleft(1L, least(bits, {BITS})) - 1")
-    block = cut(split_join(sided, groups.select("g", wide.alias("bits")), "g", hot_g)
-                .select("node", F.xxhash64("g", "t", F.col("side").bitwiseAND(mask)).alias("blk")),
-                "blocks")
+    block = cut(sided.select("node", F.xxhash64("g", "t", "side").alias("blk")), "blocks")
     full = cut(block.groupBy("blk").agg(F.count("*").alias("c")).filter("c > 1"), "block-sizes")
-    parts = F.ceil(F.col("c") / BLOCK).cast("int")
     rows = (split_join(block, full, "blk", heavy_keys(full, "blk", "c"))
-            .withColumn("part", F.pmod(F.xxhash64("node", "blk"), parts))
+            .withColumn("parts", F.ceil(F.col("c") / BLOCK).cast("int"))
+            .withColumn("own", F.pmod(F.xxhash64("node", "blk"), F.col("parts")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            .select("blk", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                    "own", "node")
             .join(classes.select("node", "dim", "unit"), "node"))
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for d, own in pdf.groupby("dim", sort=False):
-            x = _stack(own.unit, int(d))
+        for d, p in pdf.groupby("dim", sort=False):
+            x, node, own = _stack(p.unit, int(d)), p.node.to_numpy(), p.own.to_numpy()
             s = x @ x.T
             np.fill_diagonal(s, -2)
-            node = own.node.to_numpy()
+            if p.i.iloc[0] != p.j.iloc[0]:
+                s[own[:, None] == own[None, :]] = -2     # compared in a part of their own
+            link = s >= threshold
+            if (link.sum(1) > LIST).any():
+                i, j = _forest(link)
+                out.append(pd.DataFrame({"u": node[i], "v": node[j], "sim": s[i, j]}))
             for i in range(len(s)):
                 at = np.flatnonzero(s[i] >= floor)
                 if len(at) > LIST:
@@ -150,7 +202,7 @@ def _first_edges(classes: DataFrame, groups: DataFrame, hot_g: DataFrame, tables
         return pd.concat(out) if out else pd.DataFrame({"u": [], "v": [], "sim": []}).astype(
             {"u": "int64", "v": "int64", "sim": "float64"})
 
-    return rows.select("blk", "part", "node", "dim", "unit").groupBy("blk", "part").applyInPandas(
+    return rows.select("blk", "i", "j", "own", "node", "dim", "unit").groupBy("blk", "i", "j").applyInPandas(
         best, "u bigint, v bigint, sim double")
 
 
@@ -205,34 +257,77 @@ def _descend(edges: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
         tried = hop if tried is None else tried.unionByName(hop)
 
 
-def _recall(classes: DataFrame, edges: DataFrame, threshold: float) -> float:
-    """Share of the true links of AUDIT classes that are found or lie within a component of
-    saturated lists (which are compared whole later)."""
-    sample = classes.orderBy(F.xxhash64("node", F.lit(1))).limit(AUDIT).select("node", "g", "unit")
-    probe = [(r.node, r.g, np.frombuffer(bytes(r.unit))) for r in sample.collect()]   # AUDIT rows
+def _planted(classes: DataFrame, groups: DataFrame, attempts: int, threshold: float) -> float:
+    """Share of vectors planted at the threshold beside AUDIT classes that share a block with
+    theirs in one of the tables so far."""
+    sample = classes.orderBy(F.xxhash64("node", F.lit(2))).limit(AUDIT).select("g", "unit")
+    rng, met = np.random.default_rng(3), []
+    for r in sample.join(groups, "g").select("unit", "bits", "tables").collect():     # AUDIT rows
+        x = np.frombuffer(bytes(r.unit))
+        z = rng.standard_normal((PLANTS, len(x)))
+        z -= (z @ x)[:, None] * x
+        size = np.sqrt((z * z).sum(1))[:, None]
+        t = min(1.0, max(-1.0, threshold))
+        y = np.where(size > 1e-9, t * x + np.sqrt(1 - t * t) * z / np.maximum(size, 1e-9), x)
+        hit = np.zeros(PLANTS, bool)
+        for table in range(attempts * r.tables):
+            side = _side(np.concatenate((x[None, :], y)), table, r.bits)
+            hit |= side[1:] == side[0]
+        met.append(hit.mean())
+    return float(np.mean(met)) if met else 1.0
+
+
+def _true_links(classes: DataFrame, count: int, threshold: float) -> DataFrame:
+    """(u, v): all links of ``count`` classes u, drawn by hash."""
+    sample = classes.orderBy(F.xxhash64("node", F.lit(1))).limit(count).select("node", "g", "unit")
+    probes: dict = {}
+    for r in sample.collect():                                        # AUDIT_MOST rows at most
+        probes.setdefault(r.g, []).append((r.node, bytes(r.unit)))
 
     def rows(batches):
         for b in batches:
-            u, v = [], []
             units = b.column("unit").to_pylist()
             g, node = b.column("g").to_numpy(), b.column("node").to_numpy()
-            for n, pg, x in probe:
-                at = np.flatnonzero((g == pg) & (node != n))
-                if len(at):
-                    s = _stack([units[i] for i in at], len(x)) @ x
-                    hit = node[at[s >= threshold]]
-                    u += [n] * len(hit)
-                    v += hit.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())],
-                                             names=["u", "v"])
-
-    true = cut(classes.select("node", "g", "unit").mapInArrow(rows, "u bigint, v bigint"), "audit")
+            for pg in np.intersect1d(g, list(probes)).tolist():
+                at = np.flatnonzero(g == pg)
+                who = np.array([n for n, _ in probes[pg]])
+                x = _stack([u for _, u in probes[pg]], len(probes[pg][0][1]) // 8)
+                hit = _stack([units[i] for i in at], x.shape[1]) @ x.T >= threshold
+                i, j = np.nonzero(hit & (node[at][:, None] != who[None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array(who[j]), pa.array(node[at][i])],
+                                                 names=["u", "v"])
+
+    return cut(classes.select("node", "g", "unit").mapInArrow(rows, "u bigint, v bigint"), "audit")
+
+
+def _recall(classes: DataFrame, groups: DataFrame, edges: DataFrame, attempts: int,
+            threshold: float) -> float:
+    """Share of true links that are listed or lie within a component of saturated lists
+    (which is compared whole later), but no more than of planted ones that share a block."""
+    links = edges.filter(F.col("sim") >= threshold).select("u", "v")
     comp = cut(_components(edges, threshold), "audit-components")
-    own = (true.join(comp.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left")
-           .join(comp.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
-           .agg(F.count("*").alias("n"), F.count(F.when(F.col("cu") == F.col("cv"), 1)).alias("hit"))
-           .first())
-    return own.hit / own.n if own.n else 1.0
+    whole = cut(comp.join(_saturated(links, comp), "component", "left_semi"), "audit-saturated")
+    count, total = AUDIT, classes.count()
+    while True:
+        true = _true_links(classes, count, threshold)
+        own = (true.join(links.withColumn("listed", F.lit(True)), ["u", "v"], "left")
+               .join(whole.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left")
+               .join(whole.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
+               .agg(F.count("*").alias("n"),
+                    F.count(F.when(F.col("listed") | (F.col("cu") == F.col("cv")), 1)).alias("hit"))
+               .first())
+        if own.n >= EVIDENCE or count >= min(total, AUDIT_MOST):
+            break
+        count *= 4
+    planted = _planted(classes, groups, attempts, threshold)
+    return min(planted, own.hit / own.n) if own.n else planted
+
+
+def _saturated(links: DataFrame, comp: DataFrame) -> DataFrame:
+    """Components with a class whose whole list reaches the threshold."""
+    return (links.groupBy("u").agg(F.count("*").alias("n")).filter(F.col("n") >= LIST)
+            .select(F.col("u").alias("node")).join(comp, "node")
+            .select("component").distinct())
 
 
 def _components(edges: DataFrame, threshold: float) -> DataFrame:
@@ -291,16 +386,16 @@ def vector_near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str =
                        F.min("unit").alias("unit"))
                   .withColumn("node", F.monotonically_increasing_id())
                   .withColumn("g", F.xxhash64("label", "dim")), "vector-classes")
-    groups = cut(classes.groupBy("g").agg(F.count("*").alias("size")), "label-sizes")
+    groups = cut(_with_depth(classes.groupBy("g").agg(F.count("*").alias("size")), threshold),
+                 "label-sizes")
     hot_g = heavy_keys(groups, "g", "size")
 
     edges, found = None, 0.0
     for attempt in range(ATTEMPTS):
-        more = _both(_first_edges(classes, groups, hot_g,
-                                  range(attempt * TABLES, (attempt + 1) * TABLES), floor))
+        more = _both(_first_edges(classes, groups, hot_g, attempt, floor, threshold))
         edges = cut(more if edges is None else _both(edges.unionByName(more)), "first-edges")
         edges = _descend(edges, classes, floor)
-        found = _recall(classes, edges, threshold)
+        found = _recall(classes, groups, edges, attempt + 1, threshold)
         if found >= recall:
             break
 
@@ -311,9 +406,7 @@ def vector_near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str =
             classes, threshold, pairs=True), "all-links")
     links = cut(edges.filter(F.col("sim") >= threshold).select("u", "v"), "links")
     comp = cut(_components(edges, threshold), "vector-components")
-    full = (links.groupBy("u").agg(F.count("*").alias("n")).filter(F.col("n") >= LIST)
-            .select(F.col("u").alias("node")).join(comp, "node")
-            .select(F.col("component").alias("comp")).distinct())
+    full = _saturated(links, comp).withColumnRenamed("component", "comp")
     sizes = cut(comp.groupBy(F.col("component").alias("comp")).agg(F.count("*").alias("n"))
                 .join(full, "comp"), "saturated")
     listed = (links.join(classes.select(F.col("node").alias("v"), "copies"), "v")
