@@ -113,6 +113,36 @@ def test_license_scan(spark):
     assert license_scan(empty(spark)).count() == 0
 
 
+def test_license_scan_of_wrapped_notices(spark):
+    from txgraph.llm.licenses import license_scan
+
+    notices = {
+        "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+            of this software and associated documentation files (the "Software"), to deal
+            in the Software without restriction, including without limitation the rights
+            to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+            copies of the Software.""",
+        "BSD": """ * Redistribution and use in source and binary forms, with or without
+             * modification, are permitted provided that the following conditions are met:""",
+        "GPL-3.0": """# This program is free software: you can redistribute it and/or modify
+            # it under the terms of the GNU General Public License as published by
+            # the Free Software Foundation, either version 3 of the License, or
+            # (at your option) any later version.""",
+        "GPL-2.0": """This program is free software; you can redistribute it and/or modify
+            it under the terms of the GNU General Public License as published by
+            the Free Software Foundation; either version 2 of the License, or
+            (at your option) any later version.""",
+    }
+    plain = [(i, f"Ordinary line number {i} of a text\nabout gardens and rivers\nand all rights of way\n"
+                 "reserved for\nthe general public") for i in range(30)]
+    wrapped = [(100 + i, f"A head line\r\n\n{t}\n\nand more\ntext") for i, t in enumerate(notices.values())]
+    got = {r.doc_id: r for r in license_scan(documents(spark, plain + wrapped)).collect()}
+    for (i, text), family in zip(wrapped, notices):
+        assert family in got[i].families.split(","), (family, got[i])
+        assert got[i].n_paragraphs == text.count("\n") + 1
+    assert all(got[i].families == "" for i, _ in plain)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
 @pytest.mark.parametrize("name", ["op3_url_filter", "op4_topk", "op10_line_dedup"])
 def test_sql(spark, name):
