@@ -69,34 +69,74 @@ def test_label_round_does_not_shuffle_messages(shuffled):
     assert not [x for x in FORBIDDEN if x in plan]
 
 
-def test_hub_root_is_split_in_star_rounds(shuffled):
-    """A root with a third of all pairs: no shuffle partition of the join holds its rows."""
+def test_hub_is_split_in_contraction_rounds(shuffled):
+    """A hub with a third of all edges: the joins of a round are between plain shuffles, so the
+    adaptive split deals the hub's rows; the edge table shrinks; the result is exact."""
     from pyspark.sql import functions as F
 
     from txgraph.operators import components as CC
-    from txgraph.session import cut
+    from txgraph.operators.build import induced_edges
+    from txgraph.session import cut_table
 
     spark = shuffled
-    n = 6000
-    pairs = cut(spark.range(1, n // 3).select(F.col("id").alias("v"), F.lit(0).cast("bigint").alias("p"))
-                .unionByName(spark.range(n, n + n, 3).select((F.col("id") + 1).alias("v"), F.col("id").alias("p"))))
-    rows = pairs.count()
-    large = CC._large_star(pairs, rows, 100)
-    assert "BroadcastHashJoin" in _plan(large)
-    both = pairs.select(F.col("p").alias("u"), F.col("v").alias("w")).unionByName(
-        pairs.select(F.col("v").alias("u"), F.col("p").alias("w")))
-    m = CC._minima(both, "u", "w")
-    hot = {r.u for r in CC.keys_above(m, "u", "n", 2 * rows, 100).collect()}
-    assert hot == {0}
-    comps = CC.connected_components(
-        pairs.select(F.col("v").alias("src"), F.col("p").alias("dst")), max_keys=100)
-    sizes = {r.component: r.size for r in CC.component_sizes(comps).collect()}
-    assert sizes[0] == n // 3 and set(sizes.values()) == {n // 3, 2}
-    keep = spark.range(0, n // 3)
-    from txgraph.operators.build import induced_edges
+    n = 60_000
+    pairs = cut_table(
+        spark.range(1, n // 3).select(F.lit(0).cast("bigint").alias("a"), F.col("id").alias("b"))
+        .unionByName(spark.range(n, 3 * n, 3).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+        .unionByName(spark.range(4 * n, 4 * n + 500).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))))
+    small = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k"}
+    old = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        r = cut_table(CC.followed(cut_table(CC.nearest(pairs, 11)), 11))
+        left = CC.contracted(pairs, r)
+        assert 0 < len(left.collect()) < 400
+        assert "skew=true" in _plan(left)
+        comps = CC.connected_components(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst")))
+        sizes = {r.component: r.size for r in CC.component_sizes(comps).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sizes[0] == n // 3 and set(sizes.values()) == {n // 3, 2, 501}
+    e = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    assert induced_edges(e, spark.range(0, n // 3), max_keys=100).count() == n // 3 - 1
+
+
+@pytest.mark.parametrize("shape", ["path", "down", "mixed", "star", "tree", "clique", "random"])
+def test_components_of_any_shape(spark, shape):
+    """Against a plain union-find, with repeated edges, loops and missing ends."""
+    import random
+
+    from txgraph.operators import components as CC
 
-    e = pairs.select(F.col("p").alias("src"), F.col("v").alias("dst"))
-    assert induced_edges(e, keep, max_keys=100).count() == n // 3 - 1
+    rnd = random.Random(len(shape))
+    n = 400
+    pairs = {
+        "path": [(i, i + 1) for i in range(n)], "down": [(n - i, n - i - 1) for i in range(n)],
+        "mixed": [(x, y) for p in [rnd.sample(range(n), n)] for x, y in zip(p, p[1:])],
+        "star": [(7, i) for i in range(n)], "tree": [(i, i // 2) for i in range(1, n)],
+        "clique": [(i, j) for i in range(25) for j in range(i)],
+        "random": [(rnd.randrange(-n, n), rnd.randrange(-n, n)) for _ in range(n)],
+    }[shape]
+    rows = pairs + pairs[:5] + [(9_000, 9_000), (9_001, None), (None, 9_002), (None, None)]
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for x, y in rows:
+        x, y = (y if x is None else x), (x if y is None else y)
+        if x is not None:
+            a, b = find(x), find(y)
+            up[max(a, b)] = min(a, b)
+    got = CC.connected_components(spark.createDataFrame(rows, "src bigint, dst bigint")).collect()
+    assert len(got) == len(up)
+    assert {r.id: r.component for r in got} == {x: find(x) for x in up}
 
 
 def test_hot_and_cold_branches_agree_with_the_plain_result(shuffled):

@@ -1,87 +1,123 @@
 """Connected components (D1), component sizes and the greatest-k subgraph.
 
-D1 alternates *large-star* and *small-star* rounds (Kiveris et al., SoCC 2014) on a
-pair table ``(v, p)`` with ``p < v``:
-
-* large-star: every node ``u`` links each larger neighbour to ``m(u)``, the smallest
-  id among ``u`` and its neighbours;
-* small-star: every node links itself and its smaller neighbours to the smallest of
-  them.
-
-Star roots become hubs as stars form (a root's key holds its whole component), so each
-round recomputes from its own state which keys hold more than ``1/max_keys`` of the rows;
-those meet their minimum through a bounded broadcast, all others through a shuffle
-(``txgraph.operators.skew``). The minima are ``groupBy(min)``, combined map-side.
-
-Both steps of a round are checkpointed. The loop stops when a round leaves the pairs as they were
-(count and two xor checksums of the pairs, taken while counting them for the hub test), a
-fixed point of both steps: then each child has one parent, no parent is a child, and each
-star is a component whose root, the smallest id, is the label. The number of rounds grows
-with ``log n``, not with the graph diameter; there is no bound that could cut it short.
+D1 contracts edges until none is left:
+
+1. every vertex points at its smallest neighbour ``m``, in an order that a random XOR of the
+   ids gives anew each round. Pointers lead from ``v`` over ``m(v)`` to ``m(m(v))``, which is
+   never greater than ``v``, so every tree of pointers has two vertices or more;
+2. ``r(v) = min(m(v), m(m(v)))``, followed once more (``r(r(v))``), stands for ``v``;
+3. edges are renamed by ``r``; those whose ends fall together and repeated ones go. Vertices
+   without an edge left are finished and drop out by themselves.
+
+The edge table shrinks by a constant factor a round (expected, whatever the graph: a chain of
+``L`` pointers in one direction has a chance of at most ``1/L`` under a random XOR), so the
+rounds together cost about as much as the first. The ``r`` tables shrink alike and are joined
+from the last to the first; the smallest id of each group then names its component.
+
+All state is written tables in the shared folder, so a lost executor costs its tasks only, and
+their known sizes let small ones be broadcast by Spark. Every join is between two plainly
+shuffled tables, so Spark's adaptive skew split deals a hub's rows over several tasks when,
+and only when, its partition exceeds the configured share. Minima and ``distinct`` combine
+map-side. Small tables lie in few parts. Per round the driver learns one number, the edges left.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import random
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from txgraph.operators.build import induced_edges
-from txgraph.operators.skew import MAX_HOT_KEYS, keys_above, split_join
-from txgraph.operators.views import simple_edges, vertex_ids
-from txgraph.session import cut
-
-
-def _minima(pairs: DataFrame, key: str, other: str) -> DataFrame:
-    """``(key, mn, n)``: smallest partner and number of rows of each key. Its exchange is
-    reused within a step, for the hub test and for the join."""
-    return pairs.groupBy(key).agg(F.min(other).alias("mn"), F.count(F.lit(1)).alias("n"))
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in as many parts as a shuffle has: unions would add theirs up each round."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(df.coalesce(parts))
-
-
-def _large_star(e: DataFrame, rows: int, max_keys: int) -> DataFrame:
-    both = e.select(F.col("p").alias("u"), F.col("v").alias("w")).unionByName(
-        e.select(F.col("v").alias("u"), F.col("p").alias("w")))
-    m = _minima(both, "u", "w")
-    hot = keys_above(m, "u", "n", 2 * rows, max_keys)
-    # Duplicates are left in: small-star's min is insensitive to them and its
-    # final distinct removes them, saving one shuffle per round.
-    return split_join(both.filter(F.col("w") > F.col("u")), m.select("u", "mn"), "u", hot).select(
-        F.col("w").alias("v"), F.least("mn", "u").alias("p"))
-
-
-def _small_star(e: DataFrame, rows: int, max_keys: int) -> DataFrame:
-    m = _minima(e, "v", "p")
-    hot = keys_above(m, "v", "n", rows, max_keys)
-    linked = split_join(e, m.select("v", "mn"), "v", hot).filter(F.col("p") != F.col("mn")).select(
-        F.col("p").alias("v"), F.col("mn").alias("p"))
-    return linked.unionByName(m.select("v", F.col("mn").alias("p"))).distinct()
-
-
-def _fingerprint(e: DataFrame) -> tuple:
-    """(rows, checksums) of the pairs: one scalar row."""
-    return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("v", "p")),
-                       F.bit_xor(F.xxhash64("p", F.lit(7), "v"))).first())
-
-
-def connected_components(edges: DataFrame, vertices: DataFrame | None = None,
-                         max_keys: int = MAX_HOT_KEYS) -> DataFrame:
-    """``(id, component)``; direction ignored; label = smallest id; isolates label themselves."""
-    e = _cut(simple_edges(edges).select(F.col("b").alias("v"), F.col("a").alias("p")))
-    now = _fingerprint(e)
-    while now[0]:
-        large = _cut(_large_star(e, now[0], max_keys))
-        e = _cut(_small_star(large, now[0], max_keys))
-        before, now = now, _fingerprint(e)
-        if now == before:
+from txgraph.session import cut_table
+
+# Rows for each part of a written table, until there are as many parts as a shuffle has.
+ROWS_A_PART = 200_000
+
+
+def _parts(df: DataFrame, rows: int) -> int:
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(most, -(-rows // ROWS_A_PART)))
+
+
+def _write(df: DataFrame, most_rows: int | None = None) -> tuple[DataFrame, int]:
+    """The written table and its number of rows, counted on the way (0 only when empty)."""
+    seen = Observation()
+    if most_rows is not None:
+        df = df.coalesce(_parts(df, most_rows))
+    out = cut_table(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return out, seen.get["rows"]
+
+
+def _salt(rnd: int) -> int:
+    return random.Random(rnd).getrandbits(64) - (1 << 63)
+
+
+def nearest(e: DataFrame, salt: int) -> DataFrame:
+    """``(u, m)``: the neighbour of each end with the smallest id XOR ``salt``."""
+    mix = F.lit(salt).cast("bigint")
+    both = e.select(F.col("a").alias("u"), F.col("b").bitwiseXOR(mix).alias("x")).unionByName(
+        e.select(F.col("b").alias("u"), F.col("a").bitwiseXOR(mix).alias("x")))
+    return both.groupBy("u").agg(F.min("x").bitwiseXOR(mix).alias("m"))
+
+
+def followed(m: DataFrame, salt: int) -> DataFrame:
+    """``(u, r)`` with ``r = min(m(u), m(m(u)))`` in the order of the round."""
+    mix = F.lit(salt).cast("bigint")
+    nxt = m.select(F.col("u").alias("m"), F.col("m").alias("m2"))
+    return m.join(nxt, "m").select("u", F.least(
+        F.col("m").bitwiseXOR(mix), F.col("m2").bitwiseXOR(mix)).bitwiseXOR(mix).alias("r"))
+
+
+def jumped(r: DataFrame) -> DataFrame:
+    """``(u, r(r(u)))``; every ``r`` is itself a vertex of the table."""
+    nxt = r.select(F.col("u").alias("r"), F.col("r").alias("r2"))
+    return r.join(nxt, "r").select("u", F.col("r2").alias("r"))
+
+
+def contracted(e: DataFrame, r: DataFrame) -> DataFrame:
+    """The edges ``(a, b)``, ``a < b``, between what stands for the ends of ``e``."""
+    x = e.join(r.select(F.col("u").alias("a"), F.col("r").alias("ra")), "a")
+    x = x.join(r.select(F.col("u").alias("b"), F.col("r").alias("rb")), "b")
+    return x.filter(F.col("ra") != F.col("rb")).select(
+        F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+
+
+def connected_components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
+    """``(id, component)``; direction ignored; label = smallest id; isolates label themselves.
+
+    An edge with a missing end links nothing; its other end is a vertex. The source is read
+    once. There is no bound on the rounds: they end when no edge is left.
+    """
+    # least and greatest pass over NULL: a lone end becomes a loop, which only names a vertex
+    pairs, rows = _write(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+                         .filter(F.col("a").isNotNull()).distinct())
+    lone = pairs.filter(F.col("a") == F.col("b")).select(F.col("a").alias("id"))
+    e = pairs.filter(F.col("a") < F.col("b")).select("a", "b")
+    maps: list[DataFrame] = []
+    while rows:
+        salt = _salt(len(maps))
+        r = followed(nearest(e, salt), salt)
+        if rows > ROWS_A_PART:      # read twice: worth a table of its own unless small
+            r, _ = _write(r, 2 * rows)
+        r, ends = _write(jumped(r), 2 * rows)
+        if not ends:
             break
-    stars = e.withColumnRenamed("v", "id")
-    return vertex_ids(edges, vertices).join(stars, "id", "left").select(
-        "id", F.coalesce("p", "id").alias("component"))
+        maps.append(r)
+        e, rows = _write(contracted(e, r), rows)
+    others = lone if vertices is None else lone.unionByName(vertices.select("id")).filter(
+        F.col("id").isNotNull()).distinct()
+    if not maps:
+        return others.select("id", F.col("id").alias("component"))
+    stands = maps[-1]
+    for r in reversed(maps[:-1]):
+        far = stands.select(F.col("u").alias("r"), F.col("r").alias("far"))
+        stands = r.join(far, "r", "left").select("u", F.coalesce("far", "r").alias("r"))
+    stands, _ = _write(stands)
+    names, _ = _write(stands.groupBy("r").agg(F.min("u").alias("component")))
+    labels = stands.join(names, "r").select(F.col("u").alias("id"), "component")
+    rest = others.join(stands.select(F.col("u").alias("id")), "id", "left_anti")
+    return labels.unionByName(rest.select("id", F.col("id").alias("component")))
 
 
 def component_sizes(components: DataFrame) -> DataFrame:

@@ -90,3 +90,13 @@ def cut_by(df: DataFrame, key: str, parts: int) -> DataFrame:
     (df.repartition(parts, key).write.bucketBy(parts, key).sortBy(key)
      .option("path", scratch_path(spark, "bucketed")).saveAsTable(name))
     return spark.table(name)
+
+
+def cut_table(df: DataFrame, name: str = "table") -> DataFrame:
+    """As :func:`cut`, but a Parquet table in the shared folder, read back: compressed, columnar,
+    and of a size that Spark knows, so that small ones are broadcast in joins and large ones
+    are shuffled plainly, which lets the adaptive skew split deal hot keys."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
