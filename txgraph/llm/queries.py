@@ -5,13 +5,15 @@ from __future__ import annotations
 from txgraph.llm.bpe_trie import bpe_encode
 from txgraph.llm.common import table
 import corpus_pipeline
-from txgraph.llm import line_dedup, topk, url_filter
+from txgraph.llm import decontaminate, line_dedup, topk, url_filter
 from txgraph.llm.licenses import license_scan
 from txgraph.llm.nn_descent import vector_near_duplicates
 from txgraph.llm.packing import pack
 from txgraph.llm.quality import quality
 from txgraph.llm.setsketch import near_duplicates
+from txgraph.llm.spelling import variants
 from txgraph.llm.token_counts import token_counts
+from txgraph.llm.whitening import whiten
 
 
 def op1_quality(spark, sf_dir):
@@ -54,6 +56,18 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op11_decontaminate(spark, sf_dir):
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling_variants(spark, sf_dir):
+    return variants(table(spark, sf_dir, "documents"))
+
+
+def op13_whiten(spark, sf_dir):
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_bpe_encode": op2_bpe_encode,
@@ -65,6 +79,9 @@ QUERIES = {
     "op8_vector_near_duplicates": op8_vector_near_duplicates,
     "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
+    "op11_decontaminate": op11_decontaminate,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_whiten": op13_whiten,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -72,4 +89,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_topk": topk.ORACLE,
     "op3_url_filter": url_filter.oracle(),
     "op10_line_dedup": line_dedup.ORACLE,
+    "op11_decontaminate": decontaminate.ORACLE,
 }
