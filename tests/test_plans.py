@@ -46,27 +46,42 @@ def shuffled(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
-def test_label_round_does_not_shuffle_messages(shuffled):
-    """One round: the messages lie by sender already, only labels and histograms move."""
+def test_label_rounds_follow_the_changed_labels(spark):
+    """Maintained histograms equal those counted anew, and what a round sends shrinks."""
     from pyspark.sql import functions as F
 
     from txgraph.operators import community as CM
     from txgraph.operators.views import vertex_ids
+    from txgraph.operators.written import write
     from txgraph.plans import fixtures as fx
-    from txgraph.session import cut, cut_by
 
-    spark = shuffled
-    e = cut(fx.monthly_edges(spark, SF))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    w = cut(CM.message_weights(e))
-    hot = cut(w.select("f").limit(1))
-    cold = cut_by(w.join(F.broadcast(hot), "f", "left_anti"), "f", parts)
-    labels = cut(vertex_ids(e).select("id", F.col("id").alias("label"), F.lit(False).alias("changed")))
-    step = CM._lpa_round((cold, cut(w.join(F.broadcast(hot), "f", "left_semi"))), hot)(labels)
-    plan = _plan(step)
-    # labels by f, (t, label), t, labels by id
-    assert plan.count("Exchange hashpartitioning") == 4
-    assert not [x for x in FORBIDDEN if x in plan]
+    e, _ = write(fx.monthly_edges(spark, SF))
+    w, _ = write(CM.message_weights(e))
+    labels = {r.id: r.id for r in vertex_ids(e).collect()}
+    weights = [tuple(r) for r in w.collect()]
+    changes, sent, moved = [], [], None
+    for step in range(4):
+        hist = {}
+        for f, t, n in weights:
+            hist[t, labels[f]] = hist.get((t, labels[f]), 0) + n
+        if step:
+            change, rows = write(CM.histogram_change(w, moved))
+            sent.append(rows)
+            changes.append(change)
+            got = {(r.t, r.label): r.n for r in CM.touched_histograms(w, changes).collect()}
+            touched = {t for t, _ in got}
+            assert got == {k: n for k, n in hist.items() if k[0] in touched}
+        best = {}
+        for (t, label), n in hist.items():
+            best[t] = min(best.get(t, (0, 0)), (-n, label))
+        new = {v: best[v][1] if v in best else x for v, x in labels.items()}
+        moved = spark.createDataFrame([(v, labels[v], x) for v, x in new.items() if x != labels[v]],
+                                      "id bigint, old bigint, label bigint")
+        labels = new
+        assert labels == {r.id: r.label for r in CM.label_propagation(e, step).collect()}
+    assert sent[-1] < sent[0]
+    round_ = CM.histogram_change(w, moved.join(F.broadcast(moved.limit(1).select("id")), "id"))
+    assert "Exchange hashpartitioning(f" not in _plan(round_)
 
 
 def test_hub_is_split_in_contraction_rounds(shuffled):
@@ -102,7 +117,7 @@ def test_hub_is_split_in_contraction_rounds(shuffled):
             spark.conf.set(k, v)
     assert sizes[0] == n // 3 and set(sizes.values()) == {n // 3, 2, 501}
     e = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    assert induced_edges(e, spark.range(0, n // 3), max_keys=100).count() == n // 3 - 1
+    assert induced_edges(e, spark.range(0, n // 3)).count() == n // 3 - 1
 
 
 @pytest.mark.parametrize("shape", ["path", "down", "mixed", "star", "tree", "clique", "random"])
@@ -139,32 +154,54 @@ def test_components_of_any_shape(spark, shape):
     assert {r.id: r.component for r in got} == {x: find(x) for x in up}
 
 
-def test_hot_and_cold_branches_agree_with_the_plain_result(shuffled):
-    """Few hot keys, so both branches of every split join have rows."""
+def test_shuffled_plans_agree_with_broadcast_ones(shuffled):
+    """Wedges, labels and label pairs, with automatic broadcasts off and skew split eagerly."""
     from txgraph.operators import community as CM
-    from txgraph.operators import skew
     from txgraph.operators import triangles as T
-    from txgraph.operators.degrees import degrees
     from txgraph.plans import fixtures as fx
-    from txgraph.session import cut
+    from txgraph.session import cut_table
 
     spark = shuffled
-    e = cut(fx.dense_edges(spark, SF))
-    deg = degrees(e, "simple")
-    some = skew.heavy_keys(deg, "id", "degree", 190).count()
-    assert 0 < some < deg.count()
-    brute = T.triangle_total(e).first()[0]
-    for plan in ({"max_keys": 190}, {"hot_in": 150}, {"out_block": 3, "hot_in": 150}):
-        assert T.triangle_total(e, **plan).first()[0] == brute
-    per = {r.id: r.t for r in T.vertex_triangles(e).collect()}
-    assert per == {r.id: r.t for r in T.vertex_triangles(e, out_block=4, hot_in=150).collect()}
-    assert per == {r.id: r.t for r in T.vertex_triangles(e, T.triangles(e, out_block=5)).collect()}
-    plain = {r.id: r.label for r in CM.label_propagation(e, 3).collect()}
-    assert plain == {r.id: r.label for r in CM.label_propagation(e, 3, max_keys=150).collect()}
-    groups = cut(fx.dense_edges(spark, SF).selectExpr("src AS id").union(e.selectExpr("dst AS id"))
-                 .distinct().selectExpr("id", "id % 7 AS label"))
-    links = lambda k: sorted(map(tuple, CM.label_pairs(e, groups, k).collect()))
-    assert links(10_000) == links(150) == links(1)
+    e = cut_table(fx.dense_edges(spark, SF))
+    groups = cut_table(e.selectExpr("src AS id").union(e.selectExpr("dst AS id")).distinct()
+                       .selectExpr("id", "id % 7 AS label"))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    work = {"triangles": lambda: T.triangles(e), "per vertex": lambda: T.vertex_triangles(e),
+            "from a listing": lambda: T.vertex_triangles(e, T.triangles(e)),
+            "labels": lambda: CM.label_propagation(e, 3), "pairs": lambda: CM.label_pairs(e, groups)}
+    eager = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"}
+    plain = {k: rows(f()) for k, f in work.items()}
+    old = {k: spark.conf.get(k) for k in eager}
+    for k, v in eager.items():
+        spark.conf.set(k, v)
+    try:
+        split = {k: rows(f()) for k, f in work.items()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    sent = {k: rows(f()) for k, f in work.items()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plain == split == sent
+    assert plain["per vertex"] == plain["from a listing"] and len(plain["triangles"]) == 26609
+
+
+def test_trimming_keeps_all_triangles(spark):
+    """Chains and trees hanging off triangles are trimmed away, over several rounds."""
+    from txgraph.operators import triangles as T
+
+    tri = [(3 * k, 3 * k + 1) for k in range(9)] + [(3 * k + 1, 3 * k + 2) for k in range(9)] + [
+        (3 * k + 2, 3 * k) for k in range(9)]
+    tails = [(3 * k if j == 0 else 1000 + 50 * k + j, 1001 + 50 * k + j) for k in range(9) for j in range(40)]
+    e = spark.createDataFrame(tri + tails, "src bigint, dst bigint")
+    assert T.triangle_total(e).first()[0] == 9
+    assert {r.id: r.t for r in T.vertex_triangles(e).collect()} == {k: 1 for k in range(27)}
+    o = T.oriented_edges(spark.createDataFrame([(k, k + 1) for k in range(3)] + [(10, k) for k in range(20, 40)],
+                                               "src bigint, dst bigint"))
+    assert o.count() <= 1
 
 
 def test_top_k_per_address_limits_before_shuffle(spark):

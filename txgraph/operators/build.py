@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from txgraph.operators.skew import MAX_HOT_KEYS, heavy_keys, split_join
-from txgraph.session import cut
+from txgraph.operators.views import whole_edges
+from txgraph.session import cut, cut_table
 
 
 @dataclass(frozen=True)
@@ -60,23 +60,21 @@ def encode_edges(edges: DataFrame, ids: DataFrame, on_missing: str = "error") ->
 
     ``on_missing``: ``'error'`` fails the job on an endpoint without id (as the source
     does), ``'drop'`` drops such edges, ``'add'`` gives such endpoints the next free ids
-    (see :func:`extend_ids`; a missing receiver stays NULL). Hub addresses go through a
-    bounded broadcast.
+    (see :func:`extend_ids`). A row with a missing end is no edge and is left out. ``ids`` should
+    be a written table; the joins are plain ones, which the adaptive skew split deals.
     """
+    if on_missing not in ("error", "drop", "add"):
+        raise ValueError("on_missing must be 'error', 'drop' or 'add'")
     if on_missing == "add":
         ids = extend_ids(edges, ids)
     s = ids.select(F.col("address").alias("src"), F.col("vid").alias("src_id"))
     d = ids.select(F.col("address").alias("dst"), F.col("vid").alias("dst_id"))
     how = "inner" if on_missing == "drop" else "left"
-    hot_s = heavy_keys(edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")), "src", "n")
-    hot_d = heavy_keys(edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n")), "dst", "n")
-    j = split_join(split_join(edges, s, "src", hot_s, how), d, "dst", hot_d, how)
+    j = whole_edges(edges).join(s, "src", how).join(d, "dst", how)
     if on_missing == "error":
         missing = F.col("src_id").isNull() | F.col("dst_id").isNull()
         guard = F.when(missing, F.raise_error(F.lit("edge endpoint without a vertex id")))
         j = j.withColumn("src_id", F.coalesce(guard.cast("bigint"), F.col("src_id")))
-    elif on_missing not in ("drop", "add"):
-        raise ValueError("on_missing must be 'error', 'drop' or 'add'")
     return j.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "value")
 
 
@@ -97,9 +95,9 @@ def build_graph(vertices: DataFrame, edges: DataFrame, on_missing: str = "error"
 
     ``vertices(address)``, ``edges(src, dst, value)`` with address strings.
     """
-    ids = cut(assign_ids(vertices))
+    ids = cut_table(assign_ids(vertices))
     if on_missing == "add":
-        ids, on_missing = cut(extend_ids(edges, ids)), "error"
+        ids, on_missing = cut_table(extend_ids(edges, ids)), "error"
     return TxGraph(ids.select(F.col("vid").alias("id"), "address"),
                    encode_edges(edges, ids, on_missing))
 
@@ -109,21 +107,19 @@ def graph_counts(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     from txgraph.plans.report import one_row
 
     return one_row(vertices.agg(F.count(F.lit(1)).alias("vertices")),
-                   edges.agg(F.count(F.lit(1)).alias("edges")))
+                   whole_edges(edges).agg(F.count(F.lit(1)).alias("edges")))
 
 
-def induced_edges(edges: DataFrame, keep: DataFrame, both_ends: bool = True,
-                  max_keys: int = MAX_HOT_KEYS) -> DataFrame:
+def induced_edges(edges: DataFrame, keep: DataFrame, both_ends: bool = True) -> DataFrame:
     """Edges whose ends are in ``keep(id)``; ``both_ends=False`` checks the source only
     (enough when both ends are known to share membership, e.g. a component).
-    The kept set is never collected. Edges of hub ends (more than ``1/max_keys`` of the
-    rows) meet it through a bounded broadcast, all others through a shuffle.
+    The kept set is never collected: it is written once, and Spark broadcasts it when it is
+    small. Otherwise the semi-joins are shuffled; the adaptive skew split deals a hub's rows.
     """
-    keep = cut(keep.select("id").distinct())
-    out = edges
+    keep = cut_table(keep.select("id").distinct())
+    out = whole_edges(edges)
     for end in ("src", "dst") if both_ends else ("src",):
-        hot = heavy_keys(edges.groupBy(end).agg(F.count(F.lit(1)).alias("n")), end, "n", max_keys)
-        out = split_join(out, keep.select(F.col("id").alias(end)), end, hot)
+        out = out.join(keep.select(F.col("id").alias(end)), end, "left_semi")
     return out.select(*edges.columns)
 
 

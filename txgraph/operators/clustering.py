@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txgraph.functions.scalars import pairs, ratio
-from txgraph.operators.degrees import degrees
+from txgraph.operators.degrees import count_ends, degrees
 from txgraph.operators.triangles import triangle_total, vertex_triangles
+from txgraph.operators.views import directed_edges, simple_edges
+from txgraph.operators.written import write
 
 
 def local_clustering(edges: DataFrame, tpv: DataFrame | None = None) -> DataFrame:
@@ -24,8 +26,13 @@ def local_clustering(edges: DataFrame, tpv: DataFrame | None = None) -> DataFram
     ``edges_between`` = links among the neighbours = triangles at the vertex;
     ``coefficient = 2 t / (k (k - 1))``; zero coefficients are kept.
     """
+    if tpv is None:         # the source is read once
+        edges = write(simple_edges(edges))[0].select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        k = count_ends(edges, "simple")
+    else:
+        k = degrees(edges, "simple")
     t = vertex_triangles(edges) if tpv is None else tpv
-    k = degrees(edges, "simple").filter(F.col("degree") >= 2).select(
+    k = k.filter(F.col("degree") >= 2).select(
         "id", F.col("degree").alias("neighbours"))
     return k.join(t, "id", "left").select(
         "id", "neighbours",
@@ -51,6 +58,15 @@ def local_split(edges: DataFrame, local: DataFrame | None = None) -> DataFrame:
     )
 
 
+def _degrees_once(edges: DataFrame, view: str, tpv: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Edges for the triangles and the degrees of ``view``. Where both are needed, the source is
+    read once: its distinct directed pairs are written, and both derive from them."""
+    if tpv is not None or view != "directed":
+        return edges, degrees(edges, view)
+    pairs, _ = write(directed_edges(edges))
+    return pairs, count_ends(pairs)
+
+
 def global_clustering(edges: DataFrame, view: str = "directed",
                       tpv: DataFrame | None = None) -> DataFrame:
     """One row ``(global_clustering)``.
@@ -58,8 +74,9 @@ def global_clustering(edges: DataFrame, view: str = "directed",
     Mean over vertices with degree >= 2 (in ``view``) of ``triangles / C(degree, 2)``.
     A vertex whose only neighbour is reciprocal has directed degree 2 and adds a 0.
     """
+    edges, deg = _degrees_once(edges, view, tpv)
     t = vertex_triangles(edges) if tpv is None else tpv
-    d = degrees(edges, view).filter(F.col("degree") >= 2).select("id", "degree")
+    d = deg.filter(F.col("degree") >= 2).select("id", "degree")
     return d.join(t, "id", "left").agg(
         F.avg(ratio(F.coalesce("t", F.lit(0)), pairs("degree"))).alias("global_clustering"))
 
@@ -69,10 +86,11 @@ def transitivity(edges: DataFrame, view: str = "directed",
     """One row ``(transitivity)`` = 3 * triangles / sum of C(degree, 2), both exact
     decimals until the final ratio."""
     dec = "decimal(38,0)"
+    edges, deg = _degrees_once(edges, view, tpv)
     tri = triangle_total(edges, tpv).select(
         (F.col("triangles").cast("decimal(20,0)") * 3).cast(dec).alias("tri"),
         F.lit(0).cast("bigint").alias("pairs"))
-    d = degrees(edges, view).filter(F.col("degree") >= 2)
+    d = deg.filter(F.col("degree") >= 2)
     stacked = tri.unionByName(
         d.select(F.lit(0).cast(dec).alias("tri"), pairs("degree").alias("pairs")))
     return stacked.agg(

@@ -25,29 +25,11 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txgraph.operators.build import induced_edges
-from txgraph.session import cut_table
-
-# Rows for each part of a written table, until there are as many parts as a shuffle has.
-ROWS_A_PART = 200_000
-
-
-def _parts(df: DataFrame, rows: int) -> int:
-    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(most, -(-rows // ROWS_A_PART)))
-
-
-def _write(df: DataFrame, most_rows: int | None = None) -> tuple[DataFrame, int]:
-    """The written table and its number of rows, counted on the way (0 only when empty)."""
-    seen = Observation()
-    if most_rows is not None:
-        df = df.coalesce(_parts(df, most_rows))
-    out = cut_table(df.observe(seen, F.count(F.lit(1)).alias("rows")))
-    return out, seen.get["rows"]
-
+from txgraph.operators.written import ROWS_A_PART, write
 
 def _salt(rnd: int) -> int:
     return random.Random(rnd).getrandbits(64) - (1 << 63)
@@ -90,7 +72,7 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
     once. There is no bound on the rounds: they end when no edge is left.
     """
     # least and greatest pass over NULL: a lone end becomes a loop, which only names a vertex
-    pairs, rows = _write(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    pairs, rows = write(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
                          .filter(F.col("a").isNotNull()).distinct())
     lone = pairs.filter(F.col("a") == F.col("b")).select(F.col("a").alias("id"))
     e = pairs.filter(F.col("a") < F.col("b")).select("a", "b")
@@ -99,12 +81,12 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
         salt = _salt(len(maps))
         r = followed(nearest(e, salt), salt)
         if rows > ROWS_A_PART:      # read twice: worth a table of its own unless small
-            r, _ = _write(r, 2 * rows)
-        r, ends = _write(jumped(r), 2 * rows)
+            r, _ = write(r, 2 * rows)
+        r, ends = write(jumped(r), 2 * rows)
         if not ends:
             break
         maps.append(r)
-        e, rows = _write(contracted(e, r), rows)
+        e, rows = write(contracted(e, r), rows)
     others = lone if vertices is None else lone.unionByName(vertices.select("id")).filter(
         F.col("id").isNotNull()).distinct()
     if not maps:
@@ -113,8 +95,8 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
     for r in reversed(maps[:-1]):
         far = stands.select(F.col("u").alias("r"), F.col("r").alias("far"))
         stands = r.join(far, "r", "left").select("u", F.coalesce("far", "r").alias("r"))
-    stands, _ = _write(stands)
-    names, _ = _write(stands.groupBy("r").agg(F.min("u").alias("component")))
+    stands, _ = write(stands)
+    names, _ = write(stands.groupBy("r").agg(F.min("u").alias("component")))
     labels = stands.join(names, "r").select(F.col("u").alias("id"), "component")
     rest = others.join(stands.select(F.col("u").alias("id")), "id", "left_anti")
     return labels.unionByName(rest.select("id", F.col("id").alias("component")))

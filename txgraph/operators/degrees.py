@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txgraph.functions.scalars import pairs
-from txgraph.operators.views import directed_edges, simple_edges
+from txgraph.operators.views import directed_edges, simple_edges, whole_edges
 
 VIEWS = ("multi", "directed", "simple")
 
 
 def _view_edges(edges: DataFrame, view: str) -> DataFrame:
     if view == "multi":
-        return edges.select("src", "dst")
+        return whole_edges(edges).select("src", "dst")
     if view == "directed":
         return directed_edges(edges)
     if view == "simple":
@@ -32,7 +32,11 @@ def degrees(edges: DataFrame, view: str = "multi",
     so a hub costs one partial row per task before the shuffle.
     With ``vertices`` given, vertices without edges appear with zeros.
     """
-    e = _view_edges(edges, view)
+    return count_ends(_view_edges(edges, view), view, vertices)
+
+
+def count_ends(e: DataFrame, view: str = "multi", vertices: DataFrame | None = None) -> DataFrame:
+    """:func:`degrees` of rows ``(src, dst)`` that are the edges of ``view`` already."""
     ends = e.select(F.col("src").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(
         e.select(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")))
     deg = ends.groupBy("id").agg(
@@ -51,9 +55,12 @@ def degrees(edges: DataFrame, view: str = "multi",
 
 def possible_triplets(edges: DataFrame, view: str = "directed") -> DataFrame:
     """``(id, degree, pairs)`` for vertices with degree >= 2, pairs = C(degree, 2)."""
+    return _triplets(degrees(edges, view))
+
+
+def _triplets(deg: DataFrame) -> DataFrame:
     return (
-        degrees(edges, view)
-        .filter(F.col("degree") >= 2)
+        deg.filter(F.col("degree") >= 2)
         .select("id", "degree", pairs(F.col("degree")).alias("pairs"))
     )
 

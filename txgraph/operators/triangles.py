@@ -2,18 +2,18 @@
 
 Plan (Cohen 2009; Suri & Vassilvitskii 2011):
 
-1. simple edges ``U(a, b)`` and their simple degree;
+1. simple edges ``U(a, b)``, written once, and their degrees; ends of degree 1 close nothing:
+   their edges go, again and again as long as a round takes a third of the edges or more;
 2. orient every edge from the lower to the higher ``(degree, id)`` rank;
-3. out-neighbours of a vertex travel as arrays of at most ``OUT_BLOCK`` ids; an oriented
-   edge ``u -> v`` meets the arrays of ``u`` and of ``v``, and every common element ``w``
-   closes the triangle ``u < v < w`` (by rank). Wedges are never shuffled as rows.
+3. two edges out of one vertex ``u`` make a wedge ``v - u - w``; it is a triangle if ``v -> w`` is an
+   oriented edge: a semi-join on ``(v, w)``. Every triangle is found exactly once, at its lowest
+   corner.
 
 Under that orientation a vertex's out-degree is at most ``sqrt(2|U|)``: a hub's edges point
-*into* it, so no hub expands its own neighbour pairs. Out-degrees above ``OUT_BLOCK`` are
-dealt: the edges of such a vertex over as many keys as it has arrays, each of which gets a
-copy of the arrays. Many edges may point into one ``v``; such hubs go through a broadcast,
-bounded because at most ``HOT_IN`` vertices have ``1/HOT_IN`` of the edges and a vertex of
-that degree has at most ``2 * HOT_IN`` out-neighbours. Every triangle is found exactly once.
+*into* it, so no hub expands its own neighbour pairs, and the wedges are ``O(|U|^1.5)`` rows of
+three numbers. All sides are written tables: small ones are broadcast by Spark's size check (then
+wedges are not shuffled at all), larger ones are shuffled plainly, where the adaptive skew split
+deals the degree joins' hubs and a pair ``(v, w)`` of two hubs that a third of all vertices link to.
 """
 
 from __future__ import annotations
@@ -21,91 +21,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txgraph.operators.skew import MAX_HOT_KEYS, heavy_keys, split_join
 from txgraph.operators.views import simple_edges, vertex_ids
-from txgraph.session import cut
-
-
-OUT_BLOCK = 1024
-HOT_IN = 1000
-
-
-def oriented_edges(edges: DataFrame, max_keys: int = MAX_HOT_KEYS) -> DataFrame:
-    """Simple edges oriented low->high by (simple degree, id): ``(lo, hi, dhi)``.
-
-    The degree table is checkpointed (it is read four times) - an eager step.
-    """
-    u = simple_edges(edges)
-    deg = cut(
-        u.select(F.col("a").alias("id"))
-        .unionByName(u.select(F.col("b").alias("id")))
-        .groupBy("id").count()
-    )
-    # Attaching both end degrees is a join on a vertex: hubs go through a broadcast.
-    hot = heavy_keys(deg, "id", "count", max_keys)
-    x = split_join(u, deg.select(F.col("id").alias("a"), F.col("count").alias("da")), "a",
-                   hot.select(F.col("id").alias("a")))
-    x = split_join(x, deg.select(F.col("id").alias("b"), F.col("count").alias("db")), "b",
-                   hot.select(F.col("id").alias("b")))
-    # a < b always holds in U, so equal degrees resolve to a -> b.
-    a_low = F.col("da") <= F.col("db")
-    return x.select(
-        F.when(a_low, F.col("a")).otherwise(F.col("b")).alias("lo"),
-        F.when(a_low, F.col("b")).otherwise(F.col("a")).alias("hi"),
-        F.when(a_low, F.col("db")).otherwise(F.col("da")).alias("dhi"),
-    )
-
-
-def closed_wedges(edges: DataFrame, max_keys: int = MAX_HOT_KEYS,
-                  hot_in: int = HOT_IN, out_block: int = OUT_BLOCK) -> DataFrame:
-    """``(u, v, ws)``: per oriented edge the vertices that close a triangle over it.
-
-    An edge whose ends have several out-neighbour arrays gives a row per pair of arrays.
-    The oriented edge table is read four times, so it is materialised once (an eager job).
-    """
-    o = cut(oriented_edges(edges, max_keys).select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-    size = (o.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-            .select("u", F.ceil(F.col("n") / out_block).cast("int").alias("parts")))
-    dealt = o.join(size, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
-    arrays = cut(dealt.groupBy("u", "parts", "part").agg(F.collect_list("v").alias("outs")))
-    copies = arrays.select("u", F.col("outs").alias("ou"),
-                           F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    first = dealt.select("u", "v", "part").join(copies, ["u", "part"]).select("u", "v", "ou")
-    into = cut(o.groupBy("v").agg(F.count(F.lit(1)).alias("n")))
-    hot = F.broadcast(heavy_keys(into, "v", "n", hot_in))
-    second = arrays.select(F.col("u").alias("v"), F.col("outs").alias("ov"))
-    cold = first.join(hot, "v", "left_anti").join(second, "v")
-    both = cold.unionByName(first.join(hot, "v", "left_semi").join(
-        F.broadcast(second.join(hot, "v", "left_semi")), "v"))
-    return both.select("u", "v", F.array_intersect("ou", "ov").alias("ws")).filter(F.size("ws") > 0)
-
-
-def triangles(edges: DataFrame, **plan) -> DataFrame:
+from txgraph.operators.written import write
+
+
+def oriented_edges(edges: DataFrame) -> DataFrame:
+    """Simple edges between ends of degree 2 or more, oriented low->high by (degree, id):
+    ``(lo, hi, dhi)``, a written table. Degrees are those before the last trimming."""
+    u, rows = write(simple_edges(edges))
+    while True:
+        deg, _ = write(u.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count(), 2 * rows)
+        x = u.join(deg.select(F.col("id").alias("a"), F.col("count").alias("da")), "a").join(
+            deg.select(F.col("id").alias("b"), F.col("count").alias("db")), "b").filter(
+            (F.col("da") > 1) & (F.col("db") > 1))
+        # a < b always holds in U, so equal degrees resolve to a -> b.
+        a_low = F.col("da") <= F.col("db")
+        o, left = write(x.select(
+            F.when(a_low, F.col("a")).otherwise(F.col("b")).alias("lo"),
+            F.when(a_low, F.col("b")).otherwise(F.col("a")).alias("hi"),
+            F.when(a_low, F.col("db")).otherwise(F.col("da")).alias("dhi")), rows)
+        if 3 * left > 2 * rows or not left:
+            return o
+        u, rows = o.select(F.least("lo", "hi").alias("a"), F.greatest("lo", "hi").alias("b")), left
+
+
+def closed_wedges(edges: DataFrame) -> DataFrame:
+    """``(u, v, w)``: the triangles, corners by rising (degree, id) rank."""
+    o = oriented_edges(edges)
+    one = o.select(F.col("lo").alias("u"), F.col("hi").alias("v"), F.col("dhi").alias("dv"))
+    two = o.select(F.col("lo").alias("u"), F.col("hi").alias("w"), F.col("dhi").alias("dw"))
+    upward = (F.col("dv") < F.col("dw")) | ((F.col("dv") == F.col("dw")) & (F.col("v") < F.col("w")))
+    wedges = one.join(two, "u").filter(upward).select("u", "v", "w")
+    return wedges.join(o.select(F.col("lo").alias("v"), F.col("hi").alias("w")), ["v", "w"],
+                       "left_semi").select("u", "v", "w")
+
+
+def triangles(edges: DataFrame) -> DataFrame:
     """D4 listing: one row ``(a, b, c)`` with ``a < b < c`` per triangle of the simple graph."""
-    t = closed_wedges(edges, **plan).select("u", "v", F.explode("ws").alias("w"))
+    t = closed_wedges(edges)
     low, high = F.least("u", "v", "w"), F.greatest("u", "v", "w")
     middle = F.greatest(F.least("u", "v"), F.least(F.greatest("u", "v"), "w"))
     return t.select(low.alias("a"), middle.alias("b"), high.alias("c"))
 
 
-def vertex_triangles(edges: DataFrame, tri: DataFrame | None = None, **plan) -> DataFrame:
-    """``(id, t)``: triangles per vertex, only for vertices that close at least one.
+def vertex_triangles(edges: DataFrame, tri: DataFrame | None = None) -> DataFrame:
+    """``(id, t)``: triangles per vertex, only for vertices that close at least one; ``tri``: a
+    listing at hand.
 
-    Two rows per closed edge carry counts, one per triangle names the third corner; the
-    ``groupBy`` combines them map-side. This is the table the clustering coefficients share
-    (one row per vertex, not per triangle).
+    Each triangle counts at its three corners; the ``groupBy`` combines them map-side. This is the
+    table the clustering coefficients share (one row per vertex, not per triangle).
     """
-    if tri is not None:
-        rows = tri.select(F.explode(F.array("a", "b", "c")).alias("id"), F.lit(1).cast("bigint").alias("n"))
-    else:
-        size = F.size("ws").cast("bigint")
-        # one explode emits all three kinds of rows, so the closing runs once
-        rows = closed_wedges(edges, **plan).select(F.explode(F.concat(
-            F.array(F.struct(F.col("u").alias("id"), size.alias("n")),
-                    F.struct(F.col("v").alias("id"), size.alias("n"))),
-            F.transform("ws", lambda w: F.struct(w.alias("id"), F.lit(1).cast("bigint").alias("n")))
-        )).alias("x")).select("x.id", "x.n")
-    return rows.groupBy("id").agg(F.sum("n").alias("t"))
+    corners = closed_wedges(edges).select(F.array("u", "v", "w").alias("x")) if tri is None else (
+        tri.select(F.array("a", "b", "c").alias("x")))
+    return corners.select(F.explode("x").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("t"))
 
 
 def triangle_count(edges: DataFrame, vertices: DataFrame | None = None,
@@ -116,10 +84,9 @@ def triangle_count(edges: DataFrame, vertices: DataFrame | None = None,
         "id", F.coalesce("t", F.lit(0).cast("bigint")).alias("triangles"))
 
 
-def triangle_total(edges: DataFrame, tpv: DataFrame | None = None, **plan) -> DataFrame:
-    """One row ``(triangles)``: closed wedges are counted without listing them; a given
-    per-vertex table is summed and divided by 3 in integers."""
+def triangle_total(edges: DataFrame, tpv: DataFrame | None = None) -> DataFrame:
+    """One row ``(triangles)``; a given per-vertex table is summed and divided by 3 in
+    integers."""
     if tpv is not None:
         return tpv.agg(F.coalesce(F.expr("sum(t) div 3"), F.lit(0).cast("bigint")).alias("triangles"))
-    return closed_wedges(edges, **plan).agg(
-        F.coalesce(F.sum(F.size("ws")), F.lit(0).cast("bigint")).alias("triangles"))
+    return closed_wedges(edges).agg(F.count(F.lit(1)).alias("triangles"))

@@ -7,6 +7,9 @@ Every graph operator picks one of three views of the loaded multigraph
 * **dedup-directed** - distinct ``(src, dst)``, self-loops dropped;
 * **simple** - distinct unordered ``{a, b}`` stored as ``a < b``, self-loops dropped.
 
+An edge with a missing end (a transaction without receiver, which ingest keeps by default)
+is no graph edge: it is in none of the views (``whole_edges``). Its other end is a vertex.
+
 All of them are plain projections, filters and ``distinct`` (a hash aggregate with a
 map-side partial step, so a hub's duplicate rows are combined before the shuffle).
 """
@@ -17,6 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def whole_edges(edges: DataFrame) -> DataFrame:
+    """The graph's edges: the rows with both ends."""
+    return edges.filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
+
+
 def drop_self_loops(edges: DataFrame) -> DataFrame:
     """Keep edges whose ends differ (pushed into the scan by Catalyst)."""
     return edges.filter(F.col("src") != F.col("dst"))
@@ -27,7 +35,7 @@ def merge_parallel(edges: DataFrame, value: str = "value") -> DataFrame:
 
     Reciprocal pairs ``a->b`` and ``b->a`` stay two edges.
     """
-    return edges.groupBy("src", "dst").agg(F.min(value).alias(value))
+    return whole_edges(edges).groupBy("src", "dst").agg(F.min(value).alias(value))
 
 
 def directed_edges(edges: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from txgraph.operators import views as V
 from txgraph.plans import fixtures as fx
 from txgraph.plans import payloads as P
 from txgraph.plans.report import graph_report
-from txgraph.session import cut, scratch_path
+from txgraph.session import cut, cut_table, scratch_path
 from txgraph.sources import blocks as BK
 from txgraph.sources import csv as CSV
 from txgraph.sources import gexf as GX
@@ -56,7 +56,7 @@ def _monthly(spark, d):
 
 def _giant(spark, d):
     # read three times (components, their vertex set, the edge selection): materialise once
-    e = cut(_monthly(spark, d))
+    e = cut_table(_monthly(spark, d))
     comps = CC.connected_components(e)
     return CC.top_components(e, comps, 1)
 
@@ -131,6 +131,24 @@ def _built(spark, d):
     return B.build_graph(senders, tx, on_missing="add")
 
 
+def _hard_graph(spark, d):
+    """The default ingest, receivers missing, as a graph: B12, B1, B2, B3."""
+    rows = cut_table(_hard_batch(spark, d))
+    return B.build_graph(SM.node_table(rows), rows)
+
+
+def _hard_modularity(spark, d):
+    g = _hard_graph(spark, d)
+    labels = g.vertices.select("id", (F.col("id") % MODULARITY_GROUPS).alias("label"))
+    return CM.modularity(g.edges, labels, formula="half_intra")
+
+
+def _hard_raw(spark, d):
+    """The ingested rows themselves, addresses as numbers, without the graph build."""
+    return _hard_batch(spark, d).select(
+        F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), "value")
+
+
 def _rows_roundtrip(spark, d):
     path = scratch_path(spark, "rows")
     CSV.write_rows(_address_edges(spark, d), path, sep="|")
@@ -264,6 +282,10 @@ QUERIES: dict[str, Query] = {
     "hard_ingest_drop_block": lambda s, d: _hard_batch(s, d, "drop_block"),
     "hard_ingest_corrupt": _hard_corrupt,
     "hard_stream": _hard_stream,
+    "hard_graph_edges": lambda s, d: _hard_graph(s, d).edges,
+    "hard_degrees_multi": lambda s, d: D.degrees(_hard_raw(s, d), "multi"),
+    "hard_modularity": lambda s, d: _one("modularity", _hard_modularity(s, d)),
+    "hard_gexf_edges": lambda s, d: GX.edge_lines(_hard_raw(s, d)).select("line"),
     "build_graph_vertices": lambda s, d: _built(s, d).vertices,
     "build_graph_edges": lambda s, d: _built(s, d).edges,
     "write_rows": _rows_roundtrip,
@@ -329,6 +351,12 @@ _CTE.update({
     # E2 over the hard lines: the lower block wins, in it the later of the repeated positions
     "hard": ("SELECT height, CAST(pos + count(*) OVER (PARTITION BY split_part(hash, '-', 1)) AS BIGINT) "
              "AS pos, hash, src, CASE WHEN value % 2 <> 0 THEN dst END AS dst, value + 2 AS value FROM block_tx"),
+    "hn": ("SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, value FROM hard"),
+    "hids": ("SELECT address, row_number() OVER (ORDER BY address) - 1 AS vid FROM "
+             "(SELECT src AS address FROM hard UNION SELECT dst FROM hard WHERE dst IS NOT NULL)"),
+    "he": ("SELECT s.vid AS src, d.vid AS dst, hard.value FROM hard JOIN hids s ON hard.src = s.address "
+           "JOIN hids d ON hard.dst = d.address"),
+    "hgrp": f"SELECT vid AS id, vid % {MODULARITY_GROUPS} AS label FROM hids",
     "bids": ("SELECT address, row_number() OVER (ORDER BY late, address) - 1 AS vid FROM ("
              "SELECT CAST(src AS VARCHAR) AS address, 0 AS late FROM tx GROUP BY src UNION ALL "
              "SELECT CAST(dst AS VARCHAR), 1 FROM tx WHERE dst NOT IN (SELECT src FROM tx) GROUP BY dst)"),
@@ -549,6 +577,13 @@ _ORACLE_BODIES: dict[str, str] = {
                                "(SELECT split_part(hash, '-', 1) FROM hard WHERE dst IS NULL)"),
     "hard_ingest_corrupt": "SELECT count(DISTINCT split_part(hash, '-', 1)) AS corrupt FROM tx",
     "hard_stream": "SELECT * FROM hard",
+    "hard_graph_edges": "SELECT src, dst, value FROM he",
+    "hard_degrees_multi": ("SELECT id, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, "
+                           "count(*) AS degree FROM (SELECT src AS id, 0 AS i, 1 AS o FROM hn WHERE dst IS NOT NULL "
+                           "UNION ALL SELECT dst, 1, 0 FROM hn WHERE dst IS NOT NULL) GROUP BY id"),
+    "hard_modularity": _mod_sql("he", "hgrp", "half_intra"),
+    "hard_gexf_edges": ("SELECT '<edge source=\"' || CAST(src AS VARCHAR) || '\" target=\"' || CAST(dst AS VARCHAR) "
+                        "|| '\" label=\"' || CAST(value AS VARCHAR) || '\" />' AS line FROM hn WHERE dst IS NOT NULL"),
     "build_graph_vertices": "SELECT vid AS id, address FROM bids",
     "build_graph_edges": ("SELECT s.vid AS src, d.vid AS dst, tx.value FROM tx "
                           "JOIN bids s ON CAST(tx.src AS VARCHAR) = s.address "

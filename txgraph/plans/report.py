@@ -35,26 +35,27 @@ def graph_report(edges: DataFrame, vertices: DataFrame | None = None, k: int = 1
     from txgraph.operators import community as CM
     from txgraph.operators import components as CC
     from txgraph.operators.triangles import vertex_triangles
-    from txgraph.operators.views import vertex_ids
-    from txgraph.session import cut
+    from txgraph.operators.views import directed_edges, vertex_ids, whole_edges
+    from txgraph.session import cut_table
 
-    # The edge table feeds a dozen branches: materialise it once.
-    edges = cut(edges.select("src", "dst", "value"))
-    verts = cut(vertex_ids(edges, vertices))
-    tpv = cut(vertex_triangles(edges))
-    local = cut(C.local_clustering(edges, tpv))
-    comps = cut(CC.connected_components(edges, verts))
-    gv, ge = map(cut, CC.top_components(edges, comps, k))
+    # The edge table feeds a dozen branches: written once. The views derive from one another.
+    edges = cut_table(whole_edges(edges).select("src", "dst", "value"))
+    verts = cut_table(vertex_ids(edges, vertices))
+    pairs = cut_table(directed_edges(edges))
+    tpv = cut_table(vertex_triangles(pairs))
+    local = cut_table(C.local_clustering(pairs, tpv))
+    comps = cut_table(CC.connected_components(pairs, verts))
+    gv, ge = map(cut_table, CC.top_components(edges, comps, k))
     labels = CM.label_propagation(ge, max_steps, gv.select("id"))
-    split = C.local_split(edges, local).select(
+    split = C.local_split(pairs, local).select(
         F.col("zero_vertices").alias("zero_local_vertices"),
         F.col("nonzero_vertices").alias("nonzero_local_vertices"))
     return one_row(
         verts.agg(F.count(F.lit(1)).alias("vertices")),
         edges.agg(F.count(F.lit(1)).alias("edges")),
-        C.global_clustering(edges, view, tpv),
-        C.transitivity(edges, view, tpv),
-        C.average_clustering(edges, local),
+        C.global_clustering(pairs, view, tpv),
+        C.transitivity(pairs, view, tpv),
+        C.average_clustering(pairs, local),
         split,
         comps.agg(F.count_distinct("component").alias("components")),
         gv.agg(F.count(F.lit(1)).alias("greatest_vertices")),

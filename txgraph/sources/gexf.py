@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txgraph.functions.scalars import XML_ESCAPES, xml_escape
+from txgraph.operators.views import whole_edges
 
 # The namespace and version of the document frame.
 GEXF_NS = "http://www.gexf.net/1.2draft"
@@ -52,8 +53,8 @@ def node_lines(vertices: DataFrame, label: str = "label") -> DataFrame:
 
 
 def edge_lines(edges: DataFrame, label: str = "value") -> DataFrame:
-    """``(section, k1, k2, k3, line)`` for every edge ``(src, dst, label)``."""
-    return edges.select(
+    """``(section, k1, k2, k3, line)`` for every edge ``(src, dst, label)`` with both ends."""
+    return whole_edges(edges).select(
         F.lit(3).alias("section"), F.col("src").cast("bigint").alias("k1"),
         F.col("dst").cast("bigint").alias("k2"), F.col(label).cast("string").alias("k3"),
         F.concat(F.lit('<edge source="'), xml_escape("src"), F.lit('" target="'),
