@@ -118,6 +118,58 @@ def test_block_stream_dedups(spark):
     assert rows["aa"] == (0, 7)
 
 
+def _land(local, name, number, txs, extra=""):
+    rows = [{"hash": h, "from": "0x01", "to": "0x02", "value": hex(v)} for h, v in txs]
+    with open(f"{local}/landing/{name}.json", "w") as fh:
+        fh.write(json.dumps({"result": {"number": hex(number), "transactions": rows}}) + "\n" + extra)
+
+
+def test_block_stream_over_many_triggers(spark):
+    """One file a trigger, restarts, blocks in any order, compaction: always the batch rule."""
+    import random
+
+    from txgraph.operators.sample import dedup_last_wins
+    from txgraph.streaming.blocks import read_stream_blocks, stream_blocks, stream_rejects
+
+    base = _tmp(spark, "streammany")
+    local = base.replace("file:", "")
+    os.makedirs(f"{local}/landing")
+    rnd = random.Random(1)
+    for part in range(3):
+        for k in range(4):
+            n = part * 4 + k
+            txs = [(f"0x{rnd.randrange(30):02x}", rnd.randrange(100)) for _ in range(12)]
+            _land(local, n, rnd.randrange(40), txs, "{cut off\n" if n % 3 == 0 else "")
+        stream_blocks(spark, f"{base}/landing", f"{base}/out", f"{base}/state", max_files_per_trigger=1,
+                      compact=3).awaitTermination()
+        want, bad, counts = BK.ingest_lines(spark.read.text(f"{base}/landing"))
+        cols = ["height", "pos", "hash", "src", "dst", "value"]
+        got = read_stream_blocks(spark, f"{base}/out")
+        assert got.columns == cols
+        assert sorted(map(tuple, got.collect())) == sorted(
+            map(tuple, dedup_last_wins(want).select(cols).collect()))
+        assert sorted(map(tuple, stream_rejects(spark, f"{base}/out").collect())) == [("{cut off", counts["rejected"])]
+        assert bad.count() == counts["rejected"] and counts["transactions"] == 12 * 4 * (part + 1)
+    assert os.path.isdir(f"{local}/out/base")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan       # reading does not aggregate the history
+
+
+def test_one_parse_in_batch_and_stream(spark):
+    from txgraph.streaming.blocks import block_stream
+
+    base = _tmp(spark, "oneparse")
+    spark.createDataFrame([('{"result": {"number": "0x1", "transactions": []}}',), ("{oops",), ('{"id": 3}',),
+                           (None,)], "value string").write.text(base)
+    for null_to in BK.NULL_TO:
+        df = BK.split_lines(spark.read.text(base), null_to)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1 and "Union" not in plan
+        assert sorted(r[S.CORRUPT] for r in df.collect()) == ["", '{"id": 3}', "{oops"]
+    plan = block_stream(spark, base)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("from_json(") == 1 and "Union" not in plan
+
+
 def test_corrupt_count_and_rejects_of_files(spark):
     base = _tmp(spark, "corrupt")
     good = json.dumps({"result": {"number": "0x1", "transactions": []}})

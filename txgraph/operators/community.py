@@ -46,12 +46,10 @@ def touched_histograms(w: DataFrame, changes: list[DataFrame]) -> DataFrame:
     """The histograms ``(t, label, n)`` of the receivers that the last of ``changes`` touched:
     the messages of the start, when everyone had their own label, and all changes since. The
     ``(t, label)`` grouping combines map-side and spreads a hub's histogram over many tasks."""
-    touched = changes[-1].select("t").distinct()
-    parts = [w.select("t", F.col("f").alias("label"), F.col("w").alias("n")), *changes]
-    rows = [p.join(touched, "t", "left_semi") for p in parts]
-    hist = rows[0]
-    for r in rows[1:]:
-        hist = hist.unionByName(r)
+    rows = w.select("t", F.col("f").alias("label"), F.col("w").alias("n"))
+    for change in changes:
+        rows = rows.unionByName(change)
+    hist = rows.join(changes[-1].select("t"), "t", "left_semi")
     return hist.groupBy("t", "label").agg(F.sum("n").alias("n")).filter(F.col("n") > 0)
 
 

@@ -15,6 +15,14 @@ from txgraph.session import cut
 TX_COLS = ("hash", "src", "dst", "value", "height")
 
 
+def win_order(height: str = "height", pos: str | None = "pos") -> list:
+    """E2's order, the winner first: lowest height, then highest position, missing ones last."""
+    order = [F.col(height).isNull().alias("_hn"), F.col(height).alias("_h")]
+    if pos is not None:
+        order += [F.col(pos).isNull().alias("_pn"), (-F.col(pos)).alias("_p")]
+    return order
+
+
 def dedup_last_wins(rows: DataFrame, key: str = "hash", height: str = "height",
                     pos: str = "pos") -> DataFrame:
     """One row per ``key``; the winner has the lowest height, then the highest position
@@ -25,10 +33,7 @@ def dedup_last_wins(rows: DataFrame, key: str = "hash", height: str = "height",
     combines map-side: a key repeated in a third of all rows costs one partial row
     per task, never one task holding every copy.
     """
-    has_pos = pos in rows.columns
-    order = [F.col(height).isNull().alias("_hn"), F.col(height).alias("_h")]
-    if has_pos:
-        order += [F.col(pos).isNull().alias("_pn"), (-F.col(pos)).alias("_p")]
+    order = win_order(height, pos if pos in rows.columns else None)
     rest = [c for c in rows.columns if c != key]
     best = rows.groupBy(key).agg(
         F.min(F.struct(*order, F.struct(*rest).alias("row"))).alias("w"))

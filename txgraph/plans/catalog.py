@@ -57,8 +57,9 @@ def _monthly(spark, d):
 def _giant(spark, d):
     # read three times (components, their vertex set, the edge selection): materialise once
     e = cut_table(_monthly(spark, d))
-    comps = CC.connected_components(e)
-    return CC.top_components(e, comps, 1)
+    comps = cut_table(CC.connected_components(e))
+    gv, ge = CC.top_components(e, comps, 1)
+    return cut_table(gv), cut_table(ge)
 
 
 def _giant_labels(spark, d):
@@ -88,7 +89,7 @@ def _blocks(spark, d, shift: int = 0):
     tx = fx.transactions(spark, d)
     if shift:
         tx = tx.withColumn("height", F.col("height") + shift).withColumn("value", F.col("value") + shift)
-    return BK.ingest_blocks(BK.parse_json(P.v2_blocks(tx), S.BLOCK_CONTAINER))
+    return BK.split_lines(P.v2_blocks(tx), col="json").drop(S.CORRUPT)
 
 
 def _stream(spark, d):
@@ -108,27 +109,22 @@ def _hard_lines(spark, d):
 
 
 def _hard_batch(spark, d, null_to="keep"):
-    recs = BK.read_json(spark, _hard_lines(spark, d), S.BLOCK_CONTAINER)
-    return SM.dedup_last_wins(BK.ingest_blocks(recs, null_to))
+    return SM.dedup_last_wins(BK.ingest_lines(spark.read.text(_hard_lines(spark, d)), null_to)[0])
 
 
 def _hard_stream(spark, d):
     from txgraph.streaming.blocks import read_stream_blocks, stream_blocks
 
     base = scratch_path(spark, "stream")
+    # few triggers in a run, so that the base is rewritten on the way
     stream_blocks(spark, _hard_lines(spark, d), f"{base}/out", f"{base}/state",
-                  max_files_per_trigger=4).awaitTermination()
+                  max_files_per_trigger=4, compact=2).awaitTermination()
     return read_stream_blocks(spark, f"{base}/out")
 
 
 def _hard_corrupt(spark, d):
-    return BK.corrupt_count(BK.read_json(spark, _hard_lines(spark, d), S.BLOCK_CONTAINER))
-
-
-def _built(spark, d):
-    tx = _address_edges(spark, d)
-    senders = tx.select(F.col("src").alias("address")).distinct()
-    return B.build_graph(senders, tx, on_missing="add")
+    _, _, counts = BK.ingest_lines(spark.read.text(_hard_lines(spark, d)))
+    return spark.createDataFrame([(counts["rejected"],)], "corrupt bigint")
 
 
 def _hard_graph(spark, d):

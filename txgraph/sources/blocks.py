@@ -9,13 +9,14 @@ lines are kept in ``_corrupt_record``. What an extractor cannot use is not lost:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txgraph import schema as S
 from txgraph.functions.hexval import hex_quantity, strip_0x
 from txgraph.functions.scalars import first_of_first
+from txgraph.session import cut_table
 
 NULL_TO = ("keep", "drop_row", "drop_block")
 
@@ -45,6 +46,51 @@ def rejects(records: DataFrame, required: str = "result") -> DataFrame:
     return records.filter(bad | F.col(required).isNull())
 
 
+def split_lines(lines: DataFrame, null_to: str = "keep", col: str = "value",
+                seen: Observation | None = None) -> DataFrame:
+    """A3 and its rejects from one parse: ``(height, pos, hash, src, dst, value, _corrupt_record)``.
+
+    A row per transaction (see :func:`ingest_blocks`), and one per line that is no block, whose
+    text is in ``_corrupt_record`` and whose other columns are NULL. ``seen`` is filled with
+    ``transactions`` and ``rejected``, counted while the rows pass. Works on streams, too.
+    """
+    if null_to not in NULL_TO:
+        raise ValueError(f"null_to must be one of {NULL_TO}")
+    r = lines.select(F.col(col).alias("line"), F.from_json(
+        F.col(col), S.with_corrupt(S.BLOCK_CONTAINER),
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": S.CORRUPT}).alias("r"))
+    bad = F.coalesce(F.col(f"r.{S.CORRUPT}").isNotNull(), F.lit(False)) | F.col("r.result").isNull()
+    txs, none = F.col("r.result.transactions"), F.lit(None).cast(T.ArrayType(S.TRANSACTION2))
+    if null_to == "drop_block":
+        txs = F.when(~F.exists(txs, lambda t: t["to"].isNull()), txs).otherwise(none)
+    one = F.array(F.lit(None).cast(S.TRANSACTION2))
+    rows = r.select(
+        F.when(bad, F.coalesce("line", F.lit(""))).alias(S.CORRUPT),
+        F.when(F.col("r.result.number").isNotNull(), hex_quantity(F.col("r.result.number"))).alias("height"),
+        F.posexplode(F.when(bad, one).otherwise(txs)).alias("pos", "t"))
+    ok = F.col(S.CORRUPT).isNull()
+    if null_to == "drop_row":
+        rows = rows.filter(~ok | F.col("t.to").isNotNull())
+    out = rows.select(
+        F.when(ok, F.col("height")).alias("height"), F.when(ok, F.col("pos").cast("bigint")).alias("pos"),
+        strip_0x(F.col("t.hash")).alias("hash"), strip_0x(F.col("t.from")).alias("src"),
+        strip_0x(F.col("t.to")).alias("dst"), F.when(ok, hex_quantity(F.col("t.value"))).alias("value"), S.CORRUPT)
+    if seen is not None:
+        out = out.observe(seen, F.count_if(F.col(S.CORRUPT).isNull()).alias("transactions"),
+                          F.count_if(F.col(S.CORRUPT).isNotNull()).alias("rejected"))
+    return out
+
+
+def ingest_lines(lines: DataFrame, null_to: str = "keep",
+                 col: str = "value") -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """A3 over lines of text, read once: the written transactions, the rejected lines
+    ``(_corrupt_record)``, and the counts ``transactions`` and ``rejected`` of the same pass."""
+    seen = Observation()
+    rows = cut_table(split_lines(lines, null_to, col, seen), "ingest")
+    bad = F.col(S.CORRUPT).isNotNull()
+    return rows.filter(~bad).drop(S.CORRUPT), rows.filter(bad).select(S.CORRUPT), dict(seen.get)
+
+
 def ingest_blocks(blocks: DataFrame, null_to: str = "keep") -> DataFrame:
     """A3: v2 block records -> ``(height, pos, hash, src, dst, value)``.
 

@@ -1,12 +1,22 @@
 """Incremental block ingest (A10) with Structured Streaming.
 
 The collector's loop "fetch the next block, merge its transactions into a map keyed by
-hash" becomes two parts. The stream turns a landing folder of v2 block files into an
-append-only table of transaction rows (A3); malformed lines become rows with the raw line
-in ``_corrupt_record``, so nothing is lost. Reading the table applies the keyed dedup (E2):
-which copy of a transaction wins depends on later blocks too, so it is decided when all
-rows that have landed are known. The stream itself keeps no state that grows with the
-data; progress lives in the query's checkpoint folder, so a restart resumes exactly.
+hash" becomes a keyed streaming aggregate and a table that its changes are merged into:
+
+* the stream turns a landing folder of v2 block files into transaction rows and rejected
+  lines, from one parse (A3, ``sources.blocks.split_lines``);
+* ``groupBy(hash)`` keeps each key's winner by E2 (``min(struct)``, combined map-side) in a
+  RocksDB state store, whose changes go to the query's checkpoint folder. Update mode gives each
+  trigger the keys it touched;
+* ``foreachBatch`` appends the new winners as a run, and writes apart the keys whose earlier
+  winner they replace (few: only blocks that land out of order repeat a hash). Every
+  ``COMPACT`` runs the live rows become a new base. A commit row, written last, says what counts,
+  so a trigger that is repeated after a failure overwrites its own run and no reader sees half.
+
+Reading is a scan of the base and the runs since, minus the replaced keys, a small table that
+Spark broadcasts: the history is not aggregated again. A lower block that lands later wins, also
+after a restart. The driver's clock must not run backwards between triggers (a trigger's time
+tells its own winners from earlier ones).
 """
 
 from __future__ import annotations
@@ -16,8 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from txgraph import schema as S
-from txgraph.operators.sample import dedup_last_wins
-from txgraph.sources.blocks import ingest_blocks, parse_json
+from txgraph.operators.sample import win_order
+from txgraph.sources.blocks import split_lines
+
+COMPACT = 16
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_ROW = ("height", "pos", "src", "dst", "value")
 
 
 def block_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger: int | None = None,
@@ -27,42 +42,90 @@ def block_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger: i
     reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    lines = reader.text(landing_dir)
-    blocks = parse_json(lines, S.BLOCK_CONTAINER, "value")
-    bad = parse_json(lines.withColumn("raw", F.col("value")), S.BLOCK_CONTAINER, "raw")
-    tx = ingest_blocks(blocks, null_to)
-    kinds = {f.name: f.dataType for f in tx.schema.fields}
-    lost = bad.filter(F.col(S.CORRUPT).isNotNull() | F.col("result").isNull()).select(
-        *[F.lit(None).cast(kinds[c]).alias(c) for c in tx.columns],
-        F.coalesce(S.CORRUPT, F.lit("")).alias(S.CORRUPT))
-    return tx.withColumn(S.CORRUPT, F.lit(None).cast("string")).unionByName(lost)
+    return split_lines(reader.text(landing_dir), null_to)
+
+
+def winners(rows: DataFrame) -> DataFrame:
+    """``(hash, _corrupt_record, w, first, last, copies)``: per key the winner by E2 with the time
+    of its trigger (``w.at``), the key's first and last trigger, and its rows so far."""
+    timed = rows.withColumn("at", F.current_timestamp())
+    return timed.groupBy("hash", S.CORRUPT).agg(
+        F.min(F.struct(*win_order(), F.struct(*_ROW).alias("row"), "at")).alias("w"),
+        F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("copies"))
+
+
+def _merge(out_dir: str, compact: int):
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        run = f"{out_dir}/runs/run={batch_id}"
+        # rejected lines have no winner but a count, so theirs is always new
+        new = (F.col("w.at") == F.col("last")) | F.col(S.CORRUPT).isNotNull()
+        batch.filter(new).select("hash", "w.row.*", S.CORRUPT, "copies",
+                                 (F.col("first") < F.col("last")).alias("over")
+                                 ).write.mode("overwrite").parquet(run)
+        spark.read.parquet(run).filter("over").select("hash", S.CORRUPT).write.mode("overwrite").parquet(
+            f"{out_dir}/over/run={batch_id}")
+        base = _committed(spark, out_dir)[1] if batch_id else -1
+        if batch_id - base >= compact:
+            _live(spark, out_dir, batch_id, base).drop("run", "over").write.mode("overwrite").parquet(
+                f"{out_dir}/base/upto={batch_id}")
+            base = batch_id
+        spark.createDataFrame([(batch_id, base)], "batch bigint, base bigint").coalesce(1).write.mode(
+            "overwrite").parquet(f"{out_dir}/commits/of={batch_id}")
+    return merge
+
+
+def _committed(spark: SparkSession, out_dir: str) -> tuple[int, int]:
+    """The last committed trigger and the last run in its base (one row)."""
+    row = spark.read.schema("batch bigint, base bigint").parquet(f"{out_dir}/commits").agg(
+        F.max(F.struct("batch", "base")).alias("c")).first()
+    return (row.c.batch, row.c.base) if row.c else (-1, -1)
+
+
+def _live(spark: SparkSession, out_dir: str, batch: int, base: int) -> DataFrame:
+    """All rows that no later run replaced."""
+    since = (F.col("run") > base) & (F.col("run") <= batch)
+    rows = spark.read.parquet(f"{out_dir}/runs").filter(since)
+    if base >= 0:
+        old = spark.read.parquet(f"{out_dir}/base/upto={base}")
+        rows = rows.unionByName(old.withColumn("run", F.lit(base)).withColumn("over", F.lit(False)))
+    over = spark.read.parquet(f"{out_dir}/over").filter(since).select(
+        F.col("hash").alias("h"), F.col(S.CORRUPT).alias("c"), F.col("run").alias("by"))
+    return rows.join(over, rows["hash"].eqNullSafe(over["h"]) & rows[S.CORRUPT].eqNullSafe(over["c"])
+                     & (rows["run"] < over["by"]), "left_anti")
 
 
 def stream_blocks(spark: SparkSession, landing_dir: str, out_dir: str, checkpoint: str,
                   available_now: bool = True, max_files_per_trigger: int | None = None,
-                  null_to: str = "keep") -> StreamingQuery:
-    """Start the ingest: append rows to parquet at ``out_dir`` (read it with
-    :func:`read_stream_blocks`).
+                  null_to: str = "keep", compact: int = COMPACT) -> StreamingQuery:
+    """Start the ingest into the table at ``out_dir`` (read it with :func:`read_stream_blocks`).
 
     ``available_now=True`` processes what has landed and stops (batch-like runs);
-    ``False`` keeps polling the folder.
+    ``False`` keeps polling the folder. The state store's provider is set for this query only.
     """
-    writer = (
-        block_stream(spark, landing_dir, max_files_per_trigger, null_to).writeStream.format("parquet")
-        .option("path", out_dir).option("checkpointLocation", checkpoint)
-        .outputMode("append")
-    )
+    rows = block_stream(spark, landing_dir, max_files_per_trigger, null_to)
+    writer = winners(rows).writeStream.foreachBatch(_merge(out_dir, compact)).option(
+        "checkpointLocation", checkpoint).outputMode("update")
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
         processingTime="10 seconds")
-    return writer.start()
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        return writer.start()
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+
+
+def _table(spark: SparkSession, out_dir: str) -> DataFrame:
+    return _live(spark, out_dir, *_committed(spark, out_dir))
 
 
 def read_stream_blocks(spark: SparkSession, out_dir: str) -> DataFrame:
-    """The ingested transactions, one row per hash by E2."""
-    rows = spark.read.parquet(out_dir)
-    return dedup_last_wins(rows.filter(F.col(S.CORRUPT).isNull()).drop(S.CORRUPT))
+    """The ingested transactions ``(height, pos, hash, src, dst, value)``, one row per hash by E2."""
+    return _table(spark, out_dir).filter(F.col(S.CORRUPT).isNull()).select(
+        "height", "pos", "hash", "src", "dst", "value")
 
 
 def stream_rejects(spark: SparkSession, out_dir: str) -> DataFrame:
-    """The landed lines that were not blocks, as ``(_corrupt_record)``."""
-    return spark.read.parquet(out_dir).filter(F.col(S.CORRUPT).isNotNull()).select(S.CORRUPT)
+    """The landed lines that were not blocks, as ``(_corrupt_record, copies)``."""
+    return _table(spark, out_dir).filter(F.col(S.CORRUPT).isNotNull()).select(S.CORRUPT, "copies")
