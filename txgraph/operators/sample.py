@@ -75,6 +75,10 @@ def incidence_top(tx: DataFrame, fanout: int, addresses: DataFrame | None = None
     inc = sent.unionByName(got).filter(F.col("address").isNotNull())
     if addresses is not None:
         inc = inc.join(addresses.select("address"), "address", "left_semi")
+    return _latest(inc, fanout)
+
+
+def _latest(inc: DataFrame, fanout: int) -> DataFrame:
     w = Window.partitionBy("address").orderBy(F.desc("height"), F.asc("hash"))
     return inc.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= fanout).drop("rk")
 
@@ -86,7 +90,7 @@ def seed_block(tx: DataFrame, min_height: int) -> int | None:
 
 
 def snowball_sample(tx: DataFrame, seed_height: int, seed_count: int = 5,
-                    fanout: int = 5, hops: int = 3) -> DataFrame:
+                    fanout: int = 5, hops: int = 3, incident=None) -> DataFrame:
     """K-hop snowball sample: ``(hash, src, dst, value, height, hop)``.
 
     Seeds: the first ``seed_count`` transactions (by hash) of the first block with
@@ -96,6 +100,9 @@ def snowball_sample(tx: DataFrame, seed_height: int, seed_count: int = 5,
     reached the transaction. A hop first cuts the table down to the rows incident to its
     frontier, then ranks those; every hop's state is checkpointed; the visited sets stay
     distributed (anti-joins). ``hash`` identifies a transaction: rows must not repeat.
+
+    ``incident``: a function from ``(address)`` rows to the rows ``(address, *TX_COLS)`` incident to
+    them, such as a stored index (``sources.store.read_incidence``), read instead of ``tx``.
     """
     h0 = seed_block(tx, seed_height)
     base = tx.select(*TX_COLS)
@@ -111,8 +118,9 @@ def snowball_sample(tx: DataFrame, seed_height: int, seed_count: int = 5,
             addrs = addrs.join(seen, "address", "left_anti")
         addrs = cut(addrs)
         seen = addrs if seen is None else cut(seen.unionByName(addrs))
+        latest = incidence_top(base, fanout, addrs) if incident is None else _latest(incident(addrs), fanout)
         new = (
-            incidence_top(base, fanout, addrs).select(*TX_COLS).distinct()
+            latest.select(*TX_COLS).distinct()
             .join(reached.select("hash"), "hash", "left_anti")
         )
         frontier = cut(new)

@@ -29,6 +29,7 @@ from txgraph.session import cut, cut_table, scratch_path
 from txgraph.sources import blocks as BK
 from txgraph.sources import csv as CSV
 from txgraph.sources import gexf as GX
+from txgraph.sources import store as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -158,15 +159,33 @@ def _gexf_document(spark, d):
     e = _monthly(spark, d)
     GX.write_gexf(V.endpoint_ids(e).withColumn("label", F.col("id").cast("string")), e, path,
                   date=REPORT_DATE)
-    lines = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("part"),
-        F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("at", "line"))
-    from pyspark.sql import Window
-    # one row per part file: their numbers of lines, summed in name order
-    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    first = lines.groupBy("part").agg(F.count("*").alias("n")).select(
-        "part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("first"))
-    return lines.join(first, "part").select((F.col("first") + F.col("at")).alias("n"), "line")
+    return GX.read_document(spark, path)
+
+
+def _stored_range(spark, d):
+    path = scratch_path(spark, "bands")
+    ST.write_tx_table(fx.transactions(spark, d), path)
+    rows = ST.read_tx_range(spark, path, RANGE_BLOCK - RANGE_BLOCKS + 1, RANGE_BLOCK)
+    return SM.block_range_sample(rows, RANGE_BLOCK, RANGE_BLOCKS)
+
+
+def _indexed_snowball(spark, d):
+    tx = fx.transactions(spark, d)
+    bands, index = scratch_path(spark, "bands"), scratch_path(spark, "incidence")
+    ST.write_tx_table(tx, bands)
+    ST.write_incidence(tx, index)
+    return SM.snowball_sample(spark.read.parquet(bands).drop("band"), SNOW_HEIGHT, SNOW_SEEDS, SNOW_FANOUT,
+                              SNOW_HOPS, incident=lambda a: ST.read_incidence(spark, index, a))
+
+
+def _dictionary(spark, d):
+    """Two loads: the senders, then all ends of the transactions."""
+    import uuid
+
+    tx = _address_edges(spark, d)
+    ids = ST.IdDictionary(spark, f"ids_{uuid.uuid4().hex}", scratch_path(spark, "ids"))
+    ids.load(tx.select("src").distinct(), "src")
+    return ids, ids.encode(tx)
 
 
 def _hex_forms(spark, d):
@@ -278,6 +297,10 @@ QUERIES: dict[str, Query] = {
     "hard_ingest_drop_block": lambda s, d: _hard_batch(s, d, "drop_block"),
     "hard_ingest_corrupt": _hard_corrupt,
     "hard_stream": _hard_stream,
+    "block_range_stored": _stored_range,
+    "snowball_indexed": _indexed_snowball,
+    "dictionary_vertices": lambda s, d: _dictionary(s, d)[0].table().select(F.col("vid").alias("id"), "address"),
+    "dictionary_edges": lambda s, d: _dictionary(s, d)[1],
     "hard_graph_edges": lambda s, d: _hard_graph(s, d).edges,
     "hard_degrees_multi": lambda s, d: D.degrees(_hard_raw(s, d), "multi"),
     "hard_modularity": lambda s, d: _one("modularity", _hard_modularity(s, d)),
@@ -595,4 +618,10 @@ _ORACLE_BODIES: dict[str, str] = {
     "stream_blocks": "SELECT * FROM block_tx",
 }
 
+# the stored layouts give what the plain operators give
+_ORACLE_BODIES["block_range_stored"] = _ORACLE_BODIES["block_range_sample"]
+_ORACLE_BODIES["snowball_indexed"] = _ORACLE_BODIES["snowball_sample"]
+_ORACLE_BODIES["dictionary_vertices"] = _ORACLE_BODIES["build_graph_vertices"]
+_ORACLE_BODIES["dictionary_edges"] = _ORACLE_BODIES["build_graph_edges"]
+
 ORACLE_SQL: dict[str, str] = {k: _with(v) for k, v in _ORACLE_BODIES.items()}

@@ -9,11 +9,12 @@ the driver. Attribute values are XML-escaped (the source does not escape).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txgraph.functions.scalars import XML_ESCAPES, xml_escape
 from txgraph.operators.views import whole_edges
+from txgraph.session import cut_table
 
 # The namespace and version of the document frame.
 GEXF_NS = "http://www.gexf.net/1.2draft"
@@ -88,3 +89,29 @@ def write_gexf(vertices: DataFrame, edges: DataFrame, path: str, partitions: int
     (lines.repartitionByRange(n, "section", "k1", "k2", "k3")
      .sortWithinPartitions("section", "k1", "k2", "k3")
      .select("line").write.mode("errorifexists").text(path))
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``(part, start, row, lines, first)``: of every split of the written part files its number of
+    lines and the number of its first line in the document. One row a split, so their running sum
+    is small; ``row`` is the first line's number as the scan counts them."""
+    from pyspark.sql import Window
+
+    splits = _scan(spark, path).groupBy("part", "start").agg(
+        F.min("row").alias("row"), F.count(F.lit(1)).alias("lines"))
+    before = Window.orderBy("part", "start").rowsBetween(Window.unboundedPreceding, -1)
+    return splits.withColumn("first", F.coalesce(F.sum("lines").over(before), F.lit(0)))
+
+
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select(
+        F.col("_metadata.file_name").alias("part"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
+
+
+def read_document(spark: SparkSession, path: str) -> DataFrame:
+    """``(n, line)``: the written document's lines, numbered from 0, read as rows."""
+    at = cut_table(manifest(spark, path))       # one row a split
+    return _scan(spark, path).join(
+        F.broadcast(at.withColumnRenamed("row", "row0")), ["part", "start"]).select(
+        (F.col("first") + F.col("row") - F.col("row0")).alias("n"), "line")
