@@ -117,6 +117,9 @@ def test_packing(spark):
     assert pack(all_rows).filter("start = 0").count() == all_rows.count()
 
 
+RECALL = 0.9
+
+
 def test_packing_retrieves_similar_documents(spark):
     import numpy as np
 
@@ -127,3 +130,59 @@ def test_packing_retrieves_similar_documents(spark):
     index = ShardIndex(docs, df, 4, 3.5)
     assert index.neighbours(0, np.array([False, True, True, True])).tolist() == [2]
     assert set(index.neighbours(1, np.array([True, False, True, True])).tolist()) == {3}
+
+
+def test_packing_keeps_large_ids_beside_missing_ones(spark):
+    from txgraph.llm.packing import pack
+
+    big = 1 << 53
+    rows = [(big + k, f"text number {k} of some") for k in (1, 3, 5, 7)] + [(None, "no id"), (None, "text number 1 of some")]
+    got = pack(documents(spark, rows)).collect()
+    assert sorted({r.doc_id for r in got if r.doc_id is not None}) == [big + 1, big + 3, big + 5, big + 7]
+    assert sum(r.doc_id is None for r in got if r.start == 0) == 2
+
+
+def test_shards_hold_what_a_seed_retrieves(spark):
+    """Neighbours from a document's own shard against those from an unsharded index: the best ones'
+    scores add up to 0.9 or more, at two numbers of shards."""
+    import random
+
+    import numpy as np
+
+    from txgraph.llm import packing as P
+
+    rnd = random.Random(8)
+    names = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(4000)]
+    docs = []
+    for topic in range(150):
+        own = rnd.sample(names, 12)
+        docs += [[x for _ in range(40) for x in rnd.choices([rnd.choice(own), rnd.choice(names[:300])], [1, 3])]
+                 for _ in range(8)]
+    number = {}
+    ids = [np.array([number.setdefault(w, len(number)) for w in d]) for d in docs]
+    df = np.zeros(len(number), np.int64)
+    for d in ids:
+        df[np.unique(d)] += 1
+    mean = float(np.mean([len(d) for d in ids]))
+    whole = P.ShardIndex(ids, df, len(ids), mean)
+    term = [P.weightiest(d, P._idf(df, len(ids)), mean) for d in ids]
+    totals = {}
+    for t, d in zip(term, ids):
+        totals[t] = totals.get(t, 0) + len(d)
+
+    def best(index, seed, among):
+        """Score, in the whole index, of the best neighbour that lies in ``among``."""
+        unused = among.copy()
+        unused[seed] = False
+        hits = index.neighbours(seed, unused)
+        return float(index.score[hits[0]]) if len(hits) else 0.0
+
+    for shard_tokens in (len(docs) * 40 // 8, len(docs) * 40 // 40):
+        first, count = P.shard_plan(totals, len(df), shard_tokens)
+        shard = np.array([first[t] + k % count[t] for k, t in enumerate(term)])
+        assert len(set(shard)) >= 4
+        sizes = np.bincount(shard) * 40
+        assert sizes.max() <= 2.5 * shard_tokens
+        everyone = np.ones(len(ids), bool)
+        got = sum(best(whole, s, shard == shard[s]) for s in range(0, len(ids), 7))
+        assert got >= RECALL * sum(best(whole, s, everyone) for s in range(0, len(ids), 7))

@@ -4,8 +4,11 @@
    16-bit or 32-bit ids, and counts in how many documents each id occurs. Terms are token
    ids, so the table of document frequencies has the size of the vocabulary, however large
    the corpus, and covers all of it;
-2. documents are dealt to shards of about ``shard_tokens`` tokens by a hash of their id and
-   text, so a group of copies or a hot source spreads over all shards;
+2. documents are dealt to shards of about ``shard_tokens`` tokens by content: those with the same
+   weightiest BM25 term go together, terms that lie next to each other fill a shard up, so what
+   a seed would retrieve from the whole corpus lies mostly in its own shard, however many there
+   are. Documents of a term that is heavier than a shard are dealt over as many as it needs
+   by a hash of id and text, so that copies or a hot source never make one task's group;
 3. each shard builds a BM25 inverted index over its documents. The lowest unused document
    seeds a window; its weightiest terms retrieve the best-scoring unused neighbours of the
    shard, which fill the window in that order. The last one is cut where the window ends
@@ -26,7 +29,6 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,28 +39,28 @@ from txgraph.llm.common import cut, ship, slices
 QUERY_TERMS = 12
 K1, B = 1.2, 0.75
 
-_loaded: dict[tuple, tuple] = {}
+_loaded: dict[tuple, object] = {}
 _widths: dict[str, str] = {}
 
 
 def _encoder(path: str, wide: str):
-    """Segmenter of the file and its table of packed ids."""
+    """A function from a text to its packed ids. A rank-based library takes whole texts and
+    remembers nothing; other files are encoded segment by segment, with a table of segments."""
     if (path, wide) not in _loaded:
         one = vocab.rank_encoder(path)
         if one is None:
-            enc = vocab.Encoder(path)
-            one = (lambda s: enc.encode([s])[0])
-        _loaded[path, wide] = (vocab.segmenter(path), vocab.SegmentTable(
-            lambda s: np.array(one(s), wide).tobytes(), 600_000))
+            enc, cut_ = vocab.Encoder(path), vocab.segmenter(path)
+            get = vocab.SegmentTable(lambda s: np.array(enc.encode([s])[0], wide).tobytes()).__getitem__
+            _loaded[path, wide] = lambda text: b"".join(map(get, cut_(text)))
+        else:
+            _loaded[path, wide] = lambda text: one(text).astype(wide).tobytes()
     return _loaded[path, wide]
 
 
 def encode_packed(texts: list[str], path: str, end_id: int, wide: str = "<u4") -> list[bytes]:
     """ids of each text and the end id, as little-endian unsigned integers."""
-    cut_, table = _encoder(path, wide)
-    tail = np.array([end_id], wide).tobytes()
-    get = table.__getitem__
-    return [b"".join(map(get, cut_(t))) + tail for t in texts]
+    one, tail = _encoder(path, wide), np.array([end_id], wide).tobytes()
+    return [one(t) + tail for t in texts]
 
 
 def _width(path: str, end_id: int) -> str:
@@ -130,11 +132,43 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int, int]:
     return out, n_docs, n_tok
 
 
+def _idf(df: np.ndarray, n_docs: int) -> np.ndarray:
+    return np.log1p((n_docs - df + 0.5) / (df + 0.5))
+
+
+def _weights(tf: np.ndarray, idf: np.ndarray, size, mean_len: float) -> np.ndarray:
+    tf = tf.astype(np.float64)
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean_len))
+
+
+def weightiest(ids: np.ndarray, idf: np.ndarray, mean_len: float) -> int:
+    """The term of a document with the largest weight, the smallest of equal ones."""
+    t, c = np.unique(ids, return_counts=True)
+    return int(t[np.argmax(_weights(c, idf[t], len(ids), mean_len))])
+
+
+def shard_plan(totals: dict[int, int], terms: int, shard_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first shard, number of shards) of every term, given the tokens of the documents it is the
+    weightiest term of."""
+    first, count = np.zeros(terms, np.int64), np.ones(terms, np.int64)
+    shard, fill = 0, 0
+    for t in sorted(totals):
+        n = totals[t]
+        if fill and fill + n > shard_tokens:
+            shard, fill = shard + 1, 0
+        first[t], count[t] = shard, max(1, -(-n // shard_tokens))
+        if n >= shard_tokens:
+            shard, fill = shard + int(count[t]), 0
+        else:
+            fill += n
+    return first, count
+
+
 class ShardIndex:
     """BM25 inverted index over the documents of a shard."""
 
     def __init__(self, docs: list[np.ndarray], df: np.ndarray, n_docs: int, mean_len: float):
-        self.idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
+        self.idf = _idf(df, n_docs)
         terms, owner, tf = [], [], []
         for i, d in enumerate(docs):
             t, c = np.unique(d, return_counts=True)
@@ -143,9 +177,8 @@ class ShardIndex:
             tf.append(c)
         self.start_of = np.cumsum([0, *map(len, terms)])
         term, who = np.concatenate(terms), np.concatenate(owner)
-        tf = np.concatenate(tf).astype(np.float64)
         size = np.array([len(d) for d in docs], np.float64)
-        w = self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[who] / mean_len))
+        w = _weights(np.concatenate(tf), self.idf[term], size[who], mean_len)
         self.doc_terms, self.doc_weights = term, w
         order = np.argsort(term, kind="stable")
         self.post_doc, self.post_w = who[order], w[order].astype(np.float32)
@@ -218,6 +251,11 @@ def pack_shard(sizes: np.ndarray, index: ShardIndex, window: int) -> list[tuple]
     return pieces
 
 
+def _filled(col: pa.ChunkedArray) -> np.ndarray:
+    """The integers of a column, missing ones as the smallest long; no float on the way."""
+    return col.fill_null(-(1 << 63)).to_numpy()
+
+
 def pack(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col: str = "doc_id",
          text_col: str = "text", window: int = 2048, end_id: int = 1,
          shard_tokens: int = 2_000_000, with_ids: bool = False) -> DataFrame:
@@ -225,29 +263,54 @@ def pack(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col: str = "do
     ``with_ids`` also the piece's ids as an array."""
     docs = cut(encode_documents(df, id_col, text_col, vocabulary, end_id), "packed-ids")
     freq, n_docs, n_tok = document_frequencies(docs)
-    shards = max(1, -(-n_tok // shard_tokens))
     mean = n_tok / max(1, n_docs)
-    bc = df.sparkSession.sparkContext.broadcast(freq)
+    context = df.sparkSession.sparkContext
+    bc = context.broadcast(freq)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "doc", "n"], kind="stable").reset_index(drop=True)
-        ids = [_wide(x) for x in pdf["ids"]]
+    def term_tokens(batches):
+        idf, total = _idf(bc.value, n_docs), {}
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                ids = _wide(x)
+                t = weightiest(ids, idf, mean)
+                total[t] = total.get(t, 0) + len(ids)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())],
+                                         names=["term", "n"])
+
+    # one number per vocabulary entry, as the document frequencies
+    totals = docs.select("ids").mapInArrow(term_tokens, "term bigint, n bigint").groupBy("term").agg(
+        F.sum("n").alias("n")).toArrow()
+    plan = context.broadcast(shard_plan(dict(zip(totals.column(0).to_pylist(), totals.column(1).to_pylist())),
+                                        len(freq), shard_tokens))
+
+    def dealt(batches):
+        idf, (first, count) = _idf(bc.value, n_docs), plan.value
+        for b in batches:
+            t = np.array([weightiest(_wide(x), idf, mean) for x in b.column("ids").to_pylist()], np.int64)
+            shard = first[t] + b.column("h").to_numpy() % count[t]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard)], names=[*b.schema.names, "shard"])
+
+    def one(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        # any fixed order will do; missing ids first
+        t = t.take(pa.array(np.lexsort([_filled(t[c]) for c in ("n", "doc", "h")])))
+        ids = [_wide(x) for x in t["ids"].to_pylist()]
         sizes = np.array([len(x) for x in ids], np.int64)
         pieces = pack_shard(sizes, ShardIndex(ids, bc.value, n_docs, mean), window)
         d = np.array([p[0] for p in pieces])
-        base = int(pdf["shard"].iloc[0]) << 32
+        base = int(t["shard"][0].as_py()) << 32
         out = {
-            id_col: pdf["doc"].astype("Int64").to_numpy()[d],
+            id_col: t["doc"].take(pa.array(d)),
             "start": [p[1] for p in pieces], "length": [p[2] for p in pieces],
             "ids_crc32": [zlib.crc32(ids[p[0]][p[1]:p[1] + p[2]].tobytes()) for p in pieces],
             "doc_tokens": sizes[d], "sequence_id": [base + p[3] for p in pieces],
             "offset": [p[4] for p in pieces]}
         if with_ids:
-            out["ids"] = [ids[p[0]][p[1]:p[1] + p[2]].astype(np.int64) for p in pieces]
-        return pd.DataFrame(out)
+            out["ids"] = pa.array([ids[p[0]][p[1]:p[1] + p[2]].astype(np.int64) for p in pieces],
+                                  pa.list_(pa.int64()))
+        return pa.table(out)
 
     kind = (f"`{id_col}` bigint, start bigint, length bigint, ids_crc32 bigint, "
             "doc_tokens bigint, sequence_id bigint, offset bigint")
-    shard = F.pmod("h", F.lit(shards))
-    return (docs.withColumn("shard", shard).groupBy("shard")
-            .applyInPandas(one, kind + (", ids array<bigint>" if with_ids else "")))
+    by_shard = docs.mapInArrow(dealt, "doc bigint, h bigint, n bigint, ids binary, shard bigint")
+    return by_shard.groupBy("shard").applyInArrow(one, kind + (", ids array<bigint>" if with_ids else ""))

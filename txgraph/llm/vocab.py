@@ -114,8 +114,8 @@ def byte_chars() -> dict[str, int]:
 
 
 def rank_encoder(path: str):
-    """A function from a text to its ids for byte-level files whose ids are their merge
-    ranks (then a rank-based library gives the same ids, faster on short texts), else None."""
+    """A function from a text to the array of its ids for byte-level files whose ids are their
+    merge ranks (then a rank-based library gives the same ids, faster), else None."""
     import public_tokenizers
     import tiktoken
 
@@ -132,7 +132,7 @@ def rank_encoder(path: str):
     ranks = {bytes(to_byte[c] for c in s): i for s, i in plain.items()}
     enc = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                             special_tokens=special)
-    return lambda text: enc.encode(text, allowed_special="all")
+    return lambda text: enc.encode_to_numpy(text, allowed_special="all")
 
 
 class SegmentTable(dict):
