@@ -220,3 +220,12 @@ def test_top_k(spark, monkeypatch, shard, block):
             want += [(i, r + 1, None if m else j, -v) for r, (v, m, j, _) in enumerate(s[:20])]
     assert got == sorted(want, key=repr)
     assert T.top_k(vectors(spark, rows).limit(0), lambda c: c % 20 == 0).count() == 0
+
+
+def test_top_k_keeps_large_ids_beside_missing_ones(spark):
+    from txgraph.llm import topk as T
+
+    big = 1 << 53
+    rows = [(big + k, [float(k), 1.0], 0) for k in (1, 3, 5, 7)] + [(None, [9.0, 1.0], 0), (None, [0.5, 1.0], 0), (20, [1.0, 0.0], 0)]
+    got = T.top_k(vectors(spark, rows), lambda c: c == 20).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [None, big + 7, big + 5, big + 3, big + 1, None]

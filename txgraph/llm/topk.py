@@ -23,8 +23,8 @@ the vector column are read.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,30 +139,35 @@ def top_k(df: DataFrame, queries, k: int = 20, id_col: str = "vec_id",
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - F.lit(1).cast("bigint"))).alias("shard"),
         F.pmod(h, "blocks").cast("int").alias("block"))
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        dim = int(pdf["dim"].iloc[0])
-        mat = (lambda col: np.frombuffer(b"".join(col), "<i8").reshape(len(col), dim))
-        qs, cs = pdf[pdf.asks], pdf[~pdf.asks].sort_values("uid")
+    kinds = [("query_uid", pa.int64()), ("query_id", pa.int64()), ("cand_uid", pa.int64()),
+             ("cand", pa.int64()), ("score", pa.int64())]
+
+    def search(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        dim = int(t["dim"][0].as_py())
+        mat = (lambda col: np.frombuffer(b"".join(col.to_pylist()), "<i8").reshape(len(col), dim))
+        qs, cs = t.filter(t["asks"]), t.filter(pc.invert(t["asks"])).sort_by("uid")
         out = []
         if len(qs) and len(cs):
-            x, y = mat(cs.q), mat(qs.q)
+            x, y = mat(cs["q"]), mat(qs["q"])
             big = float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) * dim
             if big >= 2.0 ** 62:
                 raise OverflowError("scores must fit 64 bits")
             index = ImpactIndex(x)
-            ids = cs.id.to_numpy(np.float64, na_value=np.inf) if cs.id.isna().any() else cs.id.to_numpy()
-            uid = cs.uid.to_numpy()
+            # ids stay integers beside missing ones, which come last
+            ids, none = cs["id"].fill_null((1 << 63) - 1).to_numpy(), cs["id"].is_null().to_numpy()
+            uid = cs["uid"].to_numpy()
             place = {u: i for i, u in enumerate(uid.tolist())}
-            for j, (u, q) in enumerate(zip(qs.uid.tolist(), y)):
+            for u, name, q in zip(qs["uid"].to_pylist(), qs["id"].to_pylist(), y):
                 rows, score = index.top(q, k, place.get(u, -1))
-                best = np.lexsort((uid[rows], ids[rows], -score))[:k]
-                out.append(pd.DataFrame({"query_uid": u, "query_id": qs.id.iloc[j],
-                                         "cand_uid": uid[rows[best]],
-                                         "cand": cs.id.to_numpy()[rows[best]], "score": score[best]}))
-        cols = ["query_uid", "query_id", "cand_uid", "cand", "score"]
-        return pd.concat(out)[cols] if out else pd.DataFrame({c: [] for c in cols}).astype("int64")
-
-    found = (cand.unionByName(ask).groupBy("dim", "shard", "block").applyInPandas(
+                best = np.lexsort((uid[rows], ids[rows], none[rows], -score))[:k]
+                n, at = len(best), rows[best]
+                out.append([pa.array([u] * n, pa.int64()), pa.array([name] * n, pa.int64()), pa.array(uid[at]),
+                            cs["id"].take(pa.array(at)).combine_chunks(), pa.array(score[best])])
+        return pa.table([pa.chunked_array([o[c] for o in out], kind) for c, (_, kind) in enumerate(kinds)],
+                        names=[n for n, _ in kinds])
+
+    found = (cand.unionByName(ask).groupBy("dim", "shard", "block").applyInArrow(
         search, "query_uid bigint, query_id bigint, cand_uid bigint, cand bigint, score bigint"))
     w = Window.partitionBy("query_uid").orderBy(F.desc("score"), F.asc_nulls_last("cand"), "cand_uid")
     return (found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
