@@ -52,6 +52,7 @@ BLOCK_BYTES = 8 << 20
 SMALL = 8           # buckets up to this size are compared as plain pairs
 PER_COPY = 2000
 FILTER_BITS = 22
+WORDS = 200_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20)
@@ -60,14 +61,15 @@ _PLACE = _rng.integers(1, 2 ** 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint
 
 
 class _WordHashes(dict):
-    """64-bit hash of words, remembered up to a bound."""
+    """64-bit hash of words, remembered up to a bound (WORDS of 64 bytes at most, 40 MB or so,
+    since workers outlive the operator)."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
-            if len(self) >= 500_000:
+            if len(self) >= WORDS:
                 self.clear()
             self[word] = h
         return h
