@@ -81,17 +81,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_by(df: DataFrame, key: str, parts: int) -> DataFrame:
-    """As :func:`cut`, but lying partitioned by ``key``: a table bucketed by it, under the
-    shared checkpoint folder. Joins on ``key`` with ``parts`` partitions do not shuffle it
-    again (a plain checkpoint forgets how its rows lie)."""
-    spark = df.sparkSession
-    name = f"txgraph_{uuid.uuid4().hex}"
-    (df.repartition(parts, key).write.bucketBy(parts, key).sortBy(key)
-     .option("path", scratch_path(spark, "bucketed")).saveAsTable(name))
-    return spark.table(name)
-
-
 def cut_table(df: DataFrame, name: str = "table") -> DataFrame:
     """As :func:`cut`, but a Parquet table in the shared folder, read back: compressed, columnar,
     and of a size that Spark knows, so that small ones are broadcast in joins and large ones
