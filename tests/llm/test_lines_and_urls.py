@@ -144,14 +144,14 @@ def test_license_scan_of_wrapped_notices(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
-@pytest.mark.parametrize("name", ["op3_url_filter", "op4_topk", "op10_line_dedup"])
+@pytest.mark.parametrize("name", ["op3_url_filter", "op4_topk", "op10_line_dedup", "op11_decontaminate"])
 def test_sql(spark, name):
     import duckdb
 
     from txgraph.llm.queries import ORACLE_SQL, QUERIES
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = QUERIES[name](spark, SF)
     res = con.execute(ORACLE_SQL[name])
