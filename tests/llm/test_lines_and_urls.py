@@ -90,6 +90,65 @@ def test_url_filter(spark):
     assert url_filter(pages(spark).limit(0)).count() == 0
 
 
+def brute_ranks(edges, seeds, back, unit=100_000_000, settled=1000):
+    """Ranks by plain pushing over a list of (src, dst, w); ``back``: against the links."""
+    out = defaultdict(list)
+    for a, b, w in edges:
+        out[b if back else a].append((a if back else b, w))
+    rank = {h: n * unit for h, n in seeds.items()}
+    waits = dict(rank)
+    while go := {h: x for h, x in waits.items() if x > rank[h] // settled}:
+        waits.update(dict.fromkeys(go, 0))
+        for h, x in go.items():
+            for to, w in out[h]:
+                m = x * w * 85 // (sum(v for _, v in out[h]) * 100)
+                if m:
+                    rank[to] = rank.get(to, 0) + m
+                    waits[to] = waits.get(to, 0) + m
+    return rank
+
+
+def test_url_ranks_settle(spark):
+    """Distrust reaches the end of a long chain, a loop ends, a hub's thin flow is not lost."""
+    from txgraph.llm.url_filter import url_filter
+
+    link = lambda *hosts: "".join(f'<a href="http://{h}/">x</a>' for h in hosts)
+    rows = [(i, f"http://c{i}.net/", link(f"c{i + 1}.net")) for i in range(1, 14)]
+    rows += [(14, "http://c14.net/", link("bad.com")), (15, "http://bad.com/de/x", link("l1.net"))]
+    rows += [(20, "http://l1.net/", link("l2.net")), (21, "http://l2.net/", link("l1.net", "good.org"))]
+    rows += [(30, "http://good.org/", link(*(f"n{i}.net" for i in range(3000))))]
+    edges = [(f"c{i}.net", f"c{i + 1}.net", 1) for i in range(1, 14)]
+    edges += [("c14.net", "bad.com", 1), ("bad.com", "l1.net", 1), ("l1.net", "l2.net", 1),
+              ("l2.net", "l1.net", 1), ("l2.net", "good.org", 1)]
+    edges += [("good.org", f"n{i}.net", 1) for i in range(3000)]
+    rows += [(100 + i, f"http://n{i}.net/", None) for i in (0, 2999)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.host: r for r in url_filter(df).collect()}
+    trust = brute_ranks(edges, {"good.org": 1}, False)
+    distrust = brute_ranks(edges, {"bad.com": 1}, True)
+    for h, r in got.items():
+        assert (r.trust, r.distrust) == (trust.get(h, 0), distrust.get(h, 0)), h
+    assert all(got[f"c{i}.net"].verdict == "block" for i in range(1, 15))
+    assert got["l1.net"].verdict == "allow" and got["n2999.net"].trust > 0
+
+
+def test_url_kin(spark):
+    """Hosts of one site vouch for each other; strangers under one suffix do not."""
+    from txgraph.llm.url_filter import url_filter
+
+    rows = [(1, "http://bad.co.uk/", '<a href="http://worse.com/">x</a>'), (2, "http://good.co.uk/", ""),
+            (3, "http://other.co.uk/", None), (4, "http://worse.com/de/", ""),
+            (5, "http://www.bad.co.uk/", ""), (6, "http://a.b.bad.co.uk/", ""),
+            (7, "http://x.pages.io/", '<a href="http://worse.com/">x</a>'), (8, "http://pages.io/", ""),
+            (9, "http://y.pages.io/", "")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.host: r.verdict for r in url_filter(df).collect()}
+    assert {h for h, v in got.items() if v == "block"} == {
+        "bad.co.uk", "worse.com", "www.bad.co.uk", "a.b.bad.co.uk", "x.pages.io", "pages.io", "y.pages.io"}
+    named = {r.host: r.verdict for r in url_filter(df, suffixes=("pages.io",)).collect()}
+    assert named["x.pages.io"] == "block" and named["y.pages.io"] == named["pages.io"] == "allow"
+
+
 def test_license_scan(spark):
     from txgraph.llm.licenses import license_scan
 

@@ -7,17 +7,26 @@ pages that a rule blocks and flows against links (who links to bad hosts is susp
 host is blocked where ``den`` times its distrust exceeds ``num`` times its trust.
 
 Host edges are the absolute and protocol-relative links in the pages, counted per pair of
-hosts, and one edge each way between a host and its parent domain (down to two labels), as
-the hosts of one site vouch for each other.
-
-Ranks are integers (``UNIT`` per seed page, divisions rounded down), so the result does not
-depend on the order of summation. DataFrame functions only. Hubs: pairs are counted with
-map-side combining, ranks of the sources with the most edges reach them by a broadcast of
-at most ``skew.MAX_HOT_KEYS`` rows, all others by a shuffle; every round is a written table.
+hosts, and one edge each way between a page's host and its nearest parent domain (of two
+labels or more) that is a page's host itself, as the hosts of one site vouch for each other.
+A suffix under which strangers register (``co.uk``) has no pages and so connects nobody; one
+that has pages is kept out by naming it in ``suffixes``.
+
+Ranks are pushed until they settle: what arrives at a host adds to its rank and waits there;
+a host passes ``damping_pct`` per cent of what waits on, by weight, whenever that is more than
+``1/SETTLED`` of its rank. Rounds end when no host has that much left, so no flow between
+hosts is off by more than that share, however long its way. Ranks are integers, ``UNIT`` per seed
+page with divisions rounded down: the result does not depend on the order of summation, what
+waits dwindles to nothing, and a page's mass ends where it is thinner than ``1/UNIT``.
+
+DataFrame functions only. Every round is a written table, ranks meet the written edges by
+plain joins that Spark plans from their sizes (a hub's edges are dealt by the adaptive skew
+split); the driver learns one number a round, of hosts that have mass to pass on.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no rule
 and is allowed; null html has no links; every row gives a row, repeated rows and null ids
-included; an empty table gives no rows. Only the three named columns are read.
+included; an empty table gives no rows; texts of any length are read whole. Only the three
+named columns are read, others may have any name.
 """
 
 from __future__ import annotations
@@ -27,8 +36,11 @@ from pyspark.sql import functions as F
 
 from txgraph.llm.common import cut, lower_ascii
 from txgraph.operators.skew import heavy_keys, split_join
+from txgraph.operators.written import write
 
-UNIT = 1_000_000
+UNIT = 100_000_000
+# A host passes on what waits there when it exceeds this part of its rank.
+SETTLED = 1000
 #: (verdict, host, start of the path)
 RULES = (
     ("allow", "org", "/"),
@@ -63,7 +75,19 @@ def rule_columns(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return (none, none) if rule is None else (rule, verdict)
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
+def kin_edges(hosts: DataFrame, suffixes=()) -> DataFrame:
+    """(a, b): each host beside its nearest parent domain among the hosts, of two labels or more."""
+    parts = F.split("host", r"\.")
+    above = (hosts.withColumn("parts", parts).filter(F.size("parts") > 2)
+             .select(F.col("host").alias("a"), F.posexplode(F.transform(
+                 F.sequence(F.lit(2), F.size("parts") - 1),
+                 lambda i: F.array_join(F.slice("parts", i, F.size("parts")), "."))).alias("up", "b"))
+             .filter(~F.col("b").isin(*suffixes) if suffixes else F.lit(True)))
+    return (above.join(hosts.select(F.col("host").alias("b")), "b")
+            .groupBy("a").agg(F.min_by("b", "up").alias("b")))
+
+
+def host_edges(pages: DataFrame, suffixes=()) -> DataFrame:
     """(src, dst, w) between different hosts, from (host, html)."""
     links = (pages.select(F.col("host").alias("src"),
                           F.explode(F.array_distinct(F.transform(
@@ -71,58 +95,50 @@ def host_edges(pages: DataFrame) -> DataFrame:
                               lower_ascii))).alias("dst"))
              .filter((F.col("src") != "") & (F.col("dst") != F.col("src")))
              .groupBy("src", "dst").agg(F.count("*").alias("w")))
-    ends = (pages.select("host").distinct()
-            .union(links.select("dst").distinct()).filter(F.col("host") != "").distinct())
-    parts = F.split("host", r"\.")
-    up = (ends.filter(F.size(parts) > 2)
-          .select(F.explode(F.transform(
-              F.sequence(F.lit(1), F.size(parts) - 2),
-              lambda i: F.struct(
-                  F.array_join(F.slice(parts, i, F.size(parts)), ".").alias("a"),
-                  F.array_join(F.slice(parts, i + 1, F.size(parts)), ".").alias("b")))).alias("e"))
-          .select("e.a", "e.b").distinct())
-    kin = (up.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1).cast("bigint").alias("w"))
-           .unionByName(up.select(F.col("b").alias("src"), F.col("a").alias("dst"),
-                                  F.lit(1).cast("bigint").alias("w"))))
-    return (links.unionByName(kin).groupBy("src", "dst").agg(F.sum("w").alias("w"))
-            .filter(F.col("src") != F.col("dst")))
-
-
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int, damping_pct: int) -> DataFrame:
-    """(host, trust, distrust) after ``rounds`` rounds from seeds (host, trust, distrust)."""
+    hosts = cut(pages.select("host").filter(F.col("host") != "").distinct(), "host-names")
+    kin = cut(kin_edges(hosts, suffixes), "host-kin")
+    one = F.lit(1).cast("bigint").alias("w")
+    return (links.unionByName(kin.select(F.col("a").alias("src"), F.col("b").alias("dst"), one))
+            .unionByName(kin.select(F.col("b").alias("src"), F.col("a").alias("dst"), one))
+            .groupBy("src", "dst").agg(F.sum("w").alias("w")))
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, damping_pct: int) -> DataFrame:
+    """(host, trust, distrust) when settled, from written edges and seeds (host, trust, distrust)."""
     flow = (edges.select(F.lit("trust").alias("kind"), F.col("src").alias("a"),
                          F.col("dst").alias("b"), "w")
             .unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"),
                                       F.col("src").alias("b"), "w"))
             .withColumn("node", F.concat_ws("|", "kind", "a")))
-    outs = cut(flow.groupBy("node").agg(F.sum("w").alias("out"), F.count("*").alias("n")), "host-out")
-    hot = heavy_keys(outs, "node", "n")
-    flow = cut(split_join(flow, outs.select("node", "out"), "node", hot)
+    flow = cut(flow.join(cut(flow.groupBy("node").agg(F.sum("w").alias("out")), "host-out"), "node")
                .select("node", F.concat_ws("|", "kind", "b").alias("to"), "w", "out"), "host-flow")
-    seed = cut(seeds.select(F.lit("trust").alias("kind"), "host", F.col("trust").alias("s"))
-               .unionByName(seeds.select(F.lit("distrust").alias("kind"), "host",
-                                         F.col("distrust").alias("s")))
-               .filter(F.col("s") > 0)
-               .select(F.concat_ws("|", "kind", "host").alias("node"), "s"), "host-seeds")
-    base = seed.select("node", F.expr(f"(s * {100 - damping_pct}) div 100").alias("r"))
-    state = seed.select("node", F.col("s").alias("r"))
-    for _ in range(rounds):
-        moved = split_join(flow, state, "node", hot).select(
+    active = F.expr(f"waits > rank div {SETTLED}")
+    start = (seeds.select(F.explode(F.array(
+                 F.struct(F.concat_ws("|", F.lit("trust"), "host").alias("node"), F.col("trust").alias("rank")),
+                 F.struct(F.concat_ws("|", F.lit("distrust"), "host").alias("node"),
+                          F.col("distrust").alias("rank")))).alias("s"))
+             .select("s.node", "s.rank", F.col("s.rank").alias("waits")).filter(F.col("rank") > 0))
+    state, left = write(start, count=active)
+    while left:
+        moved = (flow.join(state.filter(active).select("node", "waits"), "node").select(
             F.col("to").alias("node"),
-            F.expr(f"(cast(r as decimal(20,0)) * cast(w as decimal(15,0)) * {damping_pct}) "
-                   "div (cast(out as decimal(15,0)) * 100)").alias("r"))
-        state = cut(moved.unionByName(base).groupBy("node").agg(F.sum("r").alias("r"))
-                    .filter(F.col("r") > 0), "host-ranks")
+            F.expr(f"(cast(waits as decimal(20,0)) * cast(w as decimal(15,0)) * {damping_pct}) "
+                   "div (cast(out as decimal(15,0)) * 100)").alias("rank"))
+            .filter(F.col("rank") > 0).withColumn("waits", F.col("rank")))
+        kept = state.select("node", "rank", F.when(active, F.lit(0).cast("bigint"))
+                            .otherwise(F.col("waits")).alias("waits"))
+        state, left = write(kept.unionByName(moved).groupBy("node").agg(
+            F.sum("rank").alias("rank"), F.sum("waits").alias("waits")), count=active)
     cols = F.split("node", r"\|", 2)
-    return (state.select(cols[0].alias("kind"), cols[1].alias("host"), "r")
+    return (state.select(cols[0].alias("kind"), cols[1].alias("host"), "rank")
             .groupBy("host").agg(
-                F.coalesce(F.sum(F.when(F.col("kind") == "trust", F.col("r"))), F.lit(0)).alias("trust"),
-                F.coalesce(F.sum(F.when(F.col("kind") == "distrust", F.col("r"))), F.lit(0)).alias("distrust")))
+                F.coalesce(F.sum(F.when(F.col("kind") == "trust", F.col("rank"))), F.lit(0)).alias("trust"),
+                F.coalesce(F.sum(F.when(F.col("kind") == "distrust", F.col("rank"))), F.lit(0)).alias("distrust")))
 
 
 def url_filter(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url",
-               html_col: str = "html", rounds: int = 8, damping_pct: int = 85,
-               num: int = 1, den: int = 1) -> DataFrame:
+               html_col: str = "html", damping_pct: int = 85,
+               num: int = 1, den: int = 1, suffixes=()) -> DataFrame:
     """(id, host, path, rule, verdict, trust, distrust) of every row."""
     host, path = url_parts(F.col(url_col).cast("string"))
     src = pages.select(F.col(id_col), host.alias("host"), path.alias("path"),
@@ -133,7 +149,7 @@ def url_filter(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
         F.count("*").alias("n"),
         (F.count(F.when(F.col("ruled") == "allow", 1)) * UNIT).alias("trust"),
         (F.count(F.when(F.col("ruled") == "block", 1)) * UNIT).alias("distrust")), "host-pages")
-    ranks = propagate(cut(host_edges(src), "host-edges"), seeds, rounds, damping_pct)
+    ranks = propagate(cut(host_edges(src, suffixes), "host-edges"), seeds, damping_pct)
     hot = heavy_keys(seeds, "host", "n")
     out = split_join(judged, cut(ranks, "host-verdicts"), "host", hot, how="left")
     zero = F.lit(0).cast("bigint")
@@ -144,21 +160,14 @@ def url_filter(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
                       trust.alias("trust"), distrust.alias("distrust"))
 
 
-def oracle(rounds: int = 8, damping_pct: int = 85, rules=RULES) -> str:
-    """DuckDB SQL of the query, its rounds written out."""
+def oracle(damping_pct: int = 85, rules=RULES) -> str:
+    """DuckDB SQL of the query, its rounds as a recursive query."""
     order = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0] != "block", r[1]))
     fits = [(v, h, p, f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')")
             for v, h, p in order]
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
-    steps = "".join(f""",
-r{k + 1} AS MATERIALIZED (
-  SELECT kind, host, sum(r)::HUGEINT AS r FROM (
-    SELECT f.kind, f.b AS host, (s.r * f.w * {damping_pct}) // (f.o * 100) AS r
-    FROM flow f JOIN r{k} s ON s.kind = f.kind AND s.host = f.a
-    UNION ALL SELECT kind, host, (r * {100 - damping_pct}) // 100 FROM r0)
-  GROUP BY ALL HAVING sum(r) > 0)""" for k in range(rounds))
     return f"""
-WITH a AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0
+WITH RECURSIVE a AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0
                   THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 b AS (SELECT page_id, html, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM a),
 p AS MATERIALIZED (
@@ -173,11 +182,12 @@ links AS MATERIALIZED (
     SELECT host AS src, unnest(list_distinct([{low("x")} FOR x IN
       regexp_extract_all(html, '(?i)href\\s*=\\s*["'']?\\s*(?:https?:)?//([^/?#"''\\s<>]+)', 1)])) AS dst
     FROM p) WHERE src <> '' AND src <> dst GROUP BY ALL),
-ends AS (SELECT host FROM p WHERE host <> '' UNION SELECT dst FROM links),
-up AS (
-  SELECT DISTINCT array_to_string(x[i:], '.') AS a, array_to_string(x[i + 1:], '.') AS b
-  FROM (SELECT x, unnest(range(1, len(x) - 1)) AS i
-        FROM (SELECT string_split(host, '.') AS x FROM ends) WHERE len(x) > 2)),
+names AS MATERIALIZED (SELECT DISTINCT host, string_split(host, '.') AS x FROM p WHERE host <> ''),
+up AS MATERIALIZED (
+  SELECT a, arg_min(b, i) AS b
+  FROM (SELECT host AS a, i, array_to_string(x[i:], '.') AS b
+        FROM (SELECT host, x, unnest(range(2, len(x))) AS i FROM names WHERE len(x) > 2))
+  WHERE b IN (SELECT host FROM names) GROUP BY a),
 edges AS MATERIALIZED (
   SELECT src, dst, sum(w)::HUGEINT AS w FROM (
     SELECT * FROM links UNION ALL SELECT a, b, 1 FROM up UNION ALL SELECT b, a, 1 FROM up)
@@ -185,12 +195,23 @@ edges AS MATERIALIZED (
 flow0 AS (SELECT 'trust' AS kind, src AS a, dst AS b, w FROM edges
           UNION ALL SELECT 'distrust', dst, src, w FROM edges),
 flow AS MATERIALIZED (SELECT *, sum(w) OVER (PARTITION BY kind, a)::HUGEINT AS o FROM flow0),
-r0 AS MATERIALIZED (
-  SELECT CASE ruled WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host,
-         (count(*) * {UNIT})::HUGEINT AS r
-  FROM j WHERE host <> '' AND ruled IS NOT NULL GROUP BY ALL){steps},
-v AS (SELECT host, coalesce(sum(r) FILTER (kind = 'trust'), 0) AS t,
-             coalesce(sum(r) FILTER (kind = 'distrust'), 0) AS d FROM r{rounds} GROUP BY host)
+r AS (
+  SELECT 0 AS k, CASE ruled WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host,
+         (count(*) * {UNIT})::HUGEINT AS n, (count(*) * {UNIT})::HUGEINT AS waits
+  FROM j WHERE host <> '' AND ruled IS NOT NULL GROUP BY ALL
+  UNION ALL
+  SELECT k + 1 AS k, kind, host, sum(n)::HUGEINT, sum(waits)::HUGEINT FROM (
+    SELECT k, kind, host, n, CASE WHEN waits > n // {SETTLED} THEN 0 ELSE waits END AS waits FROM r
+    UNION ALL
+    SELECT k, f.kind, f.b, m, m FROM (
+      SELECT r.k, f.kind, f.b, (r.waits * f.w * {damping_pct}) // (f.o * 100) AS m
+      FROM r JOIN flow f ON f.kind = r.kind AND f.a = r.host WHERE r.waits > r.n // {SETTLED}) f
+    WHERE m > 0)
+  WHERE EXISTS (SELECT 1 FROM r WHERE waits > n // {SETTLED})
+  GROUP BY ALL),
+v AS (SELECT host, coalesce(sum(n) FILTER (kind = 'trust'), 0) AS t,
+             coalesce(sum(n) FILTER (kind = 'distrust'), 0) AS d
+      FROM r WHERE k = (SELECT max(k) FROM r) GROUP BY host)
 SELECT page_id, j.host, path, rule,
        coalesce(ruled, CASE WHEN coalesce(d, 0) > coalesce(t, 0) THEN 'block' ELSE 'allow' END) AS verdict,
        coalesce(t, 0)::BIGINT AS trust, coalesce(d, 0)::BIGINT AS distrust
