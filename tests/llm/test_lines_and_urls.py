@@ -202,6 +202,59 @@ def test_license_scan_of_wrapped_notices(spark):
     assert all(got[i].families == "" for i, _ in plain)
 
 
+def test_license_families_against_brute_force(spark):
+    """Every run of lines of notices wrapped at many widths, scored and matched in plain Python."""
+    import re
+    import textwrap
+
+    import numpy as np
+    from pyspark.ml.feature import HashingTF
+
+    from txgraph.llm import licenses as L
+
+    tail = ("as published by the Free Software Foundation, either version 3 of the License, or (at your "
+            "option) any later version.")
+    head = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+    notices = {"GPL-3.0": f"{head}General Public License {tail}", "AGPL": f"{head}Affero General Public License {tail}",
+               "LGPL": f"{head}Lesser General Public License {tail}"}
+    plain = [(i, f"Line {i} of the story about gardens\nand all rights of way\nreserved for the\ngeneral public "
+                 "of the works") for i in range(40)]
+    wrapped = [(100 * (k + 1) + w, f"Top {w}\n" + "\n\n".join(textwrap.wrap(t, w)) + "\nend")
+               for k, t in enumerate(notices.values()) for w in (12, 20, 28, 70, 1000)]
+    df = documents(spark, plain + wrapped)
+    got = {r.doc_id: r for r in L.license_scan(df).collect()}
+    model, least = L.fit(df)
+    index = HashingTF(numFeatures=L.FEATURES, binary=True).indexOf
+    coef, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    split = lambda x: [w for w in re.split(r"(?:[.\-](?![0-9a-z])|[^0-9a-z.\-])+", x.lower()) if w]
+    grams = lambda w: {f"{a} {b}" for a, b in zip(w, w[1:])}
+    known = [(f, grams(split(t))) for f, ts in L.TEMPLATES.items() for t in ts]
+
+    def held(w):
+        return {i for i, (f, g) in enumerate(known) if len(g & grams(w)) >= 0.75 * len(g)
+                and all({*w, *grams(w)} & set(t) for t in L.TELLS.get(f, ()))}
+
+    for i, text in plain + wrapped:
+        lines = [x for x in map(split, text.split("\n")) if x]
+        join = lambda a, b: sum(lines[a:b], [])  # noqa: B023,E731
+        units = [split(x) for x in text.split("\n")]
+        units += [join(a, b) for a in range(len(lines)) for b in range(a + 2, len(lines) + 1)
+                  if len(join(a, b - 1)) < L.SPAN and held(join(a, b)) - held(join(a, b - 1)) - held(join(a + 1, b))]
+        said, sure = [], []
+        for w in units:
+            z = bias + coef[:, sorted({index(x) for x in [*w, *grams(w)]})].sum(axis=1)
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            f = L.FAMILIES[p.argmax()] if p.max() >= least else L.UNKNOWN
+            said += [f] * (f != L.UNKNOWN)
+            sure += [f] * any(known[k][0] == f for k in held(w))
+        r = got[i]
+        assert (r.n_paragraphs, r.n_predicted, r.n_confirmed, r.families) == (
+            text.count("\n") + 1, len(said), len(sure), ",".join(sorted(set(sure)))), (text, r)
+    for k, family in enumerate(notices):
+        assert {got[100 * (k + 1) + w].families for w in (12, 20, 28, 70, 1000)} == {family}, family
+    assert all(got[i].families == "" for i, _ in plain)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
 @pytest.mark.parametrize("name", ["op3_url_filter", "op4_topk", "op10_line_dedup", "op11_decontaminate"])
 def test_sql(spark, name):
