@@ -222,6 +222,28 @@ def test_top_k(spark, monkeypatch, shard, block):
     assert T.top_k(vectors(spark, rows).limit(0), lambda c: c % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("dim", [1, 2, 7, 64])
+@pytest.mark.parametrize("scale", [1, 3, 64, 10**6, 10**8])
+def test_impact_index(dim, scale, monkeypatch):
+    """Every possible member and its exact score, in single, double and integer sums, in tiles."""
+    from txgraph.llm import topk as T
+
+    monkeypatch.setattr(T, "TILE", 2000)
+    rng = np.random.default_rng(scale)
+    x = rng.integers(-scale, scale + 1, (300, dim))
+    x[100:140], x[200] = x[100], 0
+    own = np.arange(-5, 40).clip(-1)
+    asked = np.concatenate([x[150:155], x[:40]])
+    for q, o, (rows, scores) in zip(asked, own, T.ImpactIndex(x, scale).top(asked, 20, own)):
+        others = np.arange(300) != o
+        exact = x @ q
+        want = others & (exact >= np.sort(exact[others])[-20])
+        assert sorted(rows.tolist()) == np.flatnonzero(want).tolist()
+        assert (exact[rows] == scores.astype(np.int64)).all()
+    with pytest.raises(OverflowError):
+        T.ImpactIndex(x * 10**9, 2 * 10**10 * scale)
+
+
 def test_top_k_keeps_large_ids_beside_missing_ones(spark):
     from txgraph.llm import topk as T
 

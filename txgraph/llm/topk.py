@@ -1,17 +1,19 @@
 """Operator 4, exact top-k search with an impact-ordered, score-at-a-time index.
 
 Components are quantised to ``floor(scale * x)``; the score is the integer inner product.
-Candidates are dealt to shards of about ``SHARD`` vectors, queries to blocks of ``QUERIES``,
-and every block meets every shard in one task.
-
-A shard's index holds, for every dimension, the postings sorted by quantised component:
-segments of equal impact lie next to each other. A query takes posting segments by
-descending impact ``query component * candidate component``, level by level, and adds them
-to accumulators. What a candidate may still gain is at most the next impact in every
-dimension, so candidates whose accumulator plus that bound is below the k-th best exact
-score known are out - proven, not guessed. When few enough are left (``RESCORE`` of a
-shard), or no positive impact remains, the possible members are scored exactly. The best k
-of each shard are merged by a window whose partial limit runs before the shuffle.
+Candidates are dealt to shards of about ``SHARD`` vectors (fewer where vectors are long), queries
+to blocks of ``QUERIES``, and every block meets every shard in one task, which builds the
+shard's index once for the whole block.
+
+A shard's index orders the postings of every dimension by impact: segment b holds the components
+with b binary digits. A query component with a digits meets segment b with an impact below
+``2 ** (a + b)`` on either side of zero, so queries take segments by descending a + b, a tile of
+queries at a time, and add them to accumulators. What a candidate may still gain is at most the
+next impact in every dimension; candidates whose accumulator plus that bound is below the k-th
+best exact score known are out - proven, not guessed. When few enough are left (``RESCORE`` of a
+shard), or no segment remains, the possible members are scored exactly; other queries of the
+tile go on. The best k of each shard are merged by a window whose partial limit runs before the
+shuffle. Sums are exact: in single or double precision only while all of them are integers that it holds.
 
 Defined results: vectors that are null or hold null or non-finite components take no part;
 vectors of different length are not compared; ties go to the smaller id (null ids last);
@@ -31,10 +33,11 @@ from pyspark.sql import functions as F
 from txgraph.llm.common import cut, ship
 from txgraph.operators.skew import heavy_keys, split_join
 
-SHARD = 16_384
-QUERIES = 512
+SHARD = 8_192
+SHARD_ENTRIES = 1 << 20
+QUERIES = 4_096
+TILE = 1 << 21
 RESCORE = 0.04
-LEVELS = (64, 16, 4, 1)
 
 
 def quantise(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -64,57 +67,80 @@ def quantise(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
         rows, "id bigint, dim int, q binary")
 
 
+def digits(size: np.ndarray) -> np.ndarray:
+    """Binary digits of non-negative integers below 2 ** 53 (0 has none)."""
+    return np.frexp(size.astype(np.float64))[1].astype(np.int64)
+
+
 class ImpactIndex:
-    """Impact-ordered postings of one shard; ``x`` is an integer matrix, one row a vector."""
-
-    def __init__(self, x: np.ndarray):
-        self.x = x
-        self.order = np.argsort(x, axis=0, kind="stable")    # by dimension
-        self.impact = np.take_along_axis(x, self.order, axis=0)
-        self.order, self.impact = self.order.T.copy(), self.impact.T.copy()
-        self.low = self.impact[:, 0] if len(x) else np.zeros(x.shape[1], np.int64)
-        self.high = self.impact[:, -1] if len(x) else np.zeros(x.shape[1], np.int64)
-
-    def top(self, q: np.ndarray, k: int, own: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, scores) of every possible member of the top k: all with a score at or
-        above the k-th best, without row ``own``."""
-        n = len(self.x)
-        possible = n - (own >= 0)
-        if possible <= k:
-            rows = np.delete(np.arange(n), own) if own >= 0 else np.arange(n)
-            return rows, self.x[rows] @ q
-        acc = np.zeros(n, np.int64)
-        if own >= 0:
-            acc[own] = np.iinfo(np.int64).min // 2
-        dims = np.flatnonzero(q)
-        most = np.maximum(q * self.low, q * self.high)      # best impact of each dimension
-        # postings taken so far: from the top where q > 0, from the bottom where q < 0
-        taken = np.zeros(len(q), np.int64)
-        rows = None
-        for level in LEVELS:
-            for d in dims[most[dims] >= level].tolist():
-                w = int(q[d])
-                if w > 0:
-                    a = np.searchsorted(self.impact[d], -(-level // w), "left")
-                    b = n - taken[d]
-                    taken[d] = n - a
-                else:
-                    a = taken[d]
-                    b = np.searchsorted(self.impact[d], -(level // -w) if level % -w == 0
-                                        else -(level // -w) - 1, "right")
-                    taken[d] = b
-                if a < b:
-                    acc[self.order[d, a:b]] += w * self.impact[d, a:b]
-            rest = int(np.minimum(most[dims], level - 1).sum())
-            lead = np.argpartition(acc, n - k)[n - k:]
-            bar = (self.x[lead] @ q).min()                  # k exact scores: a proven bar
-            rows = np.flatnonzero(acc + rest >= bar)
-            if len(rows) <= max(4 * k, RESCORE * n):
+    """Impact-ordered postings of one shard; ``x`` is an integer matrix, one row a vector.
+    ``largest`` bounds the components of the queries."""
+
+    def __init__(self, x: np.ndarray, largest: int):
+        size = np.abs(x)
+        sums = float(size.max(initial=0)) * largest * x.shape[1]        # bounds every sum below
+        if sums >= 2.0 ** 62:
+            raise OverflowError("scores must fit 64 bits")
+        kind = np.float32 if sums < 2.0 ** 22 else np.float64 if sums < 2.0 ** 51 else np.int64
+        self.least = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
+        self.x, self.digits = x.astype(kind), digits(size)
+        self.most = int(self.digits.max(initial=0))
+        self.high = size.max(axis=0, initial=0)
+
+    def segments(self, low: int, end: int) -> np.ndarray:
+        """Postings with ``low`` to ``end - 1`` digits, a row for each dimension."""
+        return np.where((self.digits >= low) & (self.digits < end), self.x, 0).T.copy()
+
+    def top(self, queries: np.ndarray, k: int, own: np.ndarray):
+        """For each query (rows, scores) of every possible member of its top k: all with a score
+        at or above the k-th best, without row ``own`` (-1: none)."""
+        step = max(1, TILE // max(1, len(self.x)))
+        for at in range(0, len(queries), step):
+            yield from self._tile(queries[at:at + step], k, own[at:at + step])
+
+    def _tile(self, queries: np.ndarray, k: int, own: np.ndarray) -> list:
+        n, kind = self.x.shape[0], self.x.dtype
+        if n - 1 <= k:
+            every = [np.flatnonzero(np.arange(n) != o) for o in own]
+            return [(rows, self.x[rows] @ q) for rows, q in zip(every, queries.astype(kind))]
+        found = [None] * len(queries)
+        live = np.arange(len(queries))
+        q, size = queries.astype(kind), np.abs(queries)
+        a = digits(size)
+        acc = np.zeros((len(q), n), kind)
+        end = int(a.max(initial=0)) + self.most + 1
+        for level in range(max(0, end - 2), -2, -2):
+            level = max(level, 0)
+            parts = [(d, max(1, level - d), min(self.most + 1, end - d)) for d in np.unique(a[a > 0]).tolist()]
+            parts = [p for p in parts if p[1] < p[2]]
+            if parts:
+                acc += (np.concatenate([np.where(a == d, q, 0) for d, _, _ in parts], axis=1)
+                        @ np.concatenate([self.segments(low, top) for _, low, top in parts]))
+                mine = np.flatnonzero(own >= 0)
+                acc[mine, own[mine]] = self.least
+            end = level
+            left = np.minimum((1 << np.clip(level - 1 - a, 0, 61)) - 1, self.high)
+            rest = (size * left).sum(1)
+            # no proof is near while more may come than the best one has
+            tried = np.flatnonzero(rest <= acc.max(1)) if level else np.arange(len(q))
+            done = np.zeros(len(q), bool)
+            if len(tried):
+                lead = np.argpartition(acc[tried], n - k, axis=1)[:, n - k:]
+                exact = np.einsum("bkd,bd->bk", self.x[lead], q[tried])   # k exact scores: a proven bar
+                bar = exact.min(1).astype(np.int64)
+                may = acc[tried] >= (bar - rest[tried])[:, None].astype(kind)
+                few = (may.sum(1) <= max(4 * k, RESCORE * n)) | (level == 0)
+                for i in np.flatnonzero(few).tolist():
+                    rows = np.flatnonzero(may[i])
+                    scores = self.x[rows] @ q[tried[i]]
+                    keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                    found[live[tried[i]]] = rows[keep], scores[keep]
+                done[tried[few]] = True
+            if done.all():
                 break
-        scores = self.x[rows] @ q
-        bar = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = scores >= bar
-        return rows[keep], scores[keep]
+            if done.any():
+                live, q, size, a, acc, own = (z[~done] for z in (live, q, size, a, acc, own))
+        return found
 
 
 def top_k(df: DataFrame, queries, k: int = 20, id_col: str = "vec_id",
@@ -126,7 +152,8 @@ def top_k(df: DataFrame, queries, k: int = 20, id_col: str = "vec_id",
     asks = vec.filter(queries(F.col("id")))
     per = (vec.groupBy("dim").agg(F.count("*").alias("n"))
            .join(asks.groupBy("dim").agg(F.count("*").alias("nq")), "dim")
-           .select("dim", "n", F.ceil(F.col("n") / SHARD).cast("int").alias("shards"),
+           .select("dim", "n", F.ceil(F.greatest(F.col("n") / SHARD, F.col("n") * F.col("dim") / SHARD_ENTRIES))
+                   .cast("int").alias("shards"),
                    F.ceil(F.col("nq") / QUERIES).cast("int").alias("blocks")))
     per = cut(per, "vector-lengths")
     hot = heavy_keys(per, "dim", "n")
@@ -150,16 +177,14 @@ def top_k(df: DataFrame, queries, k: int = 20, id_col: str = "vec_id",
         out = []
         if len(qs) and len(cs):
             x, y = mat(cs["q"]), mat(qs["q"])
-            big = float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) * dim
-            if big >= 2.0 ** 62:
-                raise OverflowError("scores must fit 64 bits")
-            index = ImpactIndex(x)
+            index = ImpactIndex(x, int(np.abs(y).max(initial=0)))
             # ids stay integers beside missing ones, which come last
             ids, none = cs["id"].fill_null((1 << 63) - 1).to_numpy(), cs["id"].is_null().to_numpy()
             uid = cs["uid"].to_numpy()
             place = {u: i for i, u in enumerate(uid.tolist())}
-            for u, name, q in zip(qs["uid"].to_pylist(), qs["id"].to_pylist(), y):
-                rows, score = index.top(q, k, place.get(u, -1))
+            own = np.array([place.get(u, -1) for u in qs["uid"].to_pylist()], np.int64)
+            for u, name, (rows, score) in zip(qs["uid"].to_pylist(), qs["id"].to_pylist(), index.top(y, k, own)):
+                score = score.astype(np.int64)
                 best = np.lexsort((uid[rows], ids[rows], none[rows], -score))[:k]
                 n, at = len(best), rows[best]
                 out.append([pa.array([u] * n, pa.int64()), pa.array([name] * n, pa.int64()), pa.array(uid[at]),
