@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import re
 from collections import defaultdict
 
 import pytest
@@ -11,7 +12,8 @@ SF = "/root/testdata/sf0.001"
 
 
 def brute_lines(rows, min_chars=20, min_docs=3):
-    from txgraph.llm.line_dedup import line_key
+    def line_key(line):
+        return re.sub("[A-Z]", lambda m: m[0].lower(), re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", line))
 
     seen = defaultdict(set)
     for d, t in rows:
@@ -56,6 +58,14 @@ def test_runs_merge_and_anti_join(spark):
     store.add(batch([(4, 12, 0)]))
     assert pairs(store.repeated(2), "h1", "n_docs", "max_doc") == [(10, 3, 3), (12, 2, 4)]
     assert pairs(store.repeated(3), "h1", "n_docs", "max_doc") == [(10, 3, 3)]
+    # runs hold a key once, with its first batch's counts; later ones left sightings
+    rows = [r for run in store.runs() for r in run.collect()]
+    assert sorted((r.h1, r.n_docs, r.max_doc) for r in rows) == [(10, 2, 2), (11, 1, 1), (12, 1, 3)]
+    assert [pairs(s, "h1", "n_docs", "max_doc") for s in store.sightings] == [[(10, 1, 3)], [(12, 1, 4)]]
+    plan = store._merged([n for level in store.levels for n in level])._jdf.queryExecution().toString()
+    assert "Exchange" not in plan.split("Physical Plan")[-1]
+    store.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
 
 
 def pages(spark):

@@ -1,12 +1,13 @@
 """Operator 10, line dedup: levelled sorted runs of line hashes.
 
-``LineRuns`` is a store of runs. A run is a table (h1, h2, n_docs, max_doc, seen) bucketed
-and sorted by the line's 128-bit hash, so that runs merge-join without a shuffle. ``add``
-takes a batch of documents, merge-anti-joins its hashes with every run (``seen`` says which
-were there already) and adds the batch as a run of level 0; ``fanout`` runs of one level
-are compacted into one of the next. As a document belongs to one batch, counts add up and
-the newest document is a maximum. Runs are written tables in the shared folder: a lost
-executor costs no more than its tasks.
+``LineRuns`` is a store of runs. A run is a table (h1, h2, n_docs, max_doc) bucketed and sorted
+by the line's 128-bit hash, so that runs merge-join without a shuffle; a key stands in one run
+only. ``add`` sorts the hashes of a batch likewise and merge-anti-joins them with every run: keys
+that no run has are added as a run of level 0, with the batch's counts; the others only leave
+a sighting (h1, h2, n_docs, max_doc). ``fanout`` runs of one level are compacted into one of the
+next. As a document belongs to one batch, the counts of a key's row and its sightings add up and
+the newest document is a maximum; keys without a sighting have all they need in their row. All
+are written tables in the shared folder: a lost executor costs no more than its tasks.
 
 ``dedup_lines`` feeds a corpus through the store in ``batches`` batches and drops every
 line whose key is found in ``min_docs`` or more documents, except in the largest document
@@ -24,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import string
 import uuid
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +36,7 @@ from txgraph.llm.common import cut, shared_folder, ship
 BLANKS = " \t\n\x0b\x0c\r"
 HEAVY_SHARE = 10_000
 _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
-_RUN = ["h1", "h2", "n_docs", "max_doc", "seen"]
+_RUN = ["h1", "h2", "n_docs", "max_doc"]
 
 
 def line_key(line: str) -> str:
@@ -82,15 +84,22 @@ class LineRuns:
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        self.sightings: list[DataFrame] = []
         self.folder = shared_folder(spark, "line-runs")
 
-    def _write(self, run: DataFrame) -> str:
+    def _write(self, rows: DataFrame, dealt: bool = False) -> str:
+        """A sorted table in buckets; rows that come from joins of such tables are dealt so."""
         name = f"line_run_{uuid.uuid4().hex}"
-        (run.select(*_RUN).repartition(self.buckets, "h1", "h2").write
+        rows = rows.select(*_RUN)
+        ((rows if dealt else rows.repartition(self.buckets, "h1", "h2")).write
          .bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
          .option("path", f"{self.folder}/{name}").saveAsTable(name))
         return name
 
+    def _forget(self, names: list[str]) -> None:
+        for n in names:
+            self.spark.sql(f"DROP TABLE {n}")       # the catalog's entry; the scratch files stay
+
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(n) for level in self.levels for n in level]
 
@@ -104,48 +113,53 @@ class LineRuns:
         """Add a batch of (doc, h1, h2); no document may be in two batches."""
         own = (hashes.distinct().groupBy("h1", "h2")
                .agg(F.count("*").alias("n_docs"), F.max("doc").alias("max_doc")))
-        if self.levels:
-            own = cut(own, "line-batch")
-            new = self.unseen(own).withColumn("seen", F.lit(False))
-            old = own.join(new.select("h1", "h2"), ["h1", "h2"], "left_anti")
-            own = new.unionByName(old.withColumn("seen", F.lit(True)))
-        else:
-            own = own.withColumn("seen", F.lit(False))
+        run = self._write(own)
+        if self.runs():
+            batch, run = run, self._write(self.unseen(self.spark.table(run)), dealt=True)
+            new = self.spark.table(run).select("h1", "h2")
+            self.sightings.append(cut(self.spark.table(batch).join(new, ["h1", "h2"], "left_anti"),
+                                      "line-sightings"))
+            self._forget([batch])
         if not self.levels:
             self.levels.append([])
-        self.levels[0].append(self._write(own))
+        self.levels[0].append(run)
         self._compact()
 
     def _compact(self) -> None:
         for k in range(len(self.levels)):
             if len(self.levels[k]) >= self.fanout:
                 old = self.levels[k]
-                name = self._write(self._merged(old))
+                name = self._write(self._merged(old), dealt=True)
                 if k + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[k + 1].append(name)
                 self.levels[k] = []
-                for n in old:
-                    self.spark.sql(f"DROP TABLE {n}")
+                self._forget(old)
 
     def _merged(self, names: list[str]) -> DataFrame:
-        """One row a key: the runs are merge-joined in order of their hashes, no shuffle."""
+        """The rows of all these runs, merged in order of their hashes, no shuffle."""
         out = self.spark.table(names[0]).select(*_RUN)
         for name in names[1:]:
             x, y = out.alias("x"), self.spark.table(name).alias("y")
-            n = (lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")))
             out = x.join(y, (F.col("x.h1") == F.col("y.h1")) & (F.col("x.h2") == F.col("y.h2")),
-                         "full_outer").select(
-                F.coalesce("x.h1", "y.h1").alias("h1"), F.coalesce("x.h2", "y.h2").alias("h2"),
-                (n("x.n_docs") + n("y.n_docs")).alias("n_docs"),
-                F.greatest("x.max_doc", "y.max_doc").alias("max_doc"),
-                (F.coalesce("x.seen", F.lit(True)) & F.coalesce("y.seen", F.lit(True))).alias("seen"))
+                         "full_outer").select(*(F.coalesce(f"x.{c}", f"y.{c}").alias(c) for c in _RUN))
         return out
 
     def repeated(self, min_docs: int) -> DataFrame:
         """(h1, h2, n_docs, max_doc) of the keys found in ``min_docs`` documents or more."""
-        names = [n for level in self.levels for n in level]
-        return self._merged(names).filter(F.col("n_docs") >= min_docs).drop("seen")
+        runs = reduce(DataFrame.unionByName, self.runs())
+        if self.sightings:
+            more = cut(reduce(DataFrame.unionByName, self.sightings).groupBy("h1", "h2")
+                       .agg(F.sum("n_docs").alias("more"), F.max("max_doc").alias("newest")), "line-sighted")
+            runs = reduce(DataFrame.unionByName, [r.join(more, ["h1", "h2"], "left") for r in self.runs()])
+            runs = runs.select("h1", "h2", (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs"),
+                               F.greatest("max_doc", "newest").alias("max_doc"))
+        return runs.filter(F.col("n_docs") >= min_docs).select(*_RUN)
+
+    def close(self) -> None:
+        """Take the runs out of the session's catalog."""
+        self._forget([n for level in self.levels for n in level])
+        self.levels = []
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -160,6 +174,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for i in range(batches):
         store.add(hashes.filter(F.col("batch") == i).select("doc", "h1", "h2"))
     dup = cut(store.repeated(min_docs), "line-repeats")
+    store.close()
 
     total = hashes.count()
     heavy_from = max(min_docs, total // HEAVY_SHARE + 1)    # so many keys at most: HEAVY_SHARE
