@@ -192,6 +192,24 @@ def test_audit_without_links_is_no_proof(spark, monkeypatch):
     assert N._recall(df, groups, none, 20, 0.98) > 0.95
 
 
+def test_whole_labels_return_no_pairs(spark, monkeypatch):
+    """Blocks of a dense group return a forest and counts, not its 19,900 pairs."""
+    from txgraph.llm import nn_descent as N
+
+    monkeypatch.setattr(N, "BLOCK", 64)
+    rng = np.random.default_rng(5)
+    rows = [(i, (np.ones(8) + 0.01 * rng.standard_normal(8)).tolist(), "a") for i in range(200)]
+    classes = (N.prepare(vectors(spark, rows), "vec_id", "embedding", "label")
+               .selectExpr("id AS node", "1L AS copies", "dim", "unit"))
+    sizes = spark.createDataFrame([(1, 200)], "comp bigint, n bigint")
+    out = N._compare_blocks(classes.selectExpr("node", "1L AS comp"), sizes, classes, 0.98, forest=True).toPandas()
+    blocks = 4 * 5 // 2                                   # four parts, each pair once
+    edges = out[out.other.notna()]
+    assert 199 <= len(edges) < blocks * 2 * 64
+    assert (out[out.links.notna()].groupby("node").links.sum() == 199).all()
+    assert len(set(brute_components(200, list(zip(edges.node, edges.other))))) == 1
+
+
 def test_vectors_empty(spark):
     from txgraph.llm import nn_descent as N
 

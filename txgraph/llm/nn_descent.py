@@ -17,7 +17,8 @@ Vectors of one label are compared by cosine in double precision:
    and up to ``AUDIT_MOST`` until ``EVIDENCE`` true links were seen, and vectors planted at
    the threshold beside audited classes must share a block with them, so a label without
    links is audited too. Below ``recall`` more tables are added and the descent goes on; if
-   ``ATTEMPTS`` do not suffice, each label is compared whole, in blocks;
+   ``ATTEMPTS`` do not suffice, each label is compared whole, in blocks, which return counts and
+   the edges of a spanning forest;
 5. links are the edges at the threshold. A list whose neighbours all reach it is saturated:
    it is enlarged to its whole component, whose classes are compared block by block. Only
    counts leave those tasks, never the pairs.
@@ -337,9 +338,10 @@ def _components(edges: DataFrame, threshold: float) -> DataFrame:
 
 
 def _compare_blocks(members: DataFrame, sizes: DataFrame, classes: DataFrame,
-                    threshold: float, pairs: bool) -> DataFrame:
-    """All classes of a group (``members``: node, comp) compared, block by block: how many
-    vectors each links with, (node, links) a block, or with ``pairs`` the links (u, v, sim)."""
+                    threshold: float, forest: bool) -> DataFrame:
+    """All classes of a group (``members``: node, comp) compared, block by block: rows (node,
+    links) say how many vectors of a block each links with; with ``forest`` rows (node, other)
+    besides connect what a block's links connect, fewer than it has classes."""
     hot = heavy_keys(sizes, "comp", "n")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = (split_join(members, sizes, "comp", hot).withColumn("parts", parts)
@@ -359,18 +361,19 @@ def _compare_blocks(members: DataFrame, sizes: DataFrame, classes: DataFrame,
             xn, yn = x.node.to_numpy(), y.node.to_numpy()
             sim = _stack(x.unit, int(d)) @ _stack(y.unit, int(d)).T
             hit = (sim >= threshold) & (xn[:, None] != yn[None, :])
-            if pairs:
-                i, j = np.nonzero(hit)
-                out.append(pd.DataFrame({"u": xn[i], "v": yn[j], "sim": sim[i, j]}))
-            else:
-                out.append(pd.DataFrame({"node": xn, "links": hit @ y.copies.to_numpy().astype(np.int64)}))
-        if out:
-            return pd.concat(out)
-        return (pd.DataFrame({"u": [], "v": [], "sim": []}).astype({"u": "int64", "v": "int64"})
-                if pairs else pd.DataFrame({"node": [], "links": []}).astype("int64"))
+            out.append(pd.DataFrame({"node": xn, "links": hit @ y.copies.to_numpy().astype(np.int64)}))
+            if forest and p.i.iloc[0] <= p.j.iloc[0]:       # the block of j and i has the same links
+                every, at = np.unique(np.concatenate((xn, yn)), return_inverse=True)
+                near = np.zeros((len(every), len(every)), bool)
+                near[np.ix_(at[:len(xn)], at[len(xn):])] = hit
+                i, j = _forest(near | near.T)
+                out.append(pd.DataFrame({"node": every[i], "other": every[j]}))
+        if not out:
+            return pd.DataFrame({"node": [], "links": [], "other": []}).astype("Int64")
+        return pd.concat(out).reindex(columns=["node", "links", "other"]).astype("Int64")
 
     return (left.unionByName(right).groupBy("comp", "i", "j").applyInPandas(
-        compare, "u bigint, v bigint, sim double" if pairs else "node bigint, links bigint"))
+        compare, "node bigint, links bigint, other bigint"))
 
 
 def vector_near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -400,25 +403,33 @@ def vector_near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str =
             break
 
     if found < recall:      # compare each label whole
-        edges = cut(_compare_blocks(
+        counted = cut(_compare_blocks(
             classes.select("node", F.col("g").alias("comp")),
             groups.select(F.col("g").alias("comp"), F.col("size").alias("n")),
-            classes, threshold, pairs=True), "all-links")
-    links = cut(edges.filter(F.col("sim") >= threshold).select("u", "v"), "links")
-    comp = cut(_components(edges, threshold), "vector-components")
-    full = _saturated(links, comp).withColumnRenamed("component", "comp")
-    sizes = cut(comp.groupBy(F.col("component").alias("comp")).agg(F.count("*").alias("n"))
-                .join(full, "comp"), "saturated")
-    listed = (links.join(classes.select(F.col("node").alias("v"), "copies"), "v")
-              .groupBy(F.col("u").alias("node")).agg(F.sum("copies").alias("links")))
-    exact = (_compare_blocks(comp.select("node", F.col("component").alias("comp")), sizes, classes,
-                             threshold, pairs=False)
-             .groupBy("node").agg(F.sum("links").alias("exact")))
-    n = (classes.join(comp, "node", "left").join(listed, "node", "left")
-         .join(exact, "node", "left")
+            classes, threshold, forest=True), "label-links")
+        comp = cut(connected_components(
+            counted.filter("other IS NOT NULL").select(F.col("node").alias("src"), F.col("other").alias("dst")))
+            .withColumnRenamed("id", "node"), "vector-components")
+        n = classes.join(comp, "node", "left").withColumn("listed", F.lit(None).cast("bigint"))
+    else:
+        links = cut(edges.filter(F.col("sim") >= threshold).select("u", "v"), "links")
+        comp = cut(_components(edges, threshold), "vector-components")
+        full = _saturated(links, comp).withColumnRenamed("component", "comp")
+        sizes = cut(comp.groupBy(F.col("component").alias("comp")).agg(F.count("*").alias("n"))
+                    .join(full, "comp"), "saturated")
+        counted = _compare_blocks(comp.select("node", F.col("component").alias("comp")), sizes, classes,
+                                  threshold, forest=False)
+        # outside of these every class lists all its links, fewer than LIST
+        inside = comp.join(sizes, F.col("component") == F.col("comp"), "left_semi").select(F.col("node").alias("u"))
+        listed = (cut(links.join(inside, "u", "left_anti"), "listed-links")
+                  .join(classes.select(F.col("node").alias("v"), "copies"), "v")
+                  .groupBy(F.col("u").alias("node")).agg(F.sum("copies").alias("listed")))
+        n = classes.join(comp, "node", "left").join(listed, "node", "left")
+    exact = counted.groupBy("node").agg(F.sum("links").alias("exact"))
+    n = (n.join(exact, "node", "left")
          .select("label", "dim", "h1", "h2", "copies", "least", "node",
                  F.coalesce("component", "node").alias("component"),
-                 (F.col("copies") - 1 + F.coalesce("exact", "links", F.lit(0))).alias("n_links")))
+                 (F.col("copies") - 1 + F.coalesce("exact", "listed", F.lit(0))).alias("n_links")))
     n = cut(n, "class-links")
     name = n.groupBy("component").agg(F.min("least").alias("name"), F.count("*").alias("size"))
     name = cut(name, "component-names")
