@@ -207,7 +207,7 @@ def test_whole_labels_return_no_pairs(spark, monkeypatch):
     edges = out[out.other.notna()]
     assert 199 <= len(edges) < blocks * 2 * 64
     assert (out[out.links.notna()].groupby("node").links.sum() == 199).all()
-    assert len(set(brute_components(200, list(zip(edges.node, edges.other))))) == 1
+    assert len(set(brute_components(200, list(zip(edges.node.astype(int), edges.other.astype(int)))))) == 1
 
 
 def test_vectors_empty(spark):
