@@ -218,3 +218,29 @@ def test_dedup_is_partial_aggregate(spark):
 
     plan = dedup_last_wins(fx.transactions(spark, SF))._jdf.queryExecution().sparkPlan().toString()
     assert "partial_min" in plan
+
+
+def test_queries_name_what_exists():
+    """Every registered query's code, its helpers included, refers to names of its module."""
+    import builtins
+    import dis
+    import types
+
+    from txgraph.plans import catalog
+
+    def named(code):
+        for c in code.co_consts:
+            if isinstance(c, types.CodeType):
+                yield from named(c)
+        yield from (i.argval for i in dis.get_instructions(code) if i.opname == "LOAD_GLOBAL")
+
+    for query, fn in catalog.QUERIES.items():
+        todo, seen = [fn], set()
+        while todo:
+            f = todo.pop()
+            for n in named(f.__code__):
+                assert hasattr(catalog, n) or hasattr(builtins, n), f"{query}: {n} is not defined"
+                g = getattr(catalog, n, None)
+                if isinstance(g, types.FunctionType) and g.__module__ == catalog.__name__ and n not in seen:
+                    seen.add(n)
+                    todo.append(g)
