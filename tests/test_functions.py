@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from txgraph.functions import hex_quantity, long_to_hex, pairs, strip_0x
+from txgraph.functions import hex_quantity, hex_to_long, long_to_hex, pairs, strip_0x
 
 MAX = 9223372036854775807
 
@@ -55,3 +55,19 @@ def test_total_of_odd_large_sum_is_exact(spark):
     t = 3 * (2 ** 60 + 1)
     tpv = spark.createDataFrame([(1, t - 5), (2, 5)], "id bigint, t bigint")
     assert triangle_total(None, tpv).first()[0] == 2 ** 60 + 1
+
+
+def test_hex_text_is_looked_at_once(spark):
+    """No regular expressions, and the text is trimmed once a value, not once a mention."""
+    df = spark.createDataFrame([("0xff",)], "t string").select(hex_quantity("t").alias("v"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "rlike" not in plan and "regexp" not in plan
+    assert plan.count("trim(both") + plan.count("btrim(") <= 1
+
+
+def test_hex_odd_text(spark):
+    cases = {"\x00 \x1fff\t": 255, "+-1": MAX, "- 1": MAX, "é": MAX, "１": MAX, " 1": MAX, "-0": 0, "0" * 40: 0,
+             "+": MAX, "": MAX, "0" * 30 + "8000000000000000": MAX, "-08000000000000000": -MAX - 1,
+             "-8000000000000001": MAX, "fffffffffffffff": 0xfffffffffffffff}
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert dict(df.select("t", hex_to_long("t").alias("v")).collect()) == cases
