@@ -244,3 +244,25 @@ def test_queries_name_what_exists():
                 if isinstance(g, types.FunctionType) and g.__module__ == catalog.__name__ and n not in seen:
                     seen.add(n)
                     todo.append(g)
+
+
+def test_hard_lines_read_the_table_once(spark):
+    from txgraph.plans import fixtures as fx
+    from txgraph.plans import payloads as P
+
+    plan = P.hard_v2_lines(fx.transactions(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 1
+
+
+def test_stream_bases_stay_in_proportion(spark, tmp_path):
+    """Eight triggers rewrite the base as it doubles (1, 3, 7), not every second time."""
+    from txgraph.streaming.blocks import read_stream_blocks, stream_blocks
+
+    for i in range(8):
+        (spark.range(1).selectExpr(
+            f"""'{{"result":{{"number":"0x{i}","transactions":[{{"hash":"0x{i}a","from":"0x1","to":"0x2",'"""
+            """ || '"value":"0x5"}]}}' AS value""").coalesce(1).write.mode("append").text(f"{tmp_path}/in"))
+    stream_blocks(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state",
+                  max_files_per_trigger=1, compact=2).awaitTermination()
+    assert sorted(os.listdir(f"{tmp_path}/out/base")) == ["upto=1", "upto=3", "upto=7"]
+    assert read_stream_blocks(spark, f"{tmp_path}/out").count() == 8
