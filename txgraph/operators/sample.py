@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from txgraph.session import cut
+from txgraph.operators.written import write
 
 TX_COLS = ("hash", "src", "dst", "value", "height")
 
@@ -97,18 +97,21 @@ def snowball_sample(tx: DataFrame, seed_height: int, seed_count: int = 5,
     height >= ``seed_height``. Each hop takes the addresses of the transactions reached
     in the previous hop that were not expanded yet, and adds each address's
     ``fanout`` latest transactions not reached yet. ``hop`` is the hop that first
-    reached the transaction. A hop first cuts the table down to the rows incident to its
-    frontier, then ranks those; every hop's state is checkpointed; the visited sets stay
+    reached the transaction. The table is written once; a hop first cuts it down to the rows
+    incident to its frontier, then ranks those; every hop's state is a written table, whose size
+    Spark knows, so a small frontier is broadcast and the table not shuffled; the visited sets stay
     distributed (anti-joins). ``hash`` identifies a transaction: rows must not repeat.
 
     ``incident``: a function from ``(address)`` rows to the rows ``(address, *TX_COLS)`` incident to
     them, such as a stored index (``sources.store.read_incidence``), read instead of ``tx``.
     """
-    h0 = seed_block(tx, seed_height)
     base = tx.select(*TX_COLS)
+    if incident is None:
+        base, _ = write(base)
+    h0 = seed_block(base, seed_height)
     if h0 is None:
         return base.limit(0).withColumn("hop", F.lit(0).cast("int"))
-    frontier = cut(base.filter(F.col("height") == h0).orderBy("hash").limit(seed_count))
+    frontier, _ = write(base.filter(F.col("height") == h0).orderBy("hash").limit(seed_count))
     reached = frontier.withColumn("hop", F.lit(0))
     seen = None
     for hop in range(1, hops + 1):
@@ -116,13 +119,13 @@ def snowball_sample(tx: DataFrame, seed_height: int, seed_count: int = 5,
             frontier.select(F.col("dst").alias("address"))).distinct()
         if seen is not None:
             addrs = addrs.join(seen, "address", "left_anti")
-        addrs = cut(addrs)
-        seen = addrs if seen is None else cut(seen.unionByName(addrs))
+        addrs, _ = write(addrs)
+        seen = addrs if seen is None else seen.unionByName(addrs)
         latest = incidence_top(base, fanout, addrs) if incident is None else _latest(incident(addrs), fanout)
         new = (
             latest.select(*TX_COLS).distinct()
             .join(reached.select("hash"), "hash", "left_anti")
         )
-        frontier = cut(new)
-        reached = cut(reached.unionByName(frontier.withColumn("hop", F.lit(hop))))
+        frontier, _ = write(new)
+        reached = reached.unionByName(frontier.withColumn("hop", F.lit(hop)))
     return reached
