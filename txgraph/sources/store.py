@@ -35,7 +35,7 @@ def write_tx_table(tx: DataFrame, path: str, band: int = 100, partitions: int |
     n = _parts(tx.sparkSession, partitions)
     (tx.withColumn("band", F.floor(F.col("height") / band).cast("bigint"))
      .repartitionByRange(n, "height", "hash").sortWithinPartitions("height", "hash")
-     .write.partitionBy("band").parquet(path))
+     .write.partitionBy("band").parquet(path, compression="zstd"))
 
 
 def read_tx_range(spark: SparkSession, path: str, lo: int, hi: int, band: int = 100) -> DataFrame:
@@ -59,7 +59,7 @@ def write_incidence(tx: DataFrame, path: str, buckets: int = 64, partitions: int
     (sent.unionByName(got).filter(F.col("address").isNotNull())
      .withColumn("bucket", bucket_of("address", buckets))
      .repartitionByRange(_parts(tx.sparkSession, partitions), *key).sortWithinPartitions(*key)
-     .write.partitionBy("bucket").parquet(path))
+     .write.partitionBy("bucket").parquet(path, compression="zstd"))
 
 
 def read_incidence(spark: SparkSession, path: str, addresses: DataFrame, buckets: int = 64) -> DataFrame:
