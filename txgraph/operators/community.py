@@ -69,17 +69,17 @@ def label_propagation(edges: DataFrame, max_steps: int = 5,
     tables, which a small set of changes meets by broadcast. Large joins are plain shuffles,
     where the adaptive skew split deals the rows of hubs.
     """
-    w, rows = write(message_weights(edges))
-    labels, n = write(vertex_ids(edges, vertices).select("id", F.col("id").alias("label")))
+    w, _ = write(message_weights(edges))
+    labels, _ = write(vertex_ids(edges, vertices).select("id", F.col("id").alias("label")))
     best = best_labels(w.select("t", F.col("f").alias("label"), F.col("w").alias("n")))
     changes: list[DataFrame] = []
     for step in range(max_steps + 1):
         if step:
-            change, _ = write(histogram_change(w, moved), 2 * rows)
+            change, _ = write(histogram_change(w, moved))
             changes.append(change)
             best = best_labels(touched_histograms(w, changes))
         labels, moves = write(labels.join(best, "id", "left").select(
-            "id", F.coalesce("new", "label").alias("label"), F.col("label").alias("old")), n,
+            "id", F.coalesce("new", "label").alias("label"), F.col("label").alias("old")),
             F.col("label") != F.col("old"))
         if not moves:
             break

@@ -18,7 +18,7 @@ All state is written tables in the shared folder, so a lost executor costs its t
 their known sizes let small ones be broadcast by Spark. Every join is between two plainly
 shuffled tables, so Spark's adaptive skew split deals a hub's rows over several tasks when,
 and only when, its partition exceeds the configured share. Minima and ``distinct`` combine
-map-side. Small tables lie in few parts. Per round the driver learns one number, the edges left.
+map-side. Per round the driver learns one number, the edges left.
 """
 
 from __future__ import annotations
@@ -29,7 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txgraph.operators.build import induced_edges
-from txgraph.operators.written import ROWS_A_PART, write
+from txgraph.operators.written import write
+
+# An edge table of fewer rows is small: what is made of it is not worth a table of its own.
+SMALL_ROWS = 200_000
+
 
 def _salt(rnd: int) -> int:
     return random.Random(rnd).getrandbits(64) - (1 << 63)
@@ -80,13 +84,13 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
     while rows:
         salt = _salt(len(maps))
         r = followed(nearest(e, salt), salt)
-        if rows > ROWS_A_PART:      # read twice: worth a table of its own unless small
-            r, _ = write(r, 2 * rows)
-        r, ends = write(jumped(r), 2 * rows)
+        if rows > SMALL_ROWS:       # read twice: worth a table of its own unless small
+            r, _ = write(r)
+        r, ends = write(jumped(r))
         if not ends:
             break
         maps.append(r)
-        e, rows = write(contracted(e, r), rows)
+        e, rows = write(contracted(e, r))
     others = lone if vertices is None else lone.unionByName(vertices.select("id")).filter(
         F.col("id").isNotNull()).distinct()
     if not maps:

@@ -30,7 +30,7 @@ def oriented_edges(edges: DataFrame) -> DataFrame:
     ``(lo, hi, dhi)``, a written table. Degrees are those before the last trimming."""
     u, rows = write(simple_edges(edges))
     while True:
-        deg, _ = write(u.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count(), 2 * rows)
+        deg, _ = write(u.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count())
         x = u.join(deg.select(F.col("id").alias("a"), F.col("count").alias("da")), "a").join(
             deg.select(F.col("id").alias("b"), F.col("count").alias("db")), "b").filter(
             (F.col("da") > 1) & (F.col("db") > 1))
@@ -39,7 +39,7 @@ def oriented_edges(edges: DataFrame) -> DataFrame:
         o, left = write(x.select(
             F.when(a_low, F.col("a")).otherwise(F.col("b")).alias("lo"),
             F.when(a_low, F.col("b")).otherwise(F.col("a")).alias("hi"),
-            F.when(a_low, F.col("db")).otherwise(F.col("da")).alias("dhi")), rows)
+            F.when(a_low, F.col("db")).otherwise(F.col("da")).alias("dhi")))
         if 3 * left > 2 * rows or not left:
             return o
         u, rows = o.select(F.least("lo", "hi").alias("a"), F.greatest("lo", "hi").alias("b")), left

@@ -1,4 +1,6 @@
-"""Written tables between the steps of an operator, in parts that follow their size.
+"""Written tables between the steps of an operator, in parts that follow their size: Spark's
+adaptive coalescing reads a small shuffle in few partitions, each with one sort and one hash table.
+(``coalesce`` would run those of all its partitions in one task, one after the other.)
 
 A step's result that is read again is written once as Parquet into the shared folder: a lost
 executor costs its tasks only, and Spark knows the size. Joins between such tables are planned
@@ -14,21 +16,11 @@ from pyspark.sql import functions as F
 
 from txgraph.session import cut_table
 
-# Rows for each part of a written table, until there are as many parts as a shuffle has.
-ROWS_A_PART = 200_000
 
-
-def parts_for(df: DataFrame, rows: int) -> int:
-    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(most, -(-rows // ROWS_A_PART)))
-
-
-def write(df: DataFrame, most_rows: int | None = None, count=None) -> tuple[DataFrame, int]:
+def write(df: DataFrame, count=None) -> tuple[DataFrame, int]:
     """The written table and its number of rows (or of those where ``count`` holds), counted on
-    the way: 0 only when there is none. ``most_rows``: a bound that sets the number of parts."""
+    the way: 0 only when there is none."""
     seen = Observation()
-    if most_rows is not None:
-        df = df.coalesce(parts_for(df, most_rows))
     n = F.count(F.lit(1)) if count is None else F.count_if(count)
     out = cut_table(df.observe(seen, n.alias("rows")))
     return out, seen.get["rows"]
