@@ -265,6 +265,26 @@ def test_license_families_against_brute_force(spark):
     assert all(got[i].families == "" for i, _ in plain)
 
 
+def test_licence_model_and_threshold_come_from_the_whole_corpus(spark):
+    """A model of 700 documents follows those beyond the first 400 by hash, too."""
+    from pyspark.sql import functions as F
+
+    from txgraph.llm import licenses as L
+
+    df = spark.range(700).select(F.col("id").alias("doc_id"), F.concat(
+        F.lit("the story of the garden number "), F.col("id")).alias("text"))
+    late = df.orderBy(F.xxhash64("text"), "text").collect()[400].text
+    hard = [r.text for r in spark.range(4000).select(F.concat(F.lit("a license of the general public was renewed under terms about gardens and rivers number "), F.col("id")).alias(
+        "text")).filter(F.xxhash64("text") > F.xxhash64(F.lit(late))).limit(200).collect()]
+    more = df.unionByName(documents(spark, [(1000 + i, t) for i, t in enumerate(hard)]).select("doc_id", "text"))
+    assert L.plain_features(more, "text").agg(F.sum("n")).first()[0] == 900
+    a, b = (L.fit(x)[0].coefficientMatrix.toArray() for x in (df, more))
+    assert abs(a - b).max() > 1e-3
+    rows = spark.createDataFrame([(0.9, 3), (0.7, 2), (0.61234, 5), (0.1, 990)], "best double, n bigint")
+    assert L.least_probability(rows, 0.005) == pytest.approx(0.6124)
+    assert L.least_probability(rows, 0.01) == pytest.approx(0.1001)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
 @pytest.mark.parametrize("name", ["op3_url_filter", "op4_topk", "op10_line_dedup", "op11_decontaminate"])
 def test_sql(spark, name):

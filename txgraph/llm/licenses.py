@@ -6,14 +6,16 @@ notices are usually hard-wrapped; before its last line a run has fewer than ``SP
 those of the longest template, however short the lines are. A text holds a template if it
 has ``contained`` of its bigrams and what tells its family from others with much the same notice
 (``TELLS``: *Affero*, the number of a version). A sparse multinomial logistic regression over
-hashed word unigrams and bigrams says which licence family a paragraph states, or none: training
-rows are variants of the templates below (words dropped by hash), ordinary sentences about
-licences, rights and permissions, and paragraphs of at most ``max_docs`` documents of the
-corpus, hard ones that share words with templates included, unless they hold half of a template
-or half of their own bigrams are a template's (a torn-off line of a notice). The unknown class is
-calibrated on variants and paragraphs held back from training: the least probability that a
-family needs is set so that at most ``false_share`` of the held-back ordinary paragraphs reach it. A prediction counts as
-confirmed if the paragraph holds a template of its family.
+hashed word unigrams and bigrams, those that the texts below have, says which licence family a
+paragraph states, or none: training rows are variants of the templates below (words dropped by
+hash), ordinary sentences about licences, rights and permissions, and every paragraph of the
+corpus, unless it holds half of a template or half of its own bigrams are a template's (a torn-off
+line of a notice). Paragraphs with the same features are one training row with their number as
+its weight; together they weigh ``plain_weight`` rows at most, so that the templates keep their
+share. The unknown class is calibrated on the fifth of variants and paragraphs held back from
+training: the least probability that a family needs is set so that at most ``false_share`` of the
+held-back ordinary paragraphs reach it. A prediction counts as confirmed if the paragraph holds a
+template of its family.
 
 DataFrame functions and Spark ML's own estimators only; no Python runs on executors.
 
@@ -126,7 +128,9 @@ ORDINARY = (
 )
 UNKNOWN = "none"
 FAMILIES = (UNKNOWN, *TEMPLATES)
-FEATURES = 1 << 13
+FEATURES = 1 << 16
+# Steps of the least probability.
+STEPS = 10_000
 # Words before the last line of a run: twice those of the longest template.
 SPAN = 2 * max(len(t.split()) for texts in TEMPLATES.values() for t in texts)
 # Words and bigrams that tell a family from others with much the same notice; a
@@ -148,11 +152,16 @@ def words(text):
 
 
 def with_features(df: DataFrame) -> DataFrame:
-    """Adds ``bigrams`` and the sparse vector ``features`` to rows with ``words``."""
+    """Adds ``bigrams``, the ``grams`` that the known texts have too and their sparse vector
+    ``features`` to rows with ``words``."""
     df = NGram(n=2, inputCol="words", outputCol="bigrams").transform(df)
-    df = df.withColumn("grams", F.concat("words", "bigrams"))
-    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams",
-                     outputCol="features").transform(df).drop("grams")
+    known = vocabulary()
+    return hashed(df.withColumn("grams", F.array_distinct(F.filter(
+        F.concat("words", "bigrams"), lambda g: g.isin(known)))))
+
+
+def hashed(df: DataFrame) -> DataFrame:
+    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features").transform(df)
 
 
 def _template_rows(spark: SparkSession) -> DataFrame:
@@ -171,6 +180,12 @@ def _variants(templates: DataFrame, count: int) -> DataFrame:
             .select("family", "words", F.pmod(F.xxhash64("id", "variant"), F.lit(5)).alias("fold")))
 
 
+def vocabulary() -> list[str]:
+    """The words and bigrams of the fixed texts."""
+    rows = _template_rows(SparkSession.getActiveSession()).select("words").collect()
+    return sorted({g for r in rows for g in [*r.words, *(f"{a} {b}" for a, b in zip(r.words, r.words[1:]))]})
+
+
 def known_templates() -> list[tuple[str, list[str]]]:
     """(family, bigrams) of the fixed templates."""
     rows = (_template_rows(SparkSession.getActiveSession()).filter(F.col("family") != UNKNOWN)
@@ -284,30 +299,55 @@ def paragraphs(df: DataFrame, contained: float | None = None) -> DataFrame:
         *[c for c in df.columns if c != "text"], "unit.line", "unit.words")
 
 
-def fit(df: DataFrame, text_col: str = "text", max_docs: int = 400, max_paragraphs: int = 4000,
+def plain_features(df: DataFrame, text_col: str) -> DataFrame:
+    """``(grams, fold, n)``: how many ordinary paragraphs of the corpus have the same known grams."""
+    known = [F.array(*map(F.lit, g)) for _, g in known_templates()]
+    lines = paragraphs(df.select(F.lower(F.col(text_col).cast("string")).alias("text")).filter("text is not null"))
+    rows = with_features(lines.filter(F.size("words") > 0)).drop("features")
+
+    def torn(x):
+        out = F.lit(False)
+        for g in known:
+            half = F.least(F.size(g), x["most"])
+            out = out | ((F.size(x["own"]) * 2 >= half)      # else no need to look which they are
+                         & (F.size(F.array_intersect(g, x["own"])) * 2 >= half))
+        return out
+
+    own = F.filter("grams", lambda g: F.contains(g, F.lit(" ")))
+    here = F.struct(own.alias("own"), F.greatest(F.size("bigrams"), F.lit(1)).alias("most"))
+    rows = rows.filter(~_let(here, torn))
+    return rows.select(F.array_sort("grams").alias("grams"), F.pmod(F.xxhash64("words"), F.lit(5)).alias("fold")).groupBy(
+        "grams", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+def least_probability(held: DataFrame, false_share: float) -> float:
+    """The least probability, in steps, that at most ``false_share`` of the rows ``(best, n)``, each
+    counted ``n`` times, reach. The driver learns one number a step."""
+    steps = held.groupBy(F.floor(F.col("best") * STEPS).alias("step")).agg(F.sum("n").alias("n")).collect()
+    left = false_share * sum(r.n for r in steps)
+    for r in sorted(steps, key=lambda r: -r.step):
+        left -= r.n
+        if left < 0:
+            return (r.step + 1) / STEPS
+    return 0.0
+
+
+def fit(df: DataFrame, text_col: str = "text", plain_weight: int = 4000,
         variants: int = 40, false_share: float = 0.0005):
-    """(model, least probability) from the templates and a bounded draw of paragraphs."""
-    spark = df.sparkSession
-    templates = _template_rows(spark)
-    known = F.array(*[F.array(*map(F.lit, g)) for _, g in known_templates()])
-    drawn = (df.select(F.lower(F.col(text_col).cast("string")).alias("text")).filter("text is not null")
-             .orderBy(F.xxhash64("text"), "text").limit(max_docs))
-    plain = (with_features(paragraphs(drawn).filter(F.size("words") > 0))
-             .filter(~F.exists(known, lambda g: F.size(F.array_intersect("bigrams", g)) * 2
-                               >= F.least(F.size(g), F.greatest(F.size("bigrams"), F.lit(1)))))
-             .select(F.lit(UNKNOWN).alias("family"), "words",
-                     F.pmod(F.xxhash64("words"), F.lit(5)).alias("fold"))
-             .orderBy(F.xxhash64("words", F.lit(1))).limit(max_paragraphs))
+    """(model, least probability) from the templates and all paragraphs of the corpus."""
+    plain = cut(plain_features(df, text_col), "licence-plain")
+    total = plain.agg(F.sum("n").alias("n")).first().n or 0
+    texts = with_features(_variants(_template_rows(df.sparkSession), variants)).select(
+        "family", "grams", "fold", F.lit(1).cast("bigint").alias("n"), F.lit(1.0).alias("weight"))
     index = F.create_map(*[x for i, f in enumerate(FAMILIES) for x in (F.lit(f), F.lit(float(i)))])
-    rows = cut(_variants(templates, variants).unionByName(plain)
-               .withColumn("label", index[F.col("family")]), "licence-training")
-    rows = with_features(rows).select("label", "family", "features", "fold")
-    model = LogisticRegression(maxIter=30, regParam=1e-3, family="multinomial").fit(
+    rows = hashed(cut(texts.unionByName(plain.withColumn("family", F.lit(UNKNOWN)).withColumn(
+        "weight", F.col("n") * min(1.0, plain_weight / max(1, total)))).withColumn(
+        "label", index[F.col("family")]), "licence-training"))
+    model = LogisticRegression(maxIter=30, regParam=1e-3, family="multinomial", weightCol="weight").fit(
         rows.filter("fold <> 0"))
     held = model.transform(rows.filter((F.col("fold") == 0) & (F.col("family") == UNKNOWN)))
     best = F.array_max(F.slice(vector_to_array("probability"), 2, len(FAMILIES)))
-    q = held.agg(F.percentile(best, F.lit(1.0 - false_share)).alias("q")).first().q or 0.0
-    return model, min(0.95, max(0.5, q))
+    return model, min(0.95, max(0.5, least_probability(held.select(best.alias("best"), "n"), false_share)))
 
 
 def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
