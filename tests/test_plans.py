@@ -204,6 +204,22 @@ def test_trimming_keeps_all_triangles(spark):
     assert o.count() <= 1
 
 
+def test_wedges_travel_as_one_row_an_edge(spark):
+    """An edge carries its wedges in one array; the exploded rows are shuffled, never broadcast."""
+    from txgraph.operators import triangles as T
+
+    n = 40
+    clique = spark.createDataFrame([(i, j) for i in range(n) for j in range(i)], "src bigint, dst bigint")
+    near = {r.u: r.up for r in T.upper_neighbours(T.oriented_edges(clique)).collect()}
+    assert near == {u: list(range(u + 1, n)) for u in range(n - 1)}
+    found = T.closed_wedges(clique)
+    plan = _plan(found)
+    assert "Exchange hashpartitioning(v#" in plan and ", w#" not in plan.split("Exchange", 1)[1]
+    assert "Broadcast" not in plan
+    assert sorted(map(tuple, found.collect())) == [
+        (u, v, w) for u in range(n) for v in range(u + 1, n) for w in range(v + 1, n)]
+
+
 def test_top_k_per_address_limits_before_shuffle(spark):
     from txgraph.operators.sample import incidence_top
     from txgraph.plans import fixtures as fx

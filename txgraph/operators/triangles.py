@@ -5,15 +5,17 @@ Plan (Cohen 2009; Suri & Vassilvitskii 2011):
 1. simple edges ``U(a, b)``, written once, and their degrees; ends of degree 1 close nothing:
    their edges go, again and again as long as a round takes a third of the edges or more;
 2. orient every edge from the lower to the higher ``(degree, id)`` rank;
-3. two edges out of one vertex ``u`` make a wedge ``v - u - w``; it is a triangle if ``v -> w`` is an
-   oriented edge: a semi-join on ``(v, w)``. Every triangle is found exactly once, at its lowest
+3. collect the upper neighbours of each vertex, by rising rank. Two edges out of one vertex ``u``
+   make a wedge ``v - u - w``, so an edge ``u -> v`` carries those of ``u`` above ``v`` to ``v``; the
+   ones that ``v`` has too close a triangle. Every triangle is found exactly once, at its lowest
    corner.
 
-Under that orientation a vertex's out-degree is at most ``sqrt(2|U|)``: a hub's edges point
-*into* it, so no hub expands its own neighbour pairs, and the wedges are ``O(|U|^1.5)`` rows of
-three numbers. All sides are written tables: small ones are broadcast by Spark's size check (then
-wedges are not shuffled at all), larger ones are shuffled plainly, where the adaptive skew split
-deals the degree joins' hubs and a pair ``(v, w)`` of two hubs that a third of all vertices link to.
+Under that orientation a vertex's out-degree is at most ``sqrt(2|U|)``, which bounds every array: a
+hub's edges point *into* it, so no hub expands its own neighbour pairs. The wedges are ``O(|U|^1.5)``
+numbers in one row an edge; the nearer ``v`` is to the top, the fewer reach it. All sides are written
+tables. In the degree joins small ones are broadcast by Spark's size check; all else, the arrays too,
+is shuffled plainly, where the adaptive skew split deals the hubs of the degree joins and those that a
+third of all edges lead to.
 """
 
 from __future__ import annotations
@@ -45,15 +47,21 @@ def oriented_edges(edges: DataFrame) -> DataFrame:
         u, rows = o.select(F.least("lo", "hi").alias("a"), F.greatest("lo", "hi").alias("b")), left
 
 
+def upper_neighbours(o: DataFrame) -> DataFrame:
+    """``(u, up)``: the ends of the oriented edges out of ``u``, by rising (degree, id) rank."""
+    return o.groupBy(F.col("lo").alias("u")).agg(F.sort_array(F.collect_list(F.struct("dhi", "hi"))).alias("x")).select(
+        "u", F.col("x.hi").alias("up"))
+
+
 def closed_wedges(edges: DataFrame) -> DataFrame:
     """``(u, v, w)``: the triangles, corners by rising (degree, id) rank."""
-    o = oriented_edges(edges)
-    one = o.select(F.col("lo").alias("u"), F.col("hi").alias("v"), F.col("dhi").alias("dv"))
-    two = o.select(F.col("lo").alias("u"), F.col("hi").alias("w"), F.col("dhi").alias("dw"))
-    upward = (F.col("dv") < F.col("dw")) | ((F.col("dv") == F.col("dw")) & (F.col("v") < F.col("w")))
-    wedges = one.join(two, "u").filter(upward).select("u", "v", "w")
-    return wedges.join(o.select(F.col("lo").alias("v"), F.col("hi").alias("w")), ["v", "w"],
-                       "left_semi").select("u", "v", "w")
+    near, _ = write(upper_neighbours(oriented_edges(edges)))
+    above = F.slice("up", F.col("pos") + 2, F.size("up"))
+    wedges = near.filter(F.size("up") > 1).select("u", "up", F.posexplode("up").alias("pos", "v")).filter(
+        F.col("pos") < F.size("up") - 1).select("u", "v", above.alias("ws"))
+    # merged: Spark takes the exploded rows for as small as the table they come from and would broadcast them
+    return wedges.join(near.select(F.col("u").alias("v"), "up").hint("merge"), "v").select(
+        "u", "v", F.explode(F.array_intersect("ws", "up")).alias("w"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:
