@@ -285,6 +285,22 @@ def test_licence_model_and_threshold_come_from_the_whole_corpus(spark):
     assert L.least_probability(rows, 0.01) == pytest.approx(0.1001)
 
 
+def test_licence_model_has_only_columns_that_can_be_set(spark):
+    """The optimiser's arrays on the driver are as wide as the known texts' grams, not as the hash space."""
+    from pyspark.ml.feature import HashingTF
+
+    from txgraph.llm import licenses as L
+
+    model, _ = L.fit(documents(spark, [(i, f"the story of the garden number {i}") for i in range(50)]))
+    index = HashingTF(numFeatures=L.FEATURES).indexOf
+    used = sorted({index(g) for g in L.vocabulary()})
+    assert model.fitted.numFeatures == len(used) <= len(L.vocabulary())
+    wide = model.coefficientMatrix.toArray()
+    assert wide.shape == (len(L.FAMILIES), L.FEATURES)
+    assert (wide[:, used] == model.fitted.coefficientMatrix.toArray()).all()
+    assert (wide != 0).any(axis=0).nonzero()[0].tolist() == used
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
 @pytest.mark.parametrize("name", ["op3_url_filter", "op4_topk", "op10_line_dedup", "op11_decontaminate"])
 def test_sql(spark, name):

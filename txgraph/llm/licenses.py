@@ -17,6 +17,9 @@ training: the least probability that a family needs is set so that at most ``fal
 held-back ordinary paragraphs reach it. A prediction counts as confirmed if the paragraph holds a
 template of its family.
 
+Only the slots that a known word or bigram hashes to can be set, so those few hundred columns are
+what is fitted and scored: the driver's optimiser holds no others.
+
 DataFrame functions and Spark ML's own estimators only; no Python runs on executors.
 
 Defined results: one row per row of the table, repeated rows and null ids included;
@@ -27,9 +30,12 @@ whole. Only id and text are read, other columns may have any name.
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, NGram
+from typing import NamedTuple
+
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import HashingTF, NGram, VectorSlicer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import DenseVector, Matrices, SparseMatrix
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,8 +166,43 @@ def with_features(df: DataFrame) -> DataFrame:
         F.concat("words", "bigrams"), lambda g: g.isin(known)))))
 
 
+def _hashing() -> HashingTF:
+    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="hashes")
+
+
+def slots() -> list[int]:
+    """The columns that the known words and bigrams hash to, rising."""
+    index = _hashing().indexOf
+    return sorted({index(g) for g in vocabulary()})
+
+
 def hashed(df: DataFrame) -> DataFrame:
-    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features").transform(df)
+    """Adds the hashed ``grams``, cut down to the ``slots``, as ``features``."""
+    return VectorSlicer(inputCol="hashes", outputCol="features", indices=slots()).transform(
+        _hashing().transform(df)).drop("hashes")
+
+
+class Classifier(NamedTuple):
+    """The model of the ``slots``; its coefficients are shown for all hashes."""
+
+    fitted: LogisticRegressionModel
+    slots: list[int]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.fitted.transform(df)
+
+    @property
+    def interceptVector(self) -> DenseVector:  # noqa: N802 - as Spark ML names it
+        return self.fitted.interceptVector
+
+    @property
+    def coefficientMatrix(self) -> SparseMatrix:  # noqa: N802
+        small = self.fitted.coefficientMatrix.toArray()
+        rows, at = small.shape[0], {c: k for k, c in enumerate(self.slots)}
+        ends = [0]
+        for c in range(FEATURES):
+            ends.append(ends[-1] + rows * (c in at))
+        return Matrices.sparse(rows, FEATURES, ends, list(range(rows)) * len(at), small.T.ravel())
 
 
 def _template_rows(spark: SparkSession) -> DataFrame:
@@ -345,6 +386,7 @@ def fit(df: DataFrame, text_col: str = "text", plain_weight: int = 4000,
         "label", index[F.col("family")]), "licence-training"))
     model = LogisticRegression(maxIter=30, regParam=1e-3, family="multinomial", weightCol="weight").fit(
         rows.filter("fold <> 0"))
+    model = Classifier(model, slots())
     held = model.transform(rows.filter((F.col("fold") == 0) & (F.col("family") == UNKNOWN)))
     best = F.array_max(F.slice(vector_to_array("probability"), 2, len(FAMILIES)))
     return model, min(0.95, max(0.5, least_probability(held.select(best.alias("best"), "n"), false_share)))
