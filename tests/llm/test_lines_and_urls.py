@@ -285,6 +285,18 @@ def test_licence_model_and_threshold_come_from_the_whole_corpus(spark):
     assert L.least_probability(rows, 0.01) == pytest.approx(0.1001)
 
 
+def test_licence_words_of_long_runs_of_separators(spark):
+    """A text in another script is one run of separators; so may be dots and dashes."""
+    from pyspark.sql import functions as F
+
+    from txgraph.llm import licenses as L
+
+    texts = ["a " + "\u0436" * 300_000 + " b-", "v2.0" + ".-" * 150_000 + " c", "-.x 1.2- .3 a--b \u0436.y", "", ".-. "]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = {r.id: r.w for r in rows.select("id", L.words(F.col("text")).alias("w")).collect()}
+    assert got == {0: ["a", "b"], 1: ["v2.0", "c"], 2: [".x", "1.2", ".3", "a", "-b", ".y"], 3: [], 4: []}, got
+
+
 def test_licence_model_has_only_columns_that_can_be_set(spark):
     """The optimiser's arrays on the driver are as wide as the known texts' grams, not as the hash space."""
     from pyspark.ml.feature import HashingTF

@@ -153,8 +153,10 @@ TELLS = {
 
 
 def words(text):
-    """Words (letters, digits; inner dots and hyphens of versions are kept) of lower-cased text."""
-    return F.filter(F.split(text, r"(?:[.\-](?![0-9a-z])|[^0-9a-z.\-])+"), lambda w: w != "")
+    """Words (letters, digits; inner dots and hyphens of versions are kept) of lower-cased text. The
+    repeats are possessive: others recurse for each separator, and a long run of them, such as a text
+    in another script, overflows the stack."""
+    return F.filter(F.split(text, r"(?:[^0-9a-z.\-]++|[.\-](?![0-9a-z]))++"), lambda w: w != "")
 
 
 def with_features(df: DataFrame) -> DataFrame:
