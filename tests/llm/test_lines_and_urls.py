@@ -297,6 +297,35 @@ def test_licence_words_of_long_runs_of_separators(spark):
     assert got == {0: ["a", "b"], 1: ["v2.0", "c"], 2: [".x", "1.2", ".3", "a", "-b", ".y"], 3: [], 4: []}, got
 
 
+def test_licence_words_are_split_fast(spark):
+    """The same words as by the plain pattern with ranges, in less than half of its time."""
+    import random
+    import time
+
+    from pyspark.sql import functions as F
+
+    from txgraph.llm import licenses as L
+
+    def plain(t):
+        return F.filter(F.split(t, r"(?:[^0-9a-z.\-]++|[.\-](?![0-9a-z]))++"), lambda w: w != "")
+
+    def seconds(f):
+        times = []
+        for _ in range(4):
+            start = time.perf_counter()
+            rows.select(f(F.col("text")).alias("w")).write.format("noop").mode("overwrite").save()
+            times.append(time.perf_counter() - start)
+        return min(times)
+
+    rnd = random.Random(3)
+    odd = ["".join(rnd.choices("ab09zZ.-- \n\t_\u00e9\u0436\U0001f600", k=rnd.randrange(30))) for _ in range(5000)]
+    df = spark.createDataFrame([(t,) for t in odd], "text string")
+    assert df.filter(~(L.words(F.col("text")) == plain(F.col("text")))).count() == 0
+    rows = spark.range(0, 400, 1, 4).select(F.repeat(F.concat(
+        F.lit("words of gardens, rivers and version 2.0 - of all "), F.col("id")), 200).alias("text")).localCheckpoint()
+    assert seconds(L.words) < 0.5 * seconds(plain)
+
+
 def test_licence_model_has_only_columns_that_can_be_set(spark):
     """The optimiser's arrays on the driver are as wide as the known texts' grams, not as the hash space."""
     from pyspark.ml.feature import HashingTF

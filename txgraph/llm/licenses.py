@@ -30,6 +30,9 @@ whole. Only id and text are read, other columns may have any name.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+from string import ascii_lowercase, digits
 from typing import NamedTuple
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -139,6 +142,8 @@ FEATURES = 1 << 16
 STEPS = 10_000
 # Words before the last line of a run: twice those of the longest template.
 SPAN = 2 * max(len(t.split()) for texts in TEMPLATES.values() for t in texts)
+# Characters of words.
+INNER = ascii_lowercase + digits
 # Words and bigrams that tell a family from others with much the same notice; a
 # text must have one of each list.
 TELLS = {
@@ -155,8 +160,9 @@ TELLS = {
 def words(text):
     """Words (letters, digits; inner dots and hyphens of versions are kept) of lower-cased text. The
     repeats are possessive: others recurse for each separator, and a long run of them, such as a text
-    in another script, overflows the stack."""
-    return F.filter(F.split(text, r"(?:[^0-9a-z.\-]++|[.\-](?![0-9a-z]))++"), lambda w: w != "")
+    in another script, overflows the stack. The classes name each character: Java looks those up in
+    a table, while it tries ranges one by one for every character of a text."""
+    return F.filter(F.split(text, rf"(?:[^{INNER}.\-]++|[.\-](?![{INNER}]))++"), lambda w: w != "")
 
 
 def with_features(df: DataFrame) -> DataFrame:
@@ -271,15 +277,15 @@ def _bigrams(w):
         lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
 
 
-def _marks(templates: list[list[str]], contained: float) -> str:
-    """Pattern of words of which a text that holds ``contained`` of any template has one."""
+def _marks(templates: list[list[str]], contained: float) -> list[str]:
+    """Words of which a text that holds ``contained`` of any template has one."""
     picked: set[str] = set()
     for grams in templates:
         for w in sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w)):
             if sum(not picked & set(g.split()) for g in grams) < contained * len(grams):
                 break
             picked.add(w)
-    return "|".join(w.replace(".", r"\.") for w in sorted(picked))
+    return sorted(picked)
 
 
 def wrapped_runs(text, lines, contained: float):
@@ -321,9 +327,8 @@ def wrapped_runs(text, lines, contained: float):
         return F.when((F.size(x["held"]) > 0) & (F.size(x["lines"]) > 1), F.flatten(
             F.transform(F.sequence(F.lit(1), F.size(x["lines"]) - 1), at))).otherwise(none)
 
-    marks = _marks([g for _, g in known], contained)
-    return F.when(F.contains(text, F.lit("\n")) & F.rlike(text, F.lit(marks)),
-                  _let(here, runs)).otherwise(none)
+    marked = reduce(or_, [F.contains(text, F.lit(w)) for w in _marks([g for _, g in known], contained)])
+    return F.when(F.contains(text, F.lit("\n")) & marked, _let(here, runs)).otherwise(none)
 
 
 def paragraphs(df: DataFrame, contained: float | None = None) -> DataFrame:
@@ -349,17 +354,21 @@ def plain_features(df: DataFrame, text_col: str) -> DataFrame:
     rows = with_features(lines.filter(F.size("words") > 0)).drop("features")
 
     def torn(x):
-        out = F.lit(False)
-        for g in known:
-            half = F.least(F.size(g), x["most"])
-            out = out | ((F.size(x["own"]) * 2 >= half)      # else no need to look which they are
-                         & (F.size(F.array_intersect(g, x["own"])) * 2 >= half))
-        return out
-
-    own = F.filter("grams", lambda g: F.contains(g, F.lit(" ")))
-    here = F.struct(own.alias("own"), F.greatest(F.size("bigrams"), F.lit(1)).alias("most"))
-    rows = rows.filter(~_let(here, torn))
-    return rows.select(F.array_sort("grams").alias("grams"), F.pmod(F.xxhash64("words"), F.lit(5)).alias("fold")).groupBy(
+        def among(own):
+            out = F.lit(False)
+            for g in known:
+                half = F.least(F.size(g), x["most"])
+                out = out | ((F.size(own) * 2 >= half)      # else no need to look which they are
+                             & (F.size(F.array_intersect(g, own)) * 2 >= half))
+            return out
+
+        return _let(F.filter(x["grams"], lambda g: F.contains(g, F.lit(" "))), among)
+
+    # filtered in an array: a filter on rows is pushed below the columns, which are then computed twice
+    here = F.struct("grams", F.greatest(F.size("bigrams"), F.lit(1)).alias("most"),
+                    F.pmod(F.xxhash64("words"), F.lit(5)).alias("fold"))
+    kept = rows.select(F.explode(F.filter(F.array(here), lambda x: ~torn(x))).alias("x"))
+    return kept.select(F.array_sort("x.grams").alias("grams"), "x.fold").groupBy(
         "grams", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
