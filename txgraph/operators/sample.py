@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from txgraph.operators.written import write
@@ -35,9 +36,14 @@ def dedup_last_wins(rows: DataFrame, key: str = "hash", height: str = "height",
     """
     order = win_order(height, pos if pos in rows.columns else None)
     rest = [c for c in rows.columns if c != key]
+    # height and position are in the order already: a shuffled row carries them once
+    led = {height: F.col("w._h")}
+    if pos in rows.columns and isinstance(rows.schema[pos].dataType, T.IntegralType):
+        led[pos] = -F.col("w._p")
     best = rows.groupBy(key).agg(
-        F.min(F.struct(*order, F.struct(*rest).alias("row"))).alias("w"))
-    return best.select(key, *[F.col(f"w.row.{c}").alias(c) for c in rest])
+        F.min(F.struct(*order, *[F.col(c).alias(f"v{i}") for i, c in enumerate(rest) if c not in led])).alias("w"))
+    return best.select(key, *[
+        led.get(c, F.col(f"w.v{i}")).cast(rows.schema[c].dataType).alias(c) for i, c in enumerate(rest)])
 
 
 def node_table(edges: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from txgraph.functions.hexval import long_to_hex
 
 
 def _with_block(tx: DataFrame) -> DataFrame:
-    return tx.withColumn("block", F.substring_index("hash", "-", 1))
+    return tx if "block" in tx.columns else tx.withColumn("block", F.substring_index("hash", "-", 1))
 
 
 def v2_blocks(tx: DataFrame) -> DataFrame:
@@ -112,5 +112,5 @@ def hard_v2_lines(tx: DataFrame) -> DataFrame:
         F.when(F.col("kind") == 2, F.concat("txs", "txs")).otherwise(F.col("txs")).alias("transactions")
     ).alias("result"))
     return lines.withColumn("txs", txs).select(F.when(
-        F.col("kind") == 0, F.concat(F.lit('{"result": {"number": "0x'), "block")).otherwise(
+        F.col("kind") == 0, F.concat(F.lit('{"result": {"number": "0x'), F.col("block").cast("string"))).otherwise(
         F.to_json(doc)).alias("value"))
