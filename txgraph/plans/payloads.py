@@ -18,15 +18,16 @@ def _with_block(tx: DataFrame) -> DataFrame:
     return tx if "block" in tx.columns else tx.withColumn("block", F.substring_index("hash", "-", 1))
 
 
-def v2_blocks(tx: DataFrame) -> DataFrame:
-    """``(json)``: one v2 block document per order, transactions sorted by hash."""
+def v2_blocks(tx: DataFrame, *apart: str) -> DataFrame:
+    """``(json)``: one v2 block document per order, transactions sorted by hash; rows that differ in
+    the columns ``apart`` go into documents of their own."""
     items = F.struct(
         F.concat(F.lit("0x"), "hash").alias("hash"),
         F.concat(F.lit("0x"), F.col("src").cast("string")).alias("from"),
         F.concat(F.lit("0x"), F.col("dst").cast("string")).alias("to"),
         long_to_hex("value").alias("value"),
     )
-    blocks = _with_block(tx).groupBy("block", "height").agg(
+    blocks = _with_block(tx).groupBy("block", "height", *apart).agg(
         F.sort_array(F.collect_list(items)).alias("transactions"))
     doc = F.struct(F.struct(long_to_hex("height").alias("number"), "transactions").alias("result"))
     return blocks.select(F.to_json(doc).alias("json"))
